@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pageframe.functions import geometry as geo
 from pageframe.functions import text as txt
-from pageframe.operators import benchmark, layout, pages, pixels, store
+from pageframe.operators import benchmark, layout, pages, pixels, recogniser, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -320,7 +320,20 @@ def _item_lines(spark: SparkSession, d: str) -> DataFrame:
     return layout.page_lines(boxes, ["page"])
 
 
-@query()
+_ITEMS = (
+    "i AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) floor(l_orderkey / 16.0)::BIGINT AS page, (l_orderkey % 16)::INT AS line_no, l_linenumber - 1 AS region_idx, l_returnflag || ' ' || l_linestatus AS text, (l_linenumber - 1) * 140::DOUBLE + (l_quantity % 3) * 8 AS x,"
+    " (l_orderkey % 16) * 30::DOUBLE AS y, 60::DOUBLE AS w, 16 + (l_partkey % 3) * 4::DOUBLE + CASE WHEN l_discount > 0.09::DOUBLE THEN 20 ELSE 0 END AS h FROM lineitem ORDER BY l_orderkey, l_linenumber), g AS (SELECT *, x - lag(x + w) OVER (PARTITION BY page, line_no ORDER BY region_idx) AS gap FROM i),"
+    " l AS (SELECT page, line_no, string_agg(text, ' ' ORDER BY region_idx) AS text, min(x) AS left_edge, max(x + w) AS right_edge, min(y) AS top, max(y + h) AS bottom, list_sort(list(h))[count(*) // 2 + 1] AS median_height, avg(gap) AS mean_gap, count(*) AS n_regions, list(x ORDER BY region_idx) AS lefts FROM g GROUP BY ALL)"
+)
+
+
+@query(
+    f"WITH {_ITEMS}, m AS (SELECT page, list_sort(list(median_height))[count(*) // 2 + 1] AS m FROM l GROUP BY page), k AS (SELECT l.*, CASE WHEN n_regions >= 3 AND right_edge - left_edge > 600 AND mean_gap > m * 0.8::DOUBLE THEN 'table-row' WHEN median_height > m * 1.35::DOUBLE THEN 'heading' ELSE 'body' END AS kind FROM l JOIN m USING (page)),"
+    " r AS (SELECT *, sum(CASE WHEN kind = 'table-row' AND before = 'table-row' THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY line_no) AS run FROM (SELECT *, lag(kind) OVER (PARTITION BY page ORDER BY line_no) AS before FROM k)),"
+    " c AS (SELECT *, list_filter(list_transform(range(1, least(len(lefts), coalesce(len(prev), 0)) + 1), lambda q: abs(lefts[q] - prev[q])), lambda z: z IS NOT NULL) AS ds FROM (SELECT *, lag(lefts) OVER (PARTITION BY page, run ORDER BY line_no) AS prev FROM r)),"
+    " v AS (SELECT *, count(*) OVER p AS rows_, sum(len(ds)) OVER p AS checks, sum(len(list_filter(ds, lambda z: z <= 15))) OVER p AS aligned FROM c WINDOW p AS (PARTITION BY page, run))"
+    " SELECT page, line_no, CASE WHEN kind = 'table-row' AND NOT (rows_ >= 2 AND coalesce(aligned / nullif(checks, 0), 0) >= 0.5) THEN 'body' ELSE kind END AS kind, NULL::INT AS list_number, n_regions, left_edge, median_height FROM v"
+)
 def classified_lines(spark: SparkSession, d: str) -> DataFrame:
     """F17, F18, W06, W07, J10, A03-A06."""
     lines = _item_lines(spark, d)
@@ -329,7 +342,11 @@ def classified_lines(spark: SparkSession, d: str) -> DataFrame:
     return kinds.select("page", "line_no", "kind", "list_number", "n_regions", "left_edge", "median_height")
 
 
-@query()
+@query(
+    f"WITH {_ITEMS}, k AS (SELECT *, CASE WHEN median_height > 30 * 1.35::DOUBLE THEN 'heading' ELSE 'body' END AS kind FROM l), b AS (SELECT *, lag(kind) OVER o AS pk, lag(left_edge) OVER o AS pl, lag(median_height) OVER o AS ph, lag(bottom) OVER o AS pb FROM k WINDOW o AS (PARTITION BY page ORDER BY line_no)),"
+    " j AS (SELECT *, coalesce(kind = 'body' AND pk = 'body' AND abs(left_edge - pl) <= 10 AND median_height / ph BETWEEN 0.8::DOUBLE AND 1.2::DOUBLE AND top - pb <= greatest(20, 1.5::DOUBLE * ph), false) AS joins FROM b), n AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY line_no)::BIGINT AS block_no FROM j)"
+    " SELECT page, block_no, min(kind) AS kind, string_agg(text, ' ' ORDER BY line_no) AS text, list_sort(list(median_height))[count(*) // 2 + 1] AS median_height, arg_min(left_edge, line_no) AS left_edge, count(*) AS n_lines FROM n GROUP BY ALL"
+)
 def paragraph_blocks(spark: SparkSession, d: str) -> DataFrame:
     """W10, F19."""
     lines = layout.classify(_item_lines(spark, d), F.lit(100_000.0), F.lit(30.0))
@@ -416,6 +433,38 @@ def data_urls(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", url.alias("url")).select("id", "url", F.octet_length(txt.data_url_bytes(F.col("url"))).alias("size"))
 
 
+@query("SELECT id, 'mock' AS engine, 'page of ' || coalesce(octet_length(bytes), 0) || ' bytes' AS text, NULL::VARCHAR AS error FROM (SELECT DISTINCT id, source_kind, bytes FROM stored_pages) WHERE coalesce(source_kind <> 'pdf-text', true)")
+def recognised_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages without native text through the mock engine, of an absent engine's ladder."""
+    todo = pages.to_recognise(_t(spark, d, "stored_pages").select("id", "source_kind", "bytes").distinct())
+    return recogniser.recognise(todo, "absent", ("mock",))
+
+
+@query(f"WITH {_R} SELECT result_id, count(*) AS n, sum(x0 + y0)::DOUBLE AS corners FROM (SELECT result_id, i, regions[i] AS g, regions[i].x AS x0, regions[i].y AS y0 FROM (SELECT *, unnest(range(1, len(regions) + 1)) AS i FROM r)) WHERE {_trim('coalesce(g.text, chr(32))')} <> '' AND isfinite(g.x) AND isfinite(g.y) AND isfinite(g.w) AND isfinite(g.h) AND g.x + g.w > g.x AND g.y + g.h > g.y GROUP BY result_id")
+def detector_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of nested detector output, made of the regions."""
+    fit = F.filter("regions", lambda g: geo.finite(g["x"]) & geo.finite(g["y"]) & geo.finite(g["w"]) & geo.finite(g["h"]))
+    word = lambda g: F.array().cast("array<struct<text:string,x:double,y:double>>")
+    line = F.transform(fit, lambda g: F.struct(g["text"].alias("text"), word(g).alias("words"), g["x"].alias("x0"), g["y"].alias("y0"), (g["x"] + g["w"]).alias("x1"), (g["y"] + g["h"]).alias("y1"), (g["confidence"] * 100).alias("confidence")))
+    nested = _results(spark, d, "regions").where("regions is not null").select("result_id", F.array(F.struct(F.array(F.struct(line.alias("lines"))).alias("paragraphs"))).alias("blocks"))
+    return recogniser.flatten_lines(nested, "blocks").groupBy("result_id").agg(F.count("*").alias("n"), F.sum(F.col("x0") + F.col("y0")).alias("corners"))
+
+
+@query(f"WITH {_R} SELECT result_id, count(*) AS n, sum(i - 1)::BIGINT AS places FROM (SELECT result_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM r WHERE text IS NOT NULL) GROUP BY result_id")
+def stacked_lines(spark: SparkSession, d: str) -> DataFrame:
+    """F36."""
+    lines = _results(spark, d, "text").where("text is not null").select("result_id", F.explode(recogniser.stacked_lines(F.split("text", "\n"))).alias("g"))
+    return lines.groupBy("result_id").agg(F.count("*").alias("n"), F.sum((F.col("g.y") - 48) / 36).cast("bigint").alias("places"))
+
+
+@query("SELECT name, len(list_filter(string_split(ground_truth, ' '), lambda w: w <> '')) > 0 AS filled FROM bench_fixtures")
+def wrapped_texts(spark: SparkSession, d: str) -> DataFrame:
+    """every fixture's text filled into lines, none longer than it may be and nothing lost."""
+    f = _t(spark, d, "bench_fixtures").withColumn("lines", recogniser.wrapped(F.col("ground_truth"), 60))
+    whole = F.array_join("lines", " ") == F.regexp_replace("ground_truth", r"\s+", " ")
+    return f.select("name", (whole & F.forall("lines", lambda x: F.length(x) <= 60)).alias("filled"))
+
+
 # --- the job store
 
 
