@@ -217,3 +217,24 @@ def prepare_images(images: DataFrame, preparation: Preparation) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 5, schema)], schema=schema)
 
     return columns.mapInArrow(run, "origin string, width int, height int, png binary, error string")
+
+
+def prepare_values(df: DataFrame, key: str, values: str, width: int, preparation: Preparation) -> DataFrame:
+    """I12 over arrays of values from -1 to 1: key, ``skew`` and the prepared pixels.
+
+    Null and empty arrays, and those that are no full rows, give null.
+    """
+    schema = pa.schema([(key, pa.int64()), ("skew", pa.float64()), ("pixels", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not v or len(v) % width:
+                    out.append((k, None, None))
+                    continue
+                g = np.clip(rounded((np.array(v, float) + 1) * 127.5), 0, 255).astype(np.uint8).reshape(-1, width)
+                out.append((k, skew(g), preparation.apply(g).ravel().tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 3, schema)], schema=schema)
+
+    return df.select(key, values).mapInArrow(run, f"{key} bigint, skew double, pixels array<int>")

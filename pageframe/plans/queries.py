@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pageframe.functions import geometry as geo
 from pageframe.functions import text as txt
-from pageframe.operators import benchmark, layout, pages, pixels, recogniser, store
+from pageframe.operators import benchmark, layout, pages, pixels, pixels_numpy, recogniser, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -43,6 +43,11 @@ def _results(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return _t(spark, d, "ocr_results").select("result_id", *columns).dropDuplicates(["result_id"])
 
 
+def _delivered(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """All deliveries; for steps by row, whose narrow outcome is freed of repeats instead of the wide rows."""
+    return _t(spark, d, "ocr_results").select("result_id", *columns)
+
+
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
     return store.latest(_t(spark, d, "stored_jobs"), "id", "updated_at")
 
@@ -75,8 +80,8 @@ def text_normalised(spark: SparkSession, d: str) -> DataFrame:
 )
 def text_counts(spark: SparkSession, d: str) -> DataFrame:
     """A17."""
-    t = _results(spark, d, "text").where("text is not null").select("result_id", txt.js_trim(F.col("text")).alias("t"))
-    return t.select("result_id", txt.utf16_length(F.col("t")).alias("units"), F.size(txt.words(F.col("t"))).alias("words"), F.size(txt.lines(F.col("t"))).alias("lines"))
+    t = _delivered(spark, d, "text").where("text is not null").select("result_id", txt.js_trim(F.col("text")).alias("t"))
+    return t.select("result_id", txt.utf16_length(F.col("t")).alias("units"), F.size(txt.words(F.col("t"))).alias("words"), F.size(txt.lines(F.col("t"))).alias("lines")).dropDuplicates(["result_id"])
 
 
 @query(
@@ -85,7 +90,7 @@ def text_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def symbol_ratio(spark: SparkSession, d: str) -> DataFrame:
     """F07, A10."""
-    return _results(spark, d, "text").where("text is not null").select("result_id", txt.suspicious_ratio(F.col("text")).alias("ratio"))
+    return _delivered(spark, d, "text").where("text is not null").select("result_id", txt.suspicious_ratio(F.col("text")).alias("ratio")).dropDuplicates(["result_id"])
 
 
 #: Share of all words from which a word is in the dictionary: at most its inverse are.
@@ -125,7 +130,7 @@ _ANOMALY = "CASE WHEN len(hs) < 3 THEN false ELSE hs[len(hs)] > hs[len(hs) // 2
 def region_heights(spark: SparkSession, d: str) -> DataFrame:
     """F09, A02."""
     heights = F.filter(F.transform(F.coalesce("regions", F.array()), lambda r: r["h"]), lambda h: (h > 0) & ~F.isnan(h) & (h < float("inf")))
-    return _results(spark, d, "regions").select("result_id", txt.height_anomaly(F.col("regions")).alias("anomaly"), txt.upper_median(heights).alias("median"))
+    return _delivered(spark, d, "regions").select("result_id", txt.height_anomaly(F.col("regions")).alias("anomaly"), txt.upper_median(heights).alias("median")).dropDuplicates(["result_id"])
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -691,3 +696,15 @@ def gray_values(spark: SparkSession, d: str) -> DataFrame:
     """I01."""
     g = pixels.gray(F.col("l_quantity") % 256, F.col("l_partkey") % 256, F.col("l_suppkey") % 256)
     return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), g.alias("g"))
+
+
+@query()
+def prepared_images(spark: SparkSession, d: str) -> DataFrame:
+    """Every image through contrast, deskewing and binarising, and its skew."""
+    return pixels_numpy.prepare_values(_t(spark, d, "embeddings"), "vec_id", "embedding", 8, pixels_numpy.Preparation(contrast=True, deskew=True, sauvola=True, block=5))
+
+
+@query(f"WITH {_PX} SELECT img, y::INT AS y, x::INT AS x, g FROM px WHERE y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 6")
+def cropped_images(spark: SparkSession, d: str) -> DataFrame:
+    """I14."""
+    return _px(spark, d).where(F.col("y").between(2, 5) & F.col("x").between(1, 6))
