@@ -12,6 +12,10 @@ from pyspark.sql.types import IntegerType
 from pageframe.functions.text import clamp01, normalise
 
 
+#: Edits up to which a narrow band of the distance table suffices.
+BAND = 24
+
+
 def error_rate(distance: Column, size: Column, actual_size: Column) -> Column:
     """edits by expected length; an empty expectation gives 0 or 1."""
     return F.when(size == 0, F.when(actual_size == 0, 0.0).otherwise(1.0)).otherwise(distance / size)
@@ -20,11 +24,20 @@ def error_rate(distance: Column, size: Column, actual_size: Column) -> Column:
 def character_rate(expected: Column, actual: Column) -> Column:
     """F03 over code points of normalised texts; null texts count as empty."""
     e, a = normalise(F.coalesce(expected, F.lit(""))), normalise(F.coalesce(actual, F.lit("")))
-    return error_rate(F.levenshtein(e, a).cast("double"), F.length(e), F.length(a))
+    # few edits are counted in a narrow band; only where there are more is the whole table filled
+    band = F.levenshtein(e, a, BAND)
+    return error_rate(F.when(band >= 0, band).otherwise(F.levenshtein(e, a)).cast("double"), F.length(e), F.length(a))
 
 
 def token_distance(a: list, b: list) -> int:
-    """F02 over tokens, a row of the table at a time."""
+    """F02 over tokens, a row of the table at a time, without the beginning and end that both share."""
+    first = 0
+    while first < min(len(a), len(b)) and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         left, row[0] = row[0], i

@@ -38,9 +38,14 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _once(df: DataFrame, key: str) -> DataFrame:
+    """One row a key. What follows is dear by row, so the shuffle's partitions are not merged for being small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).dropDuplicates([key])
+
+
 def _results(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Results without second deliveries, which differ by ``loaded_at`` only."""
-    return _t(spark, d, "ocr_results").select("result_id", *columns).dropDuplicates(["result_id"])
+    return _once(_t(spark, d, "ocr_results").select("result_id", *columns), "result_id")
 
 
 def _delivered(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -567,7 +572,7 @@ _OK = "o AS (SELECT b.*, f.ground_truth, trim(regexp_replace(lower(ground_truth)
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     b = _t(spark, d, "bench_results").select("bench_id", F.regexp_replace(F.lower(F.trim("engine")), "_", "-").alias("engine"), "fixture", "preprocess", "extracted_text", "elapsed_ms")
-    return b.dropDuplicates(["bench_id"])
+    return _once(b, "bench_id")
 
 
 def _rated(spark: SparkSession, d: str) -> DataFrame:

@@ -62,3 +62,26 @@ def test_data_urls(spark):
 def test_rates(spark, expected, actual, cer, wer):
     r = benchmark.metrics(spark.createDataFrame([(expected, actual)], "e string, a string"), "e", "a").first()
     assert r["char_error_rate"] == pytest.approx(cer) and r["word_error_rate"] == pytest.approx(wer) and r["char_accuracy"] == pytest.approx(1 - cer)
+
+
+def test_token_distance_equals_the_whole_table():
+    import random
+
+    rnd = random.Random(2)
+
+    def naive(a, b):
+        t = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                t[i][j] = min(t[i - 1][j] + 1, t[i][j - 1] + 1, t[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        return t[-1][-1]
+
+    for _ in range(300):
+        a, b = ([rnd.choice("abc") for _ in range(rnd.randint(0, 8))] for _ in range(2))
+        assert benchmark.token_distance(a, b) == naive(a, b)
+
+
+def test_many_edits_leave_the_band(spark):
+    e, a = "ab" * 60, "ba" * 30
+    r = benchmark.metrics(spark.createDataFrame([(e, a), (e, "x" * 200)], "e string, a string"), "e", "a").collect()
+    assert sorted(x["char_error_rate"] for x in r) == [pytest.approx(60 / 120), pytest.approx(200 / 120)]
