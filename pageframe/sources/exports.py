@@ -43,15 +43,18 @@ def docx(sections: list[list[tuple[str, str]]]) -> bytes:
     return out.getvalue()
 
 
-def pdf(pages: list[tuple[float, float, list[tuple[str, float, float, float]]]]) -> bytes:
+def pdf(pages: list[tuple], visible: bool = False) -> bytes:
     """Pages of (width, height, [(text, x, baseline, size)]) with invisible text.
 
-    Characters outside of the standard font's encoding become question marks.
+    ``visible`` shows it. A fourth element of a page lists filled boxes as
+    (x, y, width, height, gray). Characters outside of the standard font's
+    encoding become question marks.
     """
     objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
     kids = []
-    for width, height, texts in pages:
-        lines = ["BT 3 Tr"]
+    for width, height, texts, *boxes in pages:
+        lines = [f"{gray:.2f} g {x:.2f} {y:.2f} {w:.2f} {h:.2f} re f" for x, y, w, h, gray in (boxes[0] if boxes else ())]
+        lines += ["0 g", f"BT {0 if visible else 3} Tr"]
         for text, x, y, size in texts:
             raw = text.encode("cp1252", "replace").decode("latin-1").replace("\\", r"\\").replace("(", r"\(").replace(")", r"\)")
             lines.append(f"/F1 {size:.2f} Tf 1 0 0 1 {x:.2f} {y:.2f} Tm ({raw}) Tj")
@@ -104,3 +107,30 @@ def markdown_rows(*columns: Column) -> Column:
 def write_by_engine(df: DataFrame, path: str, engine: str = "engine") -> None:
     """Results in one folder an engine."""
     df.write.mode("overwrite").partitionBy(engine).json(path)
+
+
+def quality_report(rows: list[dict], title: str, label: str = "engine", rates: tuple[str, str] = ("char_accuracy", "word_accuracy")) -> bytes:
+    """A PDF of a benchmark's summary, a table and two bars a row, as many pages as it takes.
+
+    ``rows`` are those of a summary, an engine each; null accuracies count as 0.
+    No rows give one page that says so.
+    """
+    width, height, margin, step, track = 595.0, 842.0, 48.0, 46.0, 260.0
+    per_page = int((height - 3 * margin) // step)
+    pages = []
+    for start in range(0, max(1, len(rows)), per_page):
+        texts: list[tuple[str, float, float, float]] = [(title, margin, height - margin, 16)]
+        boxes: list[tuple[float, float, float, float, float]] = []
+        if not rows:
+            texts.append(("No results.", margin, height - 2 * margin, 10))
+        for k, r in enumerate(rows[start : start + per_page]):
+            y = height - 2 * margin - k * step
+            texts.append((str(r[label]), margin, y, 11))
+            for n, name in enumerate(rates):
+                share = min(1.0, max(0.0, float(r[name] or 0.0)))
+                at = y - 13 - 12 * n
+                texts.append((f"{name.replace('_', ' ')} {share * 100:.2f}%", margin, at, 8))
+                boxes += [(margin + 150, at - 1, track, 8, 0.9), (margin + 150, at - 1, track * share, 8, 0.4)]
+        texts.append((f"Page {start // per_page + 1}", width - 2 * margin, margin / 2, 8))
+        pages.append((width, height, texts, boxes))
+    return pdf(pages, visible=True)

@@ -53,3 +53,11 @@ def test_streams(spark, tmp_path):
     once = progress.on_pages(progress.unexpired(stream, "t", "1 hour", ["job", "page", "attempt"]), lambda b, _: seen.extend((r["page"], r["attempt"]) for r in b.collect()), f"{tmp_path}/state")
     once.awaitTermination(60)
     assert sorted(seen) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_quality_report():
+    rows = [{"engine": f"engine-{k}", "char_accuracy": k / 40, "word_accuracy": None} for k in range(40)]
+    pages = files.pdf_items(exports.quality_report(rows, "Recognition quality"))
+    shown = [t for _, _, _, items in pages for t, *_ in items]
+    assert len(pages) == 3 and all(f"engine-{k}" in shown for k in range(40)) and "char accuracy 97.50%" in shown and "word accuracy 0.00%" in shown
+    assert [t for t, *_ in files.pdf_items(exports.quality_report([], "Empty"))[0][3]][:2] == ["Empty", "No results."]
