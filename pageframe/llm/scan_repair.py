@@ -85,6 +85,10 @@ class Words(dict):
     def known(self, word: str) -> bool:
         return self.count(word) >= self.least
 
+    def sound(self, word: str) -> bool:
+        """Known, and no frequent misreading of a word that is ``RATIO`` times as frequent."""
+        return self.known(word) and self.taken_for(word) is None
+
     def taken_for(self, form: str) -> tuple[str, float] | None:
         """The known word that a form with confused characters stands for, and its cost; None if there is none."""
         if form not in self._taken:
@@ -122,11 +126,11 @@ class Words(dict):
             # a compound or an elided article: each part by itself
             out, cost = [], 0.0
             for part in re.split(r"(['’‐-])", form):
-                if len(part) < 2 or self.known(part):
-                    out.append(part)
-                elif (word := self.taken_for(part)) is not None:
+                if (word := self.taken_for(part)) is not None:
                     out.append(word[0])
                     cost += word[1]
+                elif len(part) < 2 or self.known(part):
+                    out.append(part)
                 else:
                     return None
             return ("".join(out), cost) if cost else None
@@ -211,7 +215,7 @@ def decode_page(text: str, words: Words) -> Page:
             end -= 1
             if kind:
                 whole = left + right if kind == "break" else f"{left}-{right}"
-                better = words.taken_for(whole) if not words.known(whole) else None
+                better = words.taken_for(whole)
                 if better:
                     # the confused characters lie in one of the halves
                     first = 0
@@ -236,7 +240,7 @@ def decode_page(text: str, words: Words) -> Page:
             if len(w) < 2 or not _is_wordish(w):
                 continue
             seen += 1
-            if words.known(w) and not (w.isalpha() is False and not _PARTS.search(w)):
+            if words.sound(w) and not (w.isalpha() is False and not _PARTS.search(w)):
                 known += 1
                 continue
             if n == len(body) - 1 and j == len(tokens) - 1 and tokens[j][-1].isalnum() or _FOREIGN.search(w):

@@ -43,3 +43,12 @@ def test_table(texts):
     assert got[500] == "The court dismissed the maintenance contract." and got[501] is None and got[502] == "" and got[0] == PLAIN
     none = fit_words(texts([]), "text")
     assert line_defects(texts([]), "id", "text", none).count() == 0
+
+
+def test_frequent_misreading():
+    counts = {"where": 4000, "the": 9000, "court": 5000, "sat": 3000, "vvhere": 23, "coiirt": 15, "bear": 3000, "hear": 3000}
+    words = Words(counts)
+    assert words.known("vvhere") and not words.sound("vvhere") and words.sound("bear")
+    page = decode_page("the court sat vvhere\nthe coiirt sat. the\nbear sat where the coii-\nrt. The court sat", words)
+    assert [k for k, f in enumerate(page.misread) if f] == [0, 1, 2]
+    assert page.repaired[:2] == ["the court sat where", "the court sat. the"]
