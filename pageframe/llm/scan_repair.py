@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 from itertools import combinations
@@ -39,6 +40,8 @@ SHARE = 2e-6
 RATIO = 20
 #: Confused characters in one word, and the cost of each kind of repair, in nats.
 MOST, CONFUSED, PARTED, JOINED = 3, 6.0, 7.0, 5.0
+#: Spaces inside one word, and the cost of leaving a form as it stands: once, and for each character.
+SPACES, UNSEEN, LETTER = 2, 13.0, 2.2
 #: Share of known words under which a page is no text.
 READABLE = 0.3
 
@@ -58,6 +61,21 @@ def _is_wordish(w: str) -> bool:
     return letters * 2 > len(w) and letters > 1 and "_" not in w and "/" not in w
 
 
+#: A word of a decoded stretch: start, end, word, places of confused characters.
+Edge = tuple[int, int, str, tuple[int, ...]]
+
+
+def differing(form: str, word: str) -> range:
+    """The places of a form between the start and the end that it shares with the word it is taken for; at least one."""
+    first, most = 0, min(len(form), len(word))
+    while first < most and form[first] == word[first]:
+        first += 1
+    last = 0
+    while last < most - first and form[-1 - last] == word[-1 - last]:
+        last += 1
+    return range(min(first, len(form) - 1), max(first + 1, len(form) - last))
+
+
 class Words(dict):
     """Counts of known words, and what unknown forms are taken for.
 
@@ -70,7 +88,10 @@ class Words(dict):
         self.total = max(1, sum(counts.values()))
         self.least = max(2, math.ceil(self.total * SHARE))
         self._taken: dict[str, tuple[str, float] | None] = {}
-        self._whole: dict[tuple[str, str], tuple[str, float] | None] = {}
+        self._looks: dict[str, tuple[str, str, str, bool, bool, bool]] = {}
+        self._ways: dict[tuple[str, ...], list[Edge]] = {}
+        # in order, so that the words that start with a prefix are found by halving: a trie without nodes
+        self._keys = sorted(w for w, n in counts.items() if n >= RATIO * self.least)
 
     def cost(self, word: str) -> float:
         n = max(self.get(word, 0), self.get(word[:1].lower() + word[1:], 0) if word[:1].isupper() else 0)
@@ -89,6 +110,18 @@ class Words(dict):
         """Known, and no frequent misreading of a word that is ``RATIO`` times as frequent."""
         return self.known(word) and self.taken_for(word) is None
 
+    def look(self, token: str) -> tuple[str, str, str, bool, bool, bool]:
+        """Of a token: its form, the marks before and behind, and whether the form is wordish, sound, and to be decoded."""
+        if token not in self._looks:
+            if len(self._looks) > 500_000:
+                self._looks.clear()
+            form = bare(token)
+            at = token.find(form) if form else len(token)
+            wordish = len(form) > 1 and _is_wordish(form)
+            sound = wordish and self.sound(form) and (form.isalpha() or _PARTS.search(form) is not None)
+            self._looks[token] = form, token[:at], token[at + len(form) :], wordish, sound, wordish and not sound and not _FOREIGN.search(form)
+        return self._looks[token]
+
     def taken_for(self, form: str) -> tuple[str, float] | None:
         """The known word that a form with confused characters stands for, and its cost; None if there is none."""
         if form not in self._taken:
@@ -136,6 +169,98 @@ class Words(dict):
             return ("".join(out), cost) if cost else None
         return best
 
+    def readings(self, s: str, start: int) -> list[tuple[int, str, tuple[int, ...]]]:
+        """Frequent words that can begin at a place of a stretch: end, word and the places of its confused characters.
+
+        A word may have up to ``MOST`` confused characters and ``SPACES`` spaces
+        inside; the walk goes only where a word goes on.
+        """
+        keys, out = self._keys, []
+        for lowered in (False, True) if s[start].isupper() else (False,):
+            todo: list[tuple[int, str, int, tuple[int, ...], int]] = [(start, "", 0, (), 0)]
+            while todo:
+                at, key, lo, edits, spaces = todo.pop()
+                if key and keys[lo] == key and s[at - 1] != " ":
+                    out.append((at, key[0].upper() + key[1:] if lowered else key, edits))
+                if at == len(s):
+                    continue
+                if s[at] == " ":
+                    if key and spaces < SPACES:
+                        todo.append((at + 1, key, lo, edits, spaces + 1))
+                    continue
+                steps = [(1, s[at], edits)]
+                if len(edits) < MOST:
+                    steps += [(len(k), r, (*edits, at)) for k in dict.fromkeys((s[at : at + 3], s[at : at + 2], s[at])) for r in CONFUSIONS.get(k, ())]
+                for n, r, e in steps:
+                    p = key + r if key or not lowered else r[0].lower() + r[1:]
+                    i = bisect_left(keys, p, lo)
+                    if i < len(keys) and keys[i].startswith(p):
+                        todo.append((at + n, p, i, e, spaces))
+        return out
+
+    def decode(self, forms: tuple[str, ...]) -> list[Edge]:
+        """The cheapest way through the lattice of a stretch of forms.
+
+        An edge is a word, as (start, end, word, places of confused characters)
+        in the stretch with single spaces. A form may stay as it is; else words
+        may have confused characters or spaces inside, or run together. Sound
+        words, the neighbours, are left as they are unless a part of one belongs
+        to a form that is not.
+        """
+        if forms not in self._ways:
+            if len(self._ways) > 200_000:
+                self._ways.clear()
+            self._ways[forms] = self._decode_stretch(forms)
+        return self._ways[forms]
+
+    def _decode_stretch(self, forms: tuple[str, ...]) -> list[Edge]:
+        s = " ".join(forms)
+        first: dict[int, int] = {}  # the form that begins at a place
+        of: list[int] = []
+        for k, f in enumerate(forms):
+            first[len(of)] = k
+            of += [k] * (len(f) + 1)
+        ends = {at + len(forms[k]): k for at, k in first.items()}
+        sound = [self.sound(f) for f in forms]
+        best: dict[int, tuple[float, Edge | None]] = {0: (0.0, None)}
+        for at in range(len(s)):
+            if at not in best:
+                continue
+            so_far = best[at][0]
+            edges: list[tuple[float, Edge]] = []
+            if at in first:
+                k = first[at]
+                f = forms[k]
+                better = None if sound[k] else self.taken_for(f)
+                edges.append((self.cost(f) if sound[k] else UNSEEN + LETTER * len(f), (at, at + len(f), f, ())))
+                if better:
+                    edges.append((min(better[1], UNSEEN + LETTER * len(f) - 0.1), (at, at + len(f), better[0], tuple(at + x for x in differing(f, better[0])))))
+            if not all(sound[of[at] : of[at] + 1 + SPACES]):
+                for end, word, edits in self.readings(s, at):
+                    parts = forms[of[at] : of[end - 1] + 1]
+                    whole = at in first and end in ends
+                    if whole and len(parts) == 1:
+                        continue  # given above
+                    if all(sound[of[at] : of[end - 1] + 1]) or (end not in ends or at not in first) and (sound[of[at]] or sound[of[end - 1]]):
+                        continue
+                    written = s[at:end].replace(" ", "")
+                    if len(word) < (4 if edits else 2) or edits and (not _is_wordish(written) or self.count(word) < RATIO * max(self.least, self.count(written))):
+                        continue
+                    if not whole and (edits and parts[0][:1].isupper() or self.count(word) <= 50 * self.least and not edits and len(word) < 4):
+                        continue  # a capital may begin a name; chance finds short words in anything
+                    cost = self.cost(word) + CONFUSED * len(edits) + PARTED * (len(parts) - 1) + (0.0 if at in first else JOINED)
+                    edges.append((cost, (at, end, word, edits)))
+            for cost, edge in edges:
+                to = edge[1] + (edge[1] in ends and edge[1] < len(s))
+                if to not in best or so_far + cost < best[to][0]:
+                    best[to] = so_far + cost, edge
+        out: list[Edge] = []
+        at = len(s)
+        while at and (edge := best[at][1]) is not None:
+            out.append(edge)
+            at = edge[0]
+        return out[::-1]
+
     def across(self, left: str, right: str, mark: str) -> str | None:
         """What two halves at a line end are: ``break``, ``compound`` or None (no word goes on).
 
@@ -171,94 +296,104 @@ class Page:
         self.readable = True
 
 
-def _segment(form: str, words: Words) -> list[str] | None:
-    """The known words that a form without spaces runs together, by the cheapest way; None if none."""
-    n = len(form)
-    if not 5 <= n <= 40 or not form.isalpha():
-        return None
-    ways: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
-    for end in range(1, n + 1):
-        for start in range(max(0, end - 20), end):
-            w = form[start:end]
-            if ways[start][0] < math.inf and end - start > 1 and words.count(w) > 50 * words.least:
-                cost = ways[start][0] + words.cost(w) + (JOINED if start else 0)
-                if cost < ways[end][0]:
-                    ways[end] = cost, start
-    if ways[n][0] == math.inf or ways[n][1] == 0:
-        return None
-    out, at = [], n
-    while at:
-        out.append(form[ways[at][1] : at])
-        at = ways[at][1]
-    return out[::-1]
+class _Token:
+    """A token of the stream: where it stands, its form without marks, and, if it goes on after a line end, where its second half begins."""
 
+    __slots__ = ("after", "before", "cut", "end", "form", "line", "next_line", "odd", "sound", "wordish")
 
-def decode_page(text: str, words: Words) -> Page:
-    """Find and repair the defects of one page's lines."""
-    page = Page(text.split("\n"))
+    def __init__(self, token: str, line: int, words: Words) -> None:
+        self.form, self.before, self.after, self.wordish, self.sound, self.odd = words.look(token)
+        self.line = self.next_line = line
+        self.cut = len(self.form)
+        self.end = False
+
+
+def _linked(a: _Token, b: _Token) -> bool:
+    """No mark stands between two neighbours, and both are words."""
+    return not (a.after or b.before or a.end or b.end) and a.wordish and b.wordish
+
+
+def _stream(page: Page, words: Words) -> list[_Token]:
+    """The tokens of all lines but furniture, halves at line ends joined."""
     body = [k for k, x in enumerate(page.lines) if x.strip() and not page.furniture[k]]
-    seen = known = 0
-    tail: str | None = None  # the half that the line before left over
+    split = {k: page.lines[k].split() for k in body}
+    out: list[_Token] = []
     for n, k in enumerate(body):
-        line = page.lines[k]
-        tokens = line.split()
-        after = page.lines[body[n + 1]].split() if n + 1 < len(body) else []
-        fixed = list(tokens)
-        end = len(tokens)
+        tokens = split[k]
+        out += [_Token(x, k, words) for x in tokens]
+        if not tokens:
+            continue
         last = tokens[-1]
-        if len(last) > 1 and last[-1] in OWN_MARKS + BREAK_MARKS:
-            left, mark = last[:-1].lstrip(_STRIP), last[-1]
-            right = bare(m.group()) if after and (m := re.match(r"\S+", after[0])) else ""
-            kind = words.across(left, right, mark) if right else None
-            if kind == "break" or not right and mark in BREAK_MARKS and left.isalpha():
-                page.split[k] = True
-            end -= 1
-            if kind:
-                whole = left + right if kind == "break" else f"{left}-{right}"
-                better = words.taken_for(whole)
-                if better:
-                    # the confused characters lie in one of the halves
-                    first = 0
-                    while first < min(len(whole), len(better[0])) and whole[first] == better[0][first]:
-                        first += 1
-                    lasts = 0
-                    while lasts < min(len(whole), len(better[0])) - first and whole[-1 - lasts] == better[0][-1 - lasts]:
-                        lasts += 1
-                    if first < len(left):
-                        page.misread[k] = True
-                    if len(whole) - lasts > len(left) + (kind == "compound"):
-                        page.misread[body[n + 1]] = True
-                fixed[-1] = last[: len(last) - 1 - len(left)] + (better[0] if better else whole)
-                held, tail_next = after[0][len(right) + after[0].find(right) :], after[0]
-                fixed[-1] += held
-            else:
-                tail_next = None
+        if len(last) < 2 or last[-1] not in OWN_MARKS + BREAK_MARKS:
+            continue
+        after = split[body[n + 1]] if n + 1 < len(body) else []
+        left, mark = last[:-1].lstrip(_STRIP), last[-1]
+        right = bare(after[0]) if after else ""
+        kind = words.across(left, right, mark) if right else None
+        if kind == "break" or not right and mark in BREAK_MARKS and left.isalpha():
+            page.split[k] = True
+        if kind:
+            # the first token of the next line moves up
+            second = after.pop(0)
+            whole = _Token(left + right if kind == "break" else f"{left}-{right}", k, words)
+            whole.before, whole.after = last[: len(last) - 1 - len(left)], second[second.find(right) + len(right) :]
+            whole.next_line, whole.cut = body[n + 1], len(whole.form) - len(right)
+            out[-1] = whole
         else:
-            tail_next = None
-        for j in range(1 if tail is not None else 0, end):
-            w = bare(tokens[j])
-            if len(w) < 2 or not _is_wordish(w):
-                continue
+            out[-1].end = True  # half of something unknown
+    if out and body and out[-1].line == body[-1] and out[-1].form and (out[-1].after or out[-1].form)[-1].isalnum():
+        out[-1].end = True  # a text that was cut off
+    return out
+
+
+def decode_page(text: str, words: Words) -> Page:
+    """Find and repair the defects of one page's lines."""
+    page = Page(text.split("\n"))
+    stream = _stream(page, words)
+    seen = known = 0
+    for x in stream:
+        if x.line == x.next_line and x.wordish and not x.end:
             seen += 1
-            if words.sound(w) and not (w.isalpha() is False and not _PARTS.search(w)):
-                known += 1
-                continue
-            if n == len(body) - 1 and j == len(tokens) - 1 and tokens[j][-1].isalnum() or _FOREIGN.search(w):
-                continue  # the end of a text that was cut off; letters of another script
-            better = words.taken_for(w)
-            if better:
-                page.misread[k] = True
-                fixed[j] = tokens[j].replace(w, better[0])
-                known += 1
-            elif j + 1 < end and not words.known(bare(tokens[j + 1])) and words.count(w + bare(tokens[j + 1])) > RATIO * words.least and w.isalpha():
-                fixed[j] += fixed[j + 1]  # a space inside a word
-                fixed[j + 1] = ""
-            elif (several := _segment(w, words)) is not None:
-                fixed[j] = tokens[j].replace(w, " ".join(several))
-        if tail is not None:
-            fixed = fixed[1:]
-        page.repaired[k] = " ".join(x for x in fixed if x)
-        tail = tail_next
+            known += x.sound
+    odd = [x.odd and not x.end for x in stream]
+    new = [x.before + x.form + x.after for x in stream]
+    at, done = 0, 0
+    while at < len(stream):
+        if not odd[at]:
+            at += 1
+            continue
+        lo = hi = at
+        # a neighbour belongs to the stretch; two of them on either side, as a word may be in three parts
+        while lo > done and at - lo < SPACES and _linked(stream[lo - 1], stream[lo]):
+            lo -= 1
+        last = at
+        while hi + 1 < len(stream) and hi - last < SPACES and _linked(stream[hi], stream[hi + 1]):
+            hi += 1
+            if odd[hi]:
+                last = hi
+        run = stream[lo : hi + 1]
+        starts, length = [], 0
+        for x in run:
+            starts.append(length)
+            length += len(x.form) + 1
+        made: list[list[str]] = [[] for _ in run]
+        for start, end, word, edits in words.decode(tuple(x.form for x in run)):
+            k = max(i for i, b in enumerate(starts) if b <= start)
+            made[k].append(word)
+            for e in edits:
+                i = max(i for i, b in enumerate(starts) if b <= e)
+                page.misread[run[i].line if e - starts[i] < run[i].cut else run[i].next_line] = True
+            if edits:
+                known += run[k].line == run[k].next_line
+        for k, (x, w) in enumerate(zip(run, made)):
+            new[lo + k] = x.before + " ".join(w) + x.after if w else ""
+        at = done = hi + 1
+    by_line: dict[int, list[str]] = {}
+    for x, w in zip(stream, new):
+        by_line.setdefault(x.line, []).append(w)
+    for k, x in enumerate(page.lines):
+        if x.strip() and not page.furniture[k]:
+            page.repaired[k] = " ".join(w for w in by_line.get(k, ()) if w)
     page.readable = known >= READABLE * seen
     return page
 

@@ -52,3 +52,18 @@ def test_frequent_misreading():
     page = decode_page("the court sat vvhere\nthe coiirt sat. the\nbear sat where the coii-\nrt. The court sat", words)
     assert [k for k, f in enumerate(page.misread) if f] == [0, 1, 2]
     assert page.repaired[:2] == ["the court sat where", "the court sat. the"]
+
+
+def test_stretches(words):
+    def fixed(text):
+        page = decode_page(text + "\nthe claim.", words)
+        return page.repaired[0], page.misread
+
+    assert fixed("The rnain tenance contract") == ("The maintenance contract", [True, False])
+    assert fixed("The main tenaucc contract") == ("The maintenance contract", [True, False])
+    assert fixed("The main ten ance contract") == ("The maintenance contract", [False, False])
+    assert fixed("the claimdismisscd before") == ("the claim dismissed before", [True, False])
+    assert fixed("the rnaintenancecontract was") == ("the maintenance contract was", [True, False])
+    assert fixed("The court of Sarnrivik accepts") == ("The court of Sarnrivik accepts", [False, False])
+    page = decode_page("The court dismissed the main-\ntenan cc contract.", words)
+    assert page.split == [True, False] and page.misread == [False, True] and page.repaired[0] == "The court dismissed the maintenance"
