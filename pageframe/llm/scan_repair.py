@@ -15,7 +15,6 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,30 +130,17 @@ class Words(dict):
         return self._taken[form]
 
     def _decode(self, form: str) -> tuple[str, float] | None:
-        if len(form) < 3 or len(form) > 40 or not _is_wordish(form):
+        if len(form) < 3 or not _is_wordish(form):
             return None
         own = max(self.count(form), self.least)
-        places = [(i, len(k), r) for i in range(len(form)) for k in (form[i : i + 3], form[i : i + 2], form[i]) if k in CONFUSIONS for r in CONFUSIONS[k]]
-        places = list(dict.fromkeys(places))
-        if len(form) < 4 and form.isalpha():
-            places = [p for p in places if p[1] > 1]  # one letter for another makes most short words
         best: tuple[str, float] | None = None
-        for n in range(1, MOST + 1):
-            if best or n > 1 and len(places) > 24 or n > 2 and len(places) > 14:
-                break
-            for some in combinations(places, n):
-                if any(a + k > b for (a, k, _), (b, _, _) in zip(some, some[1:])):
-                    continue
-                word, at = "", 0
-                for i, k, r in some:
-                    word += form[at:i] + r
-                    at = i + k
-                word += form[at:]
-                count = self.count(word)
-                if count >= RATIO * own:
-                    cost = n * CONFUSED + self.cost(word)
-                    if best is None or cost < best[1]:
-                        best = word, cost
+        fewest = MOST
+        # one letter for another makes most short words
+        for end, word, edits in self.readings(form, 0, 2 if len(form) < 4 and form.isalpha() else 1):
+            if end == len(form) and edits and len(edits) <= fewest and self.count(word) >= RATIO * own:
+                cost = len(edits) * CONFUSED + self.cost(word)
+                if best is None or len(edits) < fewest or cost < best[1] or cost == best[1] and word > best[0]:  # small letters on a tie
+                    best, fewest = (word, cost), len(edits)
         if best is None and _PARTS.search(form):
             # a compound or an elided article: each part by itself
             out, cost = [], 0.0
@@ -169,14 +155,15 @@ class Words(dict):
             return ("".join(out), cost) if cost else None
         return best
 
-    def readings(self, s: str, start: int) -> list[tuple[int, str, tuple[int, ...]]]:
+    def readings(self, s: str, start: int, width: int = 1) -> list[tuple[int, str, tuple[int, ...]]]:
         """Frequent words that can begin at a place of a stretch: end, word and the places of its confused characters.
 
         A word may have up to ``MOST`` confused characters and ``SPACES`` spaces
-        inside; the walk goes only where a word goes on.
+        inside; the walk goes only where a word goes on. What is confused is
+        written with ``width`` characters at least.
         """
         keys, out = self._keys, []
-        for lowered in (False, True) if s[start].isupper() else (False,):
+        for lowered in (False, True):  # a capital may begin a word that is known in small letters
             todo: list[tuple[int, str, int, tuple[int, ...], int]] = [(start, "", 0, (), 0)]
             while todo:
                 at, key, lo, edits, spaces = todo.pop()
@@ -190,9 +177,13 @@ class Words(dict):
                     continue
                 steps = [(1, s[at], edits)]
                 if len(edits) < MOST:
-                    steps += [(len(k), r, (*edits, at)) for k in dict.fromkeys((s[at : at + 3], s[at : at + 2], s[at])) for r in CONFUSIONS.get(k, ())]
+                    steps += [(len(k), r, (*edits, at)) for k in dict.fromkeys((s[at : at + 3], s[at : at + 2], s[at])) if len(k) >= width for r in CONFUSIONS.get(k, ())]
                 for n, r, e in steps:
-                    p = key + r if key or not lowered else r[0].lower() + r[1:]
+                    if lowered and not key:
+                        if not r[0].isupper():
+                            continue
+                        r = r[0].lower() + r[1:]
+                    p = key + r
                     i = bisect_left(keys, p, lo)
                     if i < len(keys) and keys[i].startswith(p):
                         todo.append((at + n, p, i, e, spaces))

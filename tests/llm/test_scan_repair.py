@@ -67,3 +67,12 @@ def test_stretches(words):
     assert fixed("The court of Sarnrivik accepts") == ("The court of Sarnrivik accepts", [False, False])
     page = decode_page("The court dismissed the main-\ntenan cc contract.", words)
     assert page.split == [True, False] and page.misread == [False, True] and page.repaired[0] == "The court dismissed the maintenance"
+
+
+def test_many_places():
+    long = "nonintercommunicationalinitiations" + "lines" * 2
+    words = Words({"indemnification": 5000, "october": 5000, long: 5000})
+    assert words.taken_for("inclcmnificatiori")[0] == "indemnification"  # 3 of more than 14 places
+    assert len(long) > 40 and words.taken_for(long.replace("mm", "mrn", 1))[0] == long
+    assert words.taken_for("Oc+ober")[0] == "October"
+    assert words.taken_for("inclcmniticatiorii") is None
