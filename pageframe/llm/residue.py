@@ -24,7 +24,7 @@ from pageframe.llm._common import count_keys, map_columns
 # Labelled exemplars. Digits stand for any number. ``error`` and
 # ``notice`` are wordings of error pages, ``furniture`` what such pages carry
 # beside, ``filler`` text that stands in for content, ``fields`` words that mark
-# an unfilled field inside brackets.
+# an unfilled field inside brackets, ``names`` what stands in brackets for a value.
 EXEMPLARS: dict[str, tuple[str, ...]] = {
     "error": (
         "404 Not Found",
@@ -91,22 +91,29 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
         "Text provizoriu de înlocuit",
     ),
     "fields": (
-        "insert date", "insert name of claimant", "insert", "title", "date to be completed", "to be completed", "to be inserted", "to be added", "date", "name", "address", "tbd", "tba", "todo",
+        "insert date", "insert name of claimant", "insert", "date to be completed", "to be completed", "to be inserted", "to be added", "tbd", "tba", "todo",
         "bitte ergänzen", "bitte einsetzen", "einfügen", "à compléter", "à insérer", "por completar", "completar", "da completare", "inserire", "de completat", "completați",
     ),
+    "names": (
+        "title", "date", "name", "address", "amount", "case number", "court name", "party name",
+        "name of the claimant", "name of the respondent", "name of the defendant", "name of the applicant", "name of the appellant", "name of the judge", "name of the court", "name of the party",
+        "date of the hearing", "date of the decision", "date of the judgment", "date of birth", "address of the claimant", "address of the respondent",
+        "name des klägers", "datum der verhandlung", "nom du demandeur", "date de l'audience", "nombre del demandante", "fecha de la vista", "nome del ricorrente", "data dell'udienza", "numele reclamantului", "data ședinței",
+    ),
 }
 
+FIELDS = ("fields", "names")
 # The marks of template languages around a field, and what programs
 # write for a missing value.
 FIELD_MARKS = re.compile(
-    r"\{\{.{0,200}?\}\}|\{%.{0,200}?%\}|<%.{0,200}?%>|\$\{\w[\w. -]{0,80}\}|\{(?:\d{1,2}|[A-Z][A-Z_]{2,60})\}|\[\[[^\W\d_][^\[\]\n]{1,60}\]\]|«\w+_\w+»|<<[A-Z_]{2,60}>>"
+    r"\{\{.{0,200}?\}\}|\{%.{0,200}?%\}|<%.{0,200}?%>|\$\{\w[\w. -]{0,80}\}|\{(?:\d{1,2}|[A-Z][A-Z_]{2,60}|[a-z][a-z\d]*(?:[_.][a-z\d]+)+)\}|\[\[[^\W\d_][^\[\]\n]{1,60}\]\]|«\w+_\w+»|<<[A-Z_]{2,60}>>"
     r"|<[A-Z][A-Z_]{2,60}>|@@\w{2,60}@@|%[A-Z][A-Z_]{2,60}%|#[A-Z][A-Z_]{2,60}#|\$[A-Z][A-Z_]{2,60}\$|(?<!\w)__[A-Z][A-Z_]{2,60}__(?!\w)",
     re.S,
 )
 EMPTY_VALUES = re.compile(r"\[object Object\]|(?<![\w'\"-])undefined(?![\w'\"-])|(?<![\w%])%[sd](?!\w)|\(null\)|(?<!\w)NaN(?!\w)|(?<!\w)(?:XX[./-]XX[./-](?:XX|\d\d)(?:XX|\d\d)|dd[./-]mm[./-]yyyy|DD[./-]MM[./-]YYYY|00[./]00[./]0000|0000-00-00)(?!\w)")
-BRACKET = re.compile(r"\[([^\[\]\n]{2,80})\]")
+BRACKET = re.compile(r"\[([^\[\]\n]{2,80})\]|\{([a-z]{3,40})\}")
 # where a field may begin; every branch starts with a character of its own, so that the search skips fast
-_FIELD_HINT = re.compile(r"\{[{%\dA-Z]|<[%<A-Z]|\$[{A-Z]|«\w|@@|%[A-Zsd]|#[A-Z]|__[A-Z]|\[[^\W\d]|\[\[|undefined|\(null|NaN|XX[./-]|dd[./-]|DD[./-]|00[./-]0|0000-")
+_FIELD_HINT = re.compile(r"\{[{%\dA-Za-z]|<[%<A-Z]|\$[{A-Z]|«\w|@@|%[A-Zsd]|#[A-Z]|__[A-Z]|\[[^\W\d]|\[\[|undefined|\(null|NaN|XX[./-]|dd[./-]|DD[./-]|00[./-]0|0000-")
 
 TERM = re.compile(r"[^\W\d_]+|\d+|[|©]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>")
@@ -118,6 +125,9 @@ _PASSAGE = re.compile(r"\n|</?\w+>|(?<=[.!?;])\s+")
 HELD, COVERED, PAGE = 0.7, 0.75, 0.6
 #: Terms beyond which an exemplar is a vocabulary of pseudo-words, not a sentence.
 BAG = 15
+#: Terms that a bracketed field has at most, and share of its weight that a
+#: wording of an unfilled field (``fields``) must cover.
+FIELD_TERMS, FIELD_SHARE = 10, 0.25
 
 
 def terms(text: str) -> list[str]:
@@ -136,8 +146,8 @@ def _passages(text: str) -> tuple[list[int], list[str]]:
     return [*starts, at], [*out, _TAG.sub(" ", text[at:])]
 
 
-def _pieces(kind: str, text: str) -> list[str]:
-    return [p for p in _PASSAGE.split(text) if p.strip()] if kind not in ("fields",) else [text]
+def _pieces(text: str) -> list[str]:
+    return [p for p in _PASSAGE.split(text) if p.strip()]
 
 
 class ResidueIndex:
@@ -154,10 +164,10 @@ class ResidueIndex:
         self.postings: dict[str, list[int]] = defaultdict(list)
         anchors: set[str] = set()
         for kind, texts in EXEMPLARS.items():
-            if kind == "fields":
+            if kind in FIELDS:
                 continue
             for text in texts:
-                for piece in _pieces(kind, text):
+                for piece in _pieces(text):
                     bag = Counter(terms(piece))
                     k = len(self.exemplars)
                     self.exemplars.append((kind, bag, sum(self.idf(t) * n for t, n in bag.items())))
@@ -165,7 +175,17 @@ class ResidueIndex:
                         self.postings[t].append(k)
                     if kind != "furniture":
                         anchors.update(self._anchors_of(bag, self.exemplars[k][2]))
-        self.fields = frozenset(" ".join(terms(x)) for x in EXEMPLARS["fields"])
+        # fields have an index and frequencies of their own, as they are held against brackets only
+        self.field_counts = {t: counts.get(t, 0) for t in self.field_vocabulary()}
+        self.fields: list[tuple[str, Counter, float]] = []
+        self.field_postings: dict[str, list[int]] = defaultdict(list)
+        for kind in FIELDS:
+            for text in EXEMPLARS[kind]:
+                bag = Counter(terms(text))
+                for t in bag:
+                    self.field_postings[t].append(len(self.fields))
+                self.fields.append((kind, bag, sum(self.field_idf(t) * n for t, n in bag.items())))
+        self._unfilled: dict[str, bool] = {}
         self.anchors = ahocorasick.Automaton()
         for a in anchors:
             self.anchors.add_word(a, a)
@@ -185,7 +205,14 @@ class ResidueIndex:
     @staticmethod
     def vocabulary() -> set[str]:
         """The terms whose corpus frequency is needed."""
-        return {t for kind, texts in EXEMPLARS.items() if kind != "fields" for x in texts for t in terms(x)}
+        return {t for kind, texts in EXEMPLARS.items() if kind not in FIELDS for x in texts for t in terms(x)}
+
+    @staticmethod
+    def field_vocabulary() -> set[str]:
+        return {t for kind in FIELDS for x in EXEMPLARS[kind] for t in terms(x)}
+
+    def field_idf(self, term: str) -> float:
+        return math.log(1 + self.total / (1 + self.field_counts.get(term, self.total / 1000)))
 
     def idf(self, term: str) -> float:
         """Terms outside every exemplar count as much as a term of one in a thousand, numbers as one in twenty."""
@@ -216,13 +243,43 @@ class ResidueIndex:
                     best, kind = held, own
         return kind, sum(self.idf(t) * n for t, n in bag.items() if t in covered), weight
 
+    def unfilled(self, span: str) -> bool:
+        """Whether what stands in brackets is a field: by TF-IDF containment of the ``fields`` and ``names`` that share a term with it.
+
+        A wording of ``fields`` must be held, and cover ``FIELD_SHARE`` of the
+        span; ``names`` must cover ``COVERED`` of it, so that a redaction such as
+        'name withheld' is none.
+        """
+        if span not in self._unfilled:
+            if len(self._unfilled) > 100_000:
+                self._unfilled.clear()
+            self._unfilled[span] = self._is_field(Counter(terms(span)))
+        return self._unfilled[span]
+
+    def _is_field(self, bag: Counter) -> bool:
+        if not bag or bag.total() > FIELD_TERMS:
+            return False
+        weight = sum(self.field_idf(t) * n for t, n in bag.items())
+        shared: dict[int, float] = defaultdict(float)
+        for t, n in bag.items():
+            for k in self.field_postings.get(t, ()):
+                shared[k] += self.field_idf(t) * min(n, self.fields[k][1][t])
+        covered: set[str] = set()
+        for k, s in shared.items():
+            kind, e, full = self.fields[k]
+            if s >= HELD * full:
+                if kind == "fields" and s >= FIELD_SHARE * weight:
+                    return True
+                covered |= e.keys()
+        return sum(self.field_idf(t) * n for t, n in bag.items() if t in covered) >= COVERED * weight
+
     def fields_in(self, text: str) -> str | None:
         """The first unfilled field or empty value of the text."""
         for hint in _FIELD_HINT.finditer(text):
             at = hint.start()
             if m := FIELD_MARKS.match(text, at) or EMPTY_VALUES.match(text, at):
                 return m.group()
-            if (m := BRACKET.match(text, at)) and " ".join(terms(m.group(1))) in self.fields:
+            if (m := BRACKET.match(text, at)) and self.unfilled(m.group(1) or m.group(2)):
                 return m.group()
         return None
 
@@ -256,7 +313,7 @@ class ResidueIndex:
 
 
 def _term_counts(docs: DataFrame) -> DataFrame:
-    wanted = ResidueIndex.vocabulary()
+    wanted = ResidueIndex.vocabulary() | ResidueIndex.field_vocabulary()
 
     def make() -> Callable[..., dict]:
         def step(texts: list) -> dict:

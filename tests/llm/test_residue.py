@@ -37,3 +37,11 @@ def test_table(texts):
     got = sorted((r["id"], r["kind"]) for r in find_residue(texts(rows), "id", "text").collect())
     assert got == [(2, "error"), (5, "field")]
     assert find_residue(texts([]), "id", "text").count() == 0
+
+
+def test_fields_by_containment():
+    index = ResidueIndex({"the": 50_000, "of": 40_000, "to": 30_000, "be": 9000, "date": 900, "name": 300, "hearing": 800, "respondent": 900, "claimant": 900, "court": 5000, "insert": 5, "added": 90}, 1_000_000)
+    for span in ("[insert date of hearing]", "[name of the respondent]", "{court_name}", "{name}", "[date of judgment to be inserted]", "[INSERT DATE]", "[TITLE]", "[bitte ergänzen]"):
+        assert index.judge(f"The court heard {span} and dismissed the claim.") == ("field", span)
+    for span in ("[name withheld]", "[REDACTED]", "[sic]", "[emphasis added]", "[Respondent]", "[the court]", "{a; b}", "[...]", "[the date and the name of a witness who was heard]"):
+        assert index.judge(f"The court heard {span} and dismissed the claim.") is None
