@@ -125,6 +125,9 @@ _PASSAGE = re.compile(r"\n|</?\w+>|(?<=[.!?;])\s+")
 HELD, COVERED, PAGE = 0.7, 0.75, 0.6
 #: Terms beyond which an exemplar is a vocabulary of pseudo-words, not a sentence.
 BAG = 15
+#: Lines that a window joins at most. A passage that a filler exemplar covers may
+#: hold this share of it only, with so many of its terms in a row.
+LINES, PART, TERMS = 3, 0.3, 4
 #: Terms that a bracketed field has at most, and share of its weight that a
 #: wording of an unfilled field (``fields``) must cover.
 FIELD_TERMS, FIELD_SHARE = 10, 0.25
@@ -134,16 +137,26 @@ def terms(text: str) -> list[str]:
     return ["0" if t[0].isdigit() else t for t in TERM.findall(text.casefold())]
 
 
-def _passages(text: str) -> tuple[list[int], list[str]]:
-    """Starts and texts of the lines and sentences, without tags; of an object's text, its values."""
+def _passages(text: str) -> tuple[list[int], list[str], list[bool]]:
+    """Starts and texts of the lines and sentences, without tags, and whether each goes on in the next, over a line feed; of an object's text, its values."""
     if text.lstrip()[:1] == "{" and (values := _VALUE.findall(text)):
-        return [0], [" ".join(v for v in values if " " in v or not re.search(r"\d", v))]
-    starts, out, at = [], [], 0
+        return [0], [" ".join(v for v in values if " " in v or not re.search(r"\d", v))], [False]
+    starts, out, on, at = [], [], [], 0
     for m in _PASSAGE.finditer(text):
         starts.append(at)
         out.append(_TAG.sub(" ", text[at : m.start()]))
+        on.append(m.group() == "\n" and bool(out[-1].strip()) and out[-1].rstrip()[-1] not in ".!?;")
         at = m.end()
-    return [*starts, at], [*out, _TAG.sub(" ", text[at:])]
+    last = _TAG.sub(" ", text[at:])
+    if on and not last.strip():
+        on[-1] = False
+    on = [a and bool(b.strip()) for a, b in zip(on, [*out[1:], last])]
+    return [*starts, at], [*out, last], [*on, False]
+
+
+def _windows(on: list[bool], k: int) -> list[tuple[int, int]]:
+    """First and last passage of the windows of up to ``LINES`` joined lines that hold a passage, the shortest first."""
+    return [(lo, lo + n) for n in range(LINES) for lo in range(max(0, k - n), k + 1) if lo + n < len(on) and all(on[lo : lo + n])]
 
 
 def _pieces(text: str) -> list[str]:
@@ -161,6 +174,7 @@ class ResidueIndex:
         self.total = max(total, 1)
         self.counts = {t: counts.get(t, 0) for t in self.vocabulary()}
         self.exemplars: list[tuple[str, Counter, float]] = []
+        self.rows: list[str] = []  # the exemplars' terms in their order
         self.postings: dict[str, list[int]] = defaultdict(list)
         anchors: set[str] = set()
         for kind, texts in EXEMPLARS.items():
@@ -170,11 +184,12 @@ class ResidueIndex:
                 for piece in _pieces(text):
                     bag = Counter(terms(piece))
                     k = len(self.exemplars)
+                    self.rows.append(f" {' '.join(terms(piece))} ")
                     self.exemplars.append((kind, bag, sum(self.idf(t) * n for t, n in bag.items())))
                     for t in bag:
                         self.postings[t].append(k)
                     if kind != "furniture":
-                        anchors.update(self._anchors_of(bag, self.exemplars[k][2]))
+                        anchors.update(self._anchors_of(bag, self.exemplars[k][2], PART if kind == "filler" else HELD))
         # fields have an index and frequencies of their own, as they are held against brackets only
         self.field_counts = {t: counts.get(t, 0) for t in self.field_vocabulary()}
         self.fields: list[tuple[str, Counter, float]] = []
@@ -191,11 +206,11 @@ class ResidueIndex:
             self.anchors.add_word(a, a)
         self.anchors.make_automaton()
 
-    def _anchors_of(self, bag: Counter, full: float) -> list[str]:
-        """The rarest terms of an exemplar: a passage without any of them can't hold ``HELD`` of it."""
+    def _anchors_of(self, bag: Counter, full: float, least: float) -> list[str]:
+        """The rarest terms of an exemplar: a passage without any of them can't hold ``least`` of it."""
         out, left = [], full
         for t in sorted(bag, key=self.idf, reverse=True):
-            if left < HELD * full and len(bag) <= BAG:
+            if left < least * full and len(bag) <= BAG:
                 break
             if t != "0":
                 out.append(t)
@@ -220,9 +235,13 @@ class ResidueIndex:
             return math.log(21)
         return math.log(1 + self.total / (1 + self.counts.get(term, self.total / 1000)))
 
+    def _in_a_row(self, words: list[str], k: int) -> bool:
+        return any(f" {' '.join(words[at : at + TERMS])} " in self.rows[k] for at in range(len(words) - TERMS + 1))
+
     def match(self, passage: str) -> tuple[str | None, float, float]:
         """Kind of the best exemplar that the passage holds, weight covered by held ones, and weight in all."""
-        bag = Counter(terms(passage))
+        words = terms(passage)
+        bag = Counter(words)
         weight = sum(self.idf(t) * n for t, n in bag.items())
         shared: dict[int, float] = defaultdict(float)
         for t, n in bag.items():
@@ -237,6 +256,8 @@ class ResidueIndex:
                 held = s / weight if len(bag.keys() & e.keys()) > 2 else 0.0
             else:
                 held = s / full if full else 0.0
+                if own == "filler" and PART <= held < HELD and self._in_a_row(words, k):
+                    held = s / weight  # the exemplar covers the passage
             if held >= HELD:
                 covered |= e.keys()
                 if held > best or kind == "furniture":
@@ -293,22 +314,32 @@ class ResidueIndex:
         hits = [end for end, a in self.anchors.iter(low) if not low[end + 1 : end + 2].isalpha() and not low[end - len(a) : end - len(a) + 1].isalpha()]
         if not hits:
             return None
-        passages = _passages(text)
+        starts, passages, on = _passages(text)
         error = evidence = None
-        for k, _ in groupby(hits, lambda at: bisect_right(passages[0], at) - 1):
-            kind, c, w = self.match(passages[1][k])
-            if kind and w and c / w >= COVERED:
+        covers: dict[tuple[int, int], str | None] = {}
+
+        def kind_of(lo: int, hi: int) -> str | None:
+            """The kind that covers a window."""
+            if (lo, hi) not in covers:
+                kind, c, w = self.match(" ".join(passages[lo : hi + 1]))
+                covers[lo, hi] = kind if kind and w and c / w >= COVERED else None
+            return covers[lo, hi]
+
+        for k, _ in groupby(hits, lambda at: bisect_right(starts, at) - 1):
+            for lo, hi in _windows(on, k):
+                kind = kind_of(lo, hi)
                 if kind == "filler":
-                    return "filler", passages[1][k].strip()
+                    return "filler", " ".join(passages[lo : hi + 1]).strip()
                 if kind in ("error", "notice"):
-                    error, evidence = kind, evidence or passages[1][k].strip()
+                    error, evidence = kind, evidence or " ".join(passages[lo : hi + 1]).strip()
+                    break
         if not error:
             return None
         covered = weight = 0.0
-        for passage in passages[1]:
-            kind, c, w = self.match(passage)
+        for k, passage in enumerate(passages):
+            w = self.match(passage)[2]
             weight += w
-            covered += w if kind and w and c / w >= COVERED else 0.0
+            covered += w if any(kind_of(lo, hi) for lo, hi in _windows(on, k)) else 0.0
         return (error, evidence) if covered >= PAGE * weight else None
 
 

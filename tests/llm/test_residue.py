@@ -45,3 +45,13 @@ def test_fields_by_containment():
         assert index.judge(f"The court heard {span} and dismissed the claim.") == ("field", span)
     for span in ("[name withheld]", "[REDACTED]", "[sic]", "[emphasis added]", "[Respondent]", "[the court]", "{a; b}", "[...]", "[the date and the name of a witness who was heard]"):
         assert index.judge(f"The court heard {span} and dismissed the claim.") is None
+
+
+def test_wrapped_and_partial(index):
+    assert index.judge("Please enable JavaScript in your browser\nto view this decision.")[0] == "notice"
+    assert index.judge("Bitte aktivieren Sie JavaScript,\num das Urteil\nanzuzeigen.\nHome | Search | Help | Contact")[0] == "notice"
+    for text in ("Lorem ipsum dolor sit amet.", "Lorem ipsum dolor sit amet consectetur adipiscing", "Replace this\nparagraph with\nyour own."):
+        assert index.judge(BODY + "\n" + text + "\n" + BODY)[0] == "filler"
+    assert index.judge("The court heard the clerk say: please enable JavaScript\nin your browser to view this decision, and dismissed the claim.") is None
+    usual = ResidueIndex({"the": 5000, "to": 900, "this": 900, "is": 900, "only": 300, "for": 900, "with": 900, "your": 50, "own": 100, "page": 50}, 100_000)
+    assert usual.judge(BODY + "\nThis is only for\nthe page.") is None and usual.judge(BODY + "\nThis is dummy content for layout.")[0] == "filler"
