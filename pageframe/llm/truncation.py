@@ -22,6 +22,8 @@ from pageframe.llm.shape import ShapeModel, shape_of
 #: Lengths on either side that tell how many texts to expect at one, and how far
 #: above them, and above chance, a limit stands.
 NEAR, LEAST, TIMES = 25, 5, 6.0
+#: Share of the texts at a limit that are more than to expect, from which the limit counts against a text's ending.
+SURE = 0.95
 
 
 def lengths(text: Column) -> dict[str, Column]:
@@ -136,12 +138,14 @@ def is_item(line: str) -> bool:
     return bool(_MARKED.match(line)) or "\t" in line or line.count("|") > 1 or line.rstrip().endswith(";")
 
 
-def stops_short(text: str | None) -> str | None:
+def stops_short(text: str | None, limited: bool = False) -> str | None:
     """What a text stops inside of (word or sentence), None if it is complete or blank.
 
     Text of prose is meant. A full sentence, a sign-off, a list item, a table
     row or page furniture ends a complete text. A last mark that may be an
-    abbreviation's or an ordinal's does not end a sentence.
+    abbreviation's or an ordinal's does not end a sentence. In a text that is
+    ``limited``, as it ends at a sure limit of its source, a last line after an
+    unfinished one goes on with it, whatever it looks like; a page number does not.
     """
     if not text or not (body := text.rstrip()):
         return None
@@ -152,7 +156,8 @@ def stops_short(text: str | None) -> str | None:
         return "word or sentence"
     if _FULL.search(last) and not _SHORT.search(last):
         return None
-    if is_furniture(last) or is_sign_off(last, before) or is_item(last):
+    goes_on = limited and before and not _FULL.search(before) and not is_furniture(before) and not _PAGE.fullmatch(last)
+    if not goes_on and (is_furniture(last) or is_sign_off(last, before) or is_item(last)):
         return None
     return "sentence" if text[-1].isspace() or not last[-1].isalpha() else "word or sentence"
 
@@ -196,7 +201,7 @@ def truncated_texts(df: DataFrame, id_column: str, source_column: str, text_colu
     """
     # whole texts of a fixture are all of one length, which is no limit
     maybe = df.where(F.length(text_column) < F.length(truth_column) - 3) if truth_column else df
-    limits = {(r["origin"], r["encoding"], r["length"]) for r in hidden_limits(maybe, source_column, text_column).toLocalIterator()}
+    limits = {(r["origin"], r["encoding"], r["length"]): r["expected"] <= (1 - SURE) * r["n"] for r in hidden_limits(maybe, source_column, text_column).toLocalIterator()}
     names = list(lengths(F.lit("")))
     sized = df.select(
         F.col(id_column).alias("record_id"),
@@ -220,7 +225,7 @@ def truncated_texts(df: DataFrame, id_column: str, source_column: str, text_colu
                     if stop and shape_of(truth, shapes) != "prose":
                         stop = None
                 else:
-                    stop = stops_short(t)
+                    stop = stops_short(t, at and any(limits.get((o, k, n)) for k, n in zip(names, size)))
                     if stop and shape_of(t, shapes) != "prose":
                         stop = None
                 if stop:

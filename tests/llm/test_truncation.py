@@ -49,3 +49,15 @@ def test_limits_and_cases(texts):
     shares = {r["origin"]: r["truncated"] for r in truncation_shares(cases, df, "id", "engine", "text").collect()}
     assert shares == {"a": len(got) - 1, "b": 0, "": 1}
     assert truncated_texts(texts([], "id bigint, engine string, text string"), "id", "engine", "text", ShapeModel()).count() == 0
+
+
+def test_limit_decides(texts):
+    cited = "The court accepts that the claim was settled before the hearing in the lower court. See\nHulolberg v Branmanetti [2016] NT"
+    paged = "The court accepts that the claim was settled before the hearing in the lower court.\nHulolberg v Branmanetti [2016] NT"
+    numbered = "The court accepts that the claim was settled before the hearing\nPage 3"
+    assert stops_short(cited) is None and stops_short(cited, True) and stops_short(paged, True) is None and stops_short(numbered, True) is None
+    limit = len(cited)
+    cut = ("The court accepts that the claim was settled before the hearing and that the parties " * 9)[:limit]
+    rows = [(k, "a", cut) for k in range(200)] + [(500, "a", cited), (501, "b", cited)]
+    got = {r["record_id"] for r in truncated_texts(texts(rows, "id bigint, source string, text string"), "id", "source", "text", ShapeModel()).collect()}
+    assert 500 in got and 501 not in got
