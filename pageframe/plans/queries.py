@@ -612,13 +612,24 @@ def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("line", F.format_string("| %s | %d |", "engine", "runs")).withColumn("label", txt.safe_label(F.col("engine")))
 
 
-@query(f"WITH {_B}, e AS (SELECT DISTINCT engine FROM b WHERE engine LIKE '%trocr%' OR engine = 'donut'), p AS (SELECT DISTINCT preprocess FROM b), g AS (SELECT engine, name AS fixture, preprocess FROM e, bench_fixtures, p) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY engine, fixture, preprocess) - 1 AS i FROM g) WHERE i % 3 = 1")
-def benchmark_grid(spark: SparkSession, d: str) -> DataFrame:
-    """J09, P17, P18."""
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    """Every combination with its place ``i`` in the grid's order."""
     runs = _runs(spark, d)
     engines = runs.where(F.col("engine").contains("trocr") | (F.col("engine") == "donut")).select("engine").distinct()
     g = benchmark.grid(engines, _t(spark, d, "bench_fixtures").select(F.col("name").alias("fixture")), runs.select("preprocess").distinct())
-    return g.withColumn("i", (F.row_number().over(Window.orderBy("engine", "fixture", "preprocess")) - 1).cast("bigint")).where("i % 3 = 1")
+    return g.withColumn("i", (F.row_number().over(Window.orderBy("engine", "fixture", "preprocess")) - 1).cast("bigint"))
+
+
+@query(f"WITH {_B}, e AS (SELECT DISTINCT engine FROM b WHERE engine LIKE '%trocr%' OR engine = 'donut'), p AS (SELECT DISTINCT preprocess FROM b), g AS (SELECT engine, name AS fixture, preprocess FROM e, bench_fixtures, p) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY engine, fixture, preprocess) - 1 AS i FROM g) WHERE i % 3 = 1")
+def benchmark_grid(spark: SparkSession, d: str) -> DataFrame:
+    """J09, P17, P18."""
+    return _grid(spark, d).where("i % 3 = 1")
+
+
+@query(f"WITH {_B}, e AS (SELECT DISTINCT engine FROM b WHERE engine LIKE '%trocr%' OR engine = 'donut'), p AS (SELECT DISTINCT preprocess FROM b), g AS (SELECT engine, name AS fixture, preprocess FROM e, bench_fixtures, p) SELECT *, i % 3 AS shard FROM (SELECT *, row_number() OVER (ORDER BY engine, fixture, preprocess) - 1 AS i FROM g)")
+def benchmark_whole_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The whole grid, with the shard of three that each row is in."""
+    return _grid(spark, d).withColumn("shard", F.col("i") % 3)
 
 
 @query(f"WITH {_B} SELECT bench_id, left(replace(extracted_text, chr(10), ' '), 70) || CASE WHEN length(extracted_text) > 70 THEN '...' ELSE '' END AS note FROM b")

@@ -33,3 +33,11 @@ def test_equals_sql(spark, con, name):
 
 def test_every_sql_has_a_query():
     assert set(core.oracle_sql()) <= set(core.queries())
+
+
+def test_whole_grid(spark, con):
+    ours, theirs = core.queries()["benchmark_whole_grid"](spark, DATA).toPandas(), con.sql(core.oracle_sql()["benchmark_whole_grid"]).df()
+    assert rows(ours) == rows(theirs)
+    part = core.queries()["benchmark_grid"](spark, DATA).toPandas()
+    assert len(ours) == ours.engine.nunique() * ours.fixture.nunique() * ours.preprocess.nunique() > len(part) > 0
+    assert rows(ours[ours.shard == 1].drop(columns="shard")) == rows(part)
