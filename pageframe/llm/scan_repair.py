@@ -26,7 +26,7 @@ from pageframe.llm.truncation import is_furniture
 CONFUSIONS: dict[str, tuple[str, ...]] = {
     "0": ("o", "O"), "1": ("i", "l", "I"), "3": ("e", "B"), "4": ("A",), "5": ("s", "S"), "6": ("b", "G"), "8": ("B",), "9": ("g", "q"),
     "+": ("t",), "|": ("l", "I", "i"), "!": ("l", "i"), "$": ("s", "S"), "€": ("e",), "(": ("c",), "¢": ("c",),
-    "a": ("o",), "b": ("h",), "c": ("e",), "e": ("c",), "f": ("t",), "h": ("b",), "i": ("l",), "I": ("l",), "l": ("i", "I"), "n": ("u",), "o": ("a", "e"), "q": ("g",), "t": ("f",), "u": ("n",), "v": ("y",), "y": ("v",), "O": ("Q", "C"),
+    "a": ("o",), "b": ("h",), "c": ("e", "o"), "e": ("c",), "f": ("t",), "h": ("b",), "i": ("l",), "I": ("l",), "l": ("i", "I"), "n": ("u",), "o": ("a", "e", "c"), "q": ("g",), "t": ("f",), "u": ("n",), "v": ("y",), "y": ("v",), "O": ("Q", "C"),
     "cl": ("d",), "ci": ("a",), "ii": ("u", "n"), "iii": ("m",), "in": ("m",), "li": ("h", "u"), "nn": ("m",), "ri": ("n",), "rn": ("m",), "rri": ("m",), "vv": ("w",), "VV": ("W",), "m": ("rn",), "d": ("cl",), "w": ("vv",), "h": ("li",), "lc": ("k",), "tl": ("d",),
 }
 # Marks that can stand for a break at a line end. The first two may be a word's own.
@@ -37,10 +37,12 @@ OWN_MARKS, BREAK_MARKS = "-‐", "¬­"
 SHARE = 2e-6
 #: How much more frequent than a written form the word must be that it is taken for.
 RATIO = 20
-#: Confused characters in one word, and the cost of each kind of repair, in nats.
-MOST, CONFUSED, PARTED, JOINED = 3, 6.0, 7.0, 5.0
-#: Spaces inside one word, and the cost of leaving a form as it stands: once, and for each character.
-SPACES, UNSEEN, LETTER = 2, 13.0, 2.2
+#: The cost of each kind of repair, in nats.
+CONFUSED, PARTED, JOINED = 6.0, 7.0, 5.0
+#: The cost of leaving a form as it stands: once, and for each character.
+UNSEEN, LETTER = 13.0, 2.2
+#: Sound neighbours on either side that enter the lattice of a stretch.
+NEIGHBOURS = 2
 #: Share of known words under which a page is no text.
 READABLE = 0.3
 
@@ -91,6 +93,7 @@ class Words(dict):
         self._ways: dict[tuple[str, ...], list[Edge]] = {}
         # in order, so that the words that start with a prefix are found by halving: a trie without nodes
         self._keys = sorted(w for w, n in counts.items() if n >= RATIO * self.least)
+        self._longest = 2 * max(map(len, self._keys), default=0)
 
     def cost(self, word: str) -> float:
         n = max(self.get(word, 0), self.get(word[:1].lower() + word[1:], 0) if word[:1].isupper() else 0)
@@ -134,7 +137,7 @@ class Words(dict):
             return None
         own = max(self.count(form), self.least)
         best: tuple[str, float] | None = None
-        fewest = MOST
+        fewest = len(form)
         # one letter for another makes most short words
         for end, word, edits in self.readings(form, 0, 2 if len(form) < 4 and form.isalpha() else 1):
             if end == len(form) and edits and len(edits) <= fewest and self.count(word) >= RATIO * own:
@@ -158,9 +161,10 @@ class Words(dict):
     def readings(self, s: str, start: int, width: int = 1) -> list[tuple[int, str, tuple[int, ...]]]:
         """Frequent words that can begin at a place of a stretch: end, word and the places of its confused characters.
 
-        A word may have up to ``MOST`` confused characters and ``SPACES`` spaces
-        inside; the walk goes only where a word goes on. What is confused is
-        written with ``width`` characters at least.
+        A word may have any number of confused characters, and of spaces inside,
+        by which it is still cheaper than what it stands for, left as it is; the
+        walk goes only where a word goes on. What is confused is written with
+        ``width`` characters at least.
         """
         keys, out = self._keys, []
         for lowered in (False, True):  # a capital may begin a word that is known in small letters
@@ -172,11 +176,12 @@ class Words(dict):
                 if at == len(s):
                     continue
                 if s[at] == " ":
-                    if key and spaces < SPACES:
+                    if key:
                         todo.append((at + 1, key, lo, edits, spaces + 1))
                     continue
                 steps = [(1, s[at], edits)]
-                if len(edits) < MOST:
+                # what is left of the word can't be longer than the longest known one
+                if CONFUSED * (len(edits) + 1) + PARTED * spaces < UNSEEN * (spaces + 1) + LETTER * min(len(s) - start, self._longest):
                     steps += [(len(k), r, (*edits, at)) for k in dict.fromkeys((s[at : at + 3], s[at : at + 2], s[at])) if len(k) >= width for r in CONFUSIONS.get(k, ())]
                 for n, r, e in steps:
                     if lowered and not key:
@@ -226,7 +231,7 @@ class Words(dict):
                 edges.append((self.cost(f) if sound[k] else UNSEEN + LETTER * len(f), (at, at + len(f), f, ())))
                 if better:
                     edges.append((min(better[1], UNSEEN + LETTER * len(f) - 0.1), (at, at + len(f), better[0], tuple(at + x for x in differing(f, better[0])))))
-            if not all(sound[of[at] : of[at] + 1 + SPACES]):
+            if not all(sound[of[at] : of[at] + 1 + NEIGHBOURS]):
                 for end, word, edits in self.readings(s, at):
                     parts = forms[of[at] : of[end - 1] + 1]
                     whole = at in first and end in ends
@@ -235,9 +240,9 @@ class Words(dict):
                     if all(sound[of[at] : of[end - 1] + 1]) or (end not in ends or at not in first) and (sound[of[at]] or sound[of[end - 1]]):
                         continue
                     written = s[at:end].replace(" ", "")
-                    if len(word) < (4 if edits else 2) or edits and (not _is_wordish(written) or self.count(word) < RATIO * max(self.least, self.count(written))):
+                    if len(word) < (3 if edits else 2) or edits and (not _is_wordish(written) or self.count(word) < RATIO * max(self.least, self.count(written))):
                         continue
-                    if not whole and (edits and parts[0][:1].isupper() or self.count(word) <= 50 * self.least and not edits and len(word) < 4):
+                    if not whole and (edits and parts[0][:1].isupper() or self.count(word) <= (1000 if edits else 50) * self.least and len(word) < 4):
                         continue  # a capital may begin a name; chance finds short words in anything
                     cost = self.cost(word) + CONFUSED * len(edits) + PARTED * (len(parts) - 1) + (0.0 if at in first else JOINED)
                     edges.append((cost, (at, end, word, edits)))
@@ -355,10 +360,10 @@ def decode_page(text: str, words: Words) -> Page:
             continue
         lo = hi = at
         # a neighbour belongs to the stretch; two of them on either side, as a word may be in three parts
-        while lo > done and at - lo < SPACES and _linked(stream[lo - 1], stream[lo]):
+        while lo > done and at - lo < NEIGHBOURS and _linked(stream[lo - 1], stream[lo]):
             lo -= 1
         last = at
-        while hi + 1 < len(stream) and hi - last < SPACES and _linked(stream[hi], stream[hi + 1]):
+        while hi + 1 < len(stream) and hi - last < NEIGHBOURS and _linked(stream[hi], stream[hi + 1]):
             hi += 1
             if odd[hi]:
                 last = hi
@@ -483,8 +488,9 @@ def word_counts(df: DataFrame, text_column: str) -> DataFrame:
 def fit_words(df: DataFrame, text_column: str) -> Words:
     """The known words: those of at least ``SHARE`` of all, so at most 1 / ``SHARE`` on the driver."""
     counts = word_counts(df, text_column)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(F.col("n") >= max(2, math.ceil(total * SHARE)))
+    # the total is one row of the same counts, so that the plan reads the texts once and reuses their exchange
+    total = counts.agg(F.sum("n").alias("total")).hint("broadcast")
+    kept = counts.join(total, F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("total") * SHARE)))
     return Words({r["word"]: r["n"] for r in kept.collect()})
 
 
