@@ -1,7 +1,7 @@
 import pytest
 
 from pageframe.llm.shape import ShapeModel
-from pageframe.llm.truncation import hidden_limits, lengths, lost_end, stops_short, truncated_texts, truncation_shares
+from pageframe.llm.truncation import ending, hidden_limits, lengths, lost_end, stops_short, truncated_texts, truncation_shares
 
 BODY = "The court accepts that the claim was settled before the hearing.\nThe witness recalled that it was discussed twice"
 
@@ -37,18 +37,39 @@ def test_lengths(texts):
     assert got[2]["characters"] is None and got[3]["utf8_bytes"] == 0
 
 
+WORDS = "claim court hearing witness contract notice party record table bench letter file point fee wall storage".split()
+
+
+def prose(k: int, n: int = 40) -> str:
+    """Distinct sentences of prose without a stop at the end."""
+    words = [WORDS[(k * 7 + j * (k + 3)) % len(WORDS)] for j in range(n)]
+    return f"The {k + 1000} parties of the case accept that " + " and that the ".join(words)
+
+
 def test_limits_and_cases(texts):
-    full = BODY + " by both sides of the table at the hearing."
-    rows = [(k, "a", (full + " It was so." * (k % 9))[: 128 if k % 2 else 999]) for k in range(60)] + [(900, "b", None), (901, "b", ""), (902, "b", "ERROR: no"), (903, None, full[:-9]), (903, None, full[:-9])]
+    full = [prose(k, 12) + "." + " It was so." * (k % 9) for k in range(60)]
+    rows = [(k, "a", t[: 128 if k % 2 else 999]) for k, t in enumerate(full)] + [(900, "b", None), (901, "b", ""), (902, "b", "ERROR: no"), (903, None, full[0][:90]), (903, None, full[0][:90]), (904, "b", "\n \t")]
     df = texts(rows, "id bigint, engine string, text string")
-    limits = {(r["origin"], r["encoding"], r["length"]) for r in hidden_limits(df, "engine", "text").collect()}
-    assert ("a", "characters", 128) in limits and not any(o == "b" for o, _, _ in limits)
+    limits = [(r["origin"], r["encoding"], r["length"], r["n"]) for r in hidden_limits(df, "engine", "text").collect()]
+    assert limits == [("a", "characters", 128, 30)]
     cases = truncated_texts(df, "id", "engine", "text", ShapeModel())
     got = {r["record_id"]: r for r in cases.collect()}
-    assert 903 in got and all(stops_short(t) for i, _, t in rows if i in got) and len(got) == len({i for i, _, t in rows if stops_short(t) and not t.startswith("ERROR")})
+    assert set(got) == {k for k in range(60) if k % 2} | {903} and all(got[k]["at_limit"] == (k != 903) for k in got)
     shares = {r["origin"]: r["truncated"] for r in truncation_shares(cases, df, "id", "engine", "text").collect()}
-    assert shares == {"a": len(got) - 1, "b": 0, "": 1}
-    assert truncated_texts(texts([], "id bigint, engine string, text string"), "id", "engine", "text", ShapeModel()).count() == 0
+    assert shares == {"a": 30, "b": 0, "": 1}
+    empty = texts([], "id bigint, engine string, text string")
+    assert truncated_texts(empty, "id", "engine", "text", ShapeModel()).count() == 0 and hidden_limits(empty, "engine", "text").count() == 0
+
+
+def test_one_encoding_a_limit(texts):
+    """A limit in bytes: of the encodings, only bytes puts texts with and without accents at one length."""
+    long = [prose(k).replace("accept", "accépt" if k % 3 else "accept").replace("court", "cöurt" if k % 2 else "court") for k in range(80)]
+    rows = [(k, "a", t.encode()[:400].decode("utf-8", "ignore")) for k, t in enumerate(long)]
+    found = [(r["encoding"], r["length"]) for r in hidden_limits(texts(rows, "id bigint, engine string, text string"), "engine", "text").collect()]
+    assert found == [("utf8_bytes", 400)]
+    # one text delivered often is no limit
+    again = [(k, "a", long[0][:300]) for k in range(90)]
+    assert hidden_limits(texts(again, "id bigint, engine string, text string"), "engine", "text").count() == 0
 
 
 def test_limit_decides(texts):
@@ -56,8 +77,15 @@ def test_limit_decides(texts):
     paged = "The court accepts that the claim was settled before the hearing in the lower court.\nHulolberg v Branmanetti [2016] NT"
     numbered = "The court accepts that the claim was settled before the hearing\nPage 3"
     assert stops_short(cited) is None and stops_short(cited, True) and stops_short(paged, True) is None and stops_short(numbered, True) is None
-    limit = len(cited)
-    cut = ("The court accepts that the claim was settled before the hearing and that the parties " * 9)[:limit]
-    rows = [(k, "a", cut) for k in range(200)] + [(500, "a", cited), (501, "b", cited)]
-    got = {r["record_id"] for r in truncated_texts(texts(rows, "id bigint, source string, text string"), "id", "source", "text", ShapeModel()).collect()}
-    assert 500 in got and 501 not in got
+    assert ending(cited) == "open, header" and ending(paged) == "header" and ending(numbered) == "open, number"
+    rows = [(k, o, prose(k)[: len(cited)]) for k in range(200) for o in "a"] + [(k + 1000, o, prose(k + 300, 6 + k % 20) + ".") for k in range(200) for o in "ab"]
+    rows += [(5000, "a", cited), (5001, "b", cited)]
+    df = texts(rows, "id bigint, source string, text string")
+    got = {r["record_id"] for r in truncated_texts(df, "id", "source", "text", ShapeModel()).collect()}
+    assert 5000 in got and 5001 not in got and set(range(200)) <= got
+
+
+def test_drifted_output_is_aligned():
+    truth = "The court accepts that the claim was settled before the hearing. " * 4 + "Nothing was said about the fee of the storage tank, which both sides had seen. The bench agrees."
+    noisy = truth.replace("court", "c o u r t court").replace("settled", "sett1ed and settled")[: len(truth) - 20]
+    assert lost_end(noisy, truth) > 20 and lost_end(truth.replace("claim", "claim of the claim claim claim"), truth) == 0
