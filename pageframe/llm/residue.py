@@ -1,146 +1,110 @@
 """Problem 8: template residue, filler text and error pages.
 
-Labelled exemplars of residue are kept under an inverted index from their terms.
-A text's passages retrieve the exemplars that share a rare term with them, and
-TF-IDF containment says how much of the exemplar, and of the passage, the match
-covers. Term frequencies come from the whole corpus.
+Labelled exemplars of residue (``exemplars``) are kept under an inverted index
+from their terms. A text's passages retrieve the exemplars that share a rare term
+with them, and TF-IDF containment says how much of the exemplar, and of the
+passage, the match covers. Marks of template languages are terms like others, so
+fields are retrieved the same way; patterns only propose where a field may stand.
+Term frequencies come from the whole corpus, and so do the words of pseudo-Latin.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable
 from itertools import groupby
+from typing import Any
 
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageframe.llm import exemplars
 from pageframe.llm._common import count_keys, map_columns
 
-# Labelled exemplars. Digits stand for any number. ``error`` and
-# ``notice`` are wordings of error pages, ``furniture`` what such pages carry
-# beside, ``filler`` text that stands in for content, ``fields`` words that mark
-# an unfilled field inside brackets, ``names`` what stands in brackets for a value.
-EXEMPLARS: dict[str, tuple[str, ...]] = {
-    "error": (
-        "404 Not Found",
-        "403 Forbidden",
-        "500 Internal Server Error",
-        "502 Bad Gateway",
-        "Bad gateway (502)",
-        "503 Service Unavailable",
-        "504 Gateway Timeout",
-        "Error 404 - Page not found",
-        "Access denied",
-        "Request blocked",
-        "Session expired",
-        "Under maintenance",
-        "Just a moment...",
-        "Oops! Something went wrong",
-        "Page introuvable",
-        "Seite nicht gefunden",
-        "Página no encontrada",
-        "Pagina non trovata",
-        "Pagina nu a fost găsită",
-        "Database connection failed at line 1",
-        "Your request could not be completed. Reference 1.",
-        "Too many requests from your network. Incident 1.",
-        "The decision you asked for is not available on this server.",
-        "The service is temporarily offline; try again in 1 minutes.",
-    ),
-    "notice": (
-        "Please enable JavaScript in your browser to view this decision.",
-        "This portal needs scripts to run. Turn them on and reload the page.",
-        "Bitte aktivieren Sie JavaScript, um das Urteil anzuzeigen.",
-        "Veuillez activer JavaScript pour afficher cette page.",
-        "Debe activar los scripts para ver este contenido.",
-        "Activați JavaScript pentru a vedea conținutul.",
-        "Attivare JavaScript per visualizzare questa pagina.",
-        "You need to accept cookies before the text can be shown.",
-        "You have been signed out. Log in again to read the document.",
-        "Confirm that you are not a robot to continue.",
-        "Please check the address or return to the search form.",
-    ),
-    "furniture": (
-        "Home | Search | Help | Contact",
-        "Back to results",
-        "Powered by docket-view",
-        "© Court Portal",
-    ),
-    "filler": (
-        "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor",
-        "lorem ipsum sodal pellan viver integ medis tuli oriste farro varde cras aspra culpan dimet molin sutra nevant belum quoris tempu laor",
-        "asdf asdf asdf asdf",
-        "Text text text text text text.",
-        "Headline goes here",
-        "Your summary here.",
-        "Your text here.",
-        "Sample text.",
-        "Replace this paragraph with your own.",
-        "This is dummy content for layout only.",
-        "Hier steht ein Mustertext, der noch ersetzt wird.",
-        "Placeholder text to be replaced",
-        "Blindtext",
-        "Texte de remplissage à remplacer",
-        "Texto de relleno por sustituir",
-        "Testo segnaposto da sostituire",
-        "Text provizoriu de înlocuit",
-    ),
-    "fields": (
-        "insert date", "insert name of claimant", "insert", "date to be completed", "to be completed", "to be inserted", "to be added", "tbd", "tba", "todo",
-        "bitte ergänzen", "bitte einsetzen", "einfügen", "à compléter", "à insérer", "por completar", "completar", "da completare", "inserire", "de completat", "completați",
-    ),
-    "names": (
-        "title", "date", "name", "address", "amount", "case number", "court name", "party name",
-        "name of the claimant", "name of the respondent", "name of the defendant", "name of the applicant", "name of the appellant", "name of the judge", "name of the court", "name of the party",
-        "date of the hearing", "date of the decision", "date of the judgment", "date of birth", "address of the claimant", "address of the respondent",
-        "name des klägers", "datum der verhandlung", "nom du demandeur", "date de l'audience", "nombre del demandante", "fecha de la vista", "nome del ricorrente", "data dell'udienza", "numele reclamantului", "data ședinței",
-    ),
-}
-
-FIELDS = ("fields", "names")
-# The marks of template languages around a field, and what programs
-# write for a missing value.
-FIELD_MARKS = re.compile(
-    r"\{\{.{0,200}?\}\}|\{%.{0,200}?%\}|<%.{0,200}?%>|\$\{\w[\w. -]{0,80}\}|\{(?:\d{1,2}|[A-Z][A-Z_]{2,60}|[a-z][a-z\d]*(?:[_.][a-z\d]+)+)\}|\[\[[^\W\d_][^\[\]\n]{1,60}\]\]|«\w+_\w+»|<<[A-Z_]{2,60}>>"
-    r"|<[A-Z][A-Z_]{2,60}>|@@\w{2,60}@@|%[A-Z][A-Z_]{2,60}%|#[A-Z][A-Z_]{2,60}#|\$[A-Z][A-Z_]{2,60}\$|(?<!\w)__[A-Z][A-Z_]{2,60}__(?!\w)",
-    re.S,
-)
-EMPTY_VALUES = re.compile(r"\[object Object\]|(?<![\w'\"-])undefined(?![\w'\"-])|(?<![\w%])%[sd](?!\w)|\(null\)|(?<!\w)NaN(?!\w)|(?<!\w)(?:XX[./-]XX[./-](?:XX|\d\d)(?:XX|\d\d)|dd[./-]mm[./-]yyyy|DD[./-]MM[./-]YYYY|00[./]00[./]0000|0000-00-00)(?!\w)")
-BRACKET = re.compile(r"\[([^\[\]\n]{2,80})\]|\{([a-z]{3,40})\}")
-# where a field may begin; every branch starts with a character of its own, so that the search skips fast
-_FIELD_HINT = re.compile(r"\{[{%\dA-Za-z]|<[%<A-Z]|\$[{A-Z]|«\w|@@|%[A-Zsd]|#[A-Z]|__[A-Z]|\[[^\W\d]|\[\[|undefined|\(null|NaN|XX[./-]|dd[./-]|DD[./-]|00[./-]0|0000-")
-
 TERM = re.compile(r"[^\W\d_]+|\d+|[|©]")
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>")
-_VALUE = re.compile(r':\s*"([^"\n]{0,400})"')
+_TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
+_VALUE = re.compile(r':\s*"([^"\n]*)"')
 _PASSAGE = re.compile(r"\n|</?\w+>|(?<=[.!?;])\s+")
-
-#: Share of an exemplar's weight that a passage must hold, share of a passage's
-#: weight that the exemplars must cover, share of a text's for an error page.
-HELD, COVERED, PAGE = 0.7, 0.75, 0.6
-#: Terms beyond which an exemplar is a vocabulary of pseudo-words, not a sentence.
-BAG = 15
-#: Lines that a window joins at most. A passage that a filler exemplar covers may
-#: hold this share of it only, with so many of its terms in a row.
-LINES, PART, TERMS = 3, 0.3, 4
-#: Terms that a bracketed field has at most, and share of its weight that a
-#: wording of an unfilled field (``fields``) must cover.
+# where a field may begin; every branch starts with a character of its own, so that the search skips fast
+_FIELD_HINT = re.compile(r"\{|<[%<A-Z]|\$[{A-Z]|«\w|@@\w|%[A-Zsd]|#[A-Z]|(?<!\w)__[A-Z]|\[|undefined|\(null\)|(?<!\w)NaN|(?<!\w)(?:[XxDdMmYyTtJjGgZz]{2}|00|0000|[Yy]{4})(?=[./-][XxMmDdLl0])")
+# what may be a field, by the kind of its marks; what stands between is the last group that is there
+_FIELD = re.compile(
+    r"(?P<braces>\{\{([^{}]*)\}\})|(?P<block>\{%([^{}%]*)%\})|(?P<code><%=?([^<>%]*)%>)|(?P<dollar>\$\{([^{}\n]*)\})|(?P<number>\{(\d{1,3})\})|(?P<upper>\{([A-Z][A-Z_]+)\})|(?P<path>\{([a-z][a-z\d]*(?:[_.][a-z\d]+)+)\})"
+    r"|(?P<squares>\[\[([^\W\d_][^\[\]\n]+)\]\])|(?P<angles>«(\w+_\w+)»)|(?P<twice><<([A-Z_]{2,})>>)|(?P<at>@@(\w+)@@)|(?P<percent>%([A-Z][A-Z_]+)%)|(?P<hash>\#([A-Z][A-Z_]+)\#)|(?P<price>\$([A-Z][A-Z_]+)\$)|(?P<under>__([A-Z][A-Z_]+?)__(?!\w))"
+    r"|(?P<value>undefined(?![\w'\"-])|\[object Object\]|NaN(?!\w)|\(null\)|%[sd](?!\w)|(?:[A-Za-z]{2,4}|0{2,4})(?P<sep>[./-])(?:[A-Za-z]{2}|00)(?P=sep)(?:[A-Za-z]{2,4}|\d\d[A-Za-z]{2}|0{2,4})(?!\w))"
+    r"|(?P<plain>\[([^\[\]\n]+)\]|\{([a-z]+)\}|<([A-Z][A-Z_]+)>)"
+)
+
+#: Share of an exemplar's weight that a passage must hold, and that it must hold for
+#: its words to count as covered; share of a passage's weight that exemplars must
+#: cover, or ALL where none is held but HALF of one; share of a text's for an error page.
+HELD, HALF, PART, COVERED, ALL, PAGE = 0.65, 0.5, 0.4, 0.7, 0.8, 0.5
+#: Different terms that a passage may have beside what exemplars cover, where they cover HALF.
+BESIDE = 3
+#: Lines that a window joins at most.
+LINES = 3
+#: A term is one of pseudo-Latin if this share of its occurrences in the corpus, and so
+#: many, stand in passages of it, and if it is this share of all their terms, so that
+#: at most the inverse are; a passage of it has so many different ones.
+INSIDE, TIMES, SHARE, VARIED = 0.5, 2, 1e-3, 3
+#: Terms that a bracketed field has at most, and share of its weight that marks of a
+#: template language, or words that ask for it to be filled, must cover.
 FIELD_TERMS, FIELD_SHARE = 10, 0.25
 
+PAGES = ("error", "notice", "furniture")
+
 
 def terms(text: str) -> list[str]:
     return ["0" if t[0].isdigit() else t for t in TERM.findall(text.casefold())]
 
 
+def _mark(kind: str) -> str:
+    """The term that stands for a template language's marks; no word of a text is written so."""
+    return f"<{kind}>"
+
+
+def field_at(text: str, at: int) -> tuple[str, str, str] | None:
+    """Kind, whole and inside of what may be a field at a place of a text."""
+    m = _FIELD.match(text, at)
+    if not m:
+        return None
+    if m.lastgroup == "value":
+        return "value", m.group(), re.sub(r"[.-]", "/", m.group()).lower() if m.group()[:1] not in "[(%uN" else m.group()
+    return m.lastgroup, m.group(), next(g for g in reversed(m.groups()) if g is not None)
+
+
+def fields_of(text: str) -> list[tuple[str, str, str]]:
+    """All places of a text that may be a field."""
+    out, end = [], 0
+    for hint in _FIELD_HINT.finditer(text):
+        if hint.start() >= end and (f := field_at(text, hint.start())):
+            out.append(f)
+            end = hint.start() + len(f[1])
+    return out
+
+
+def _strings(value: Any) -> list[str]:
+    """The strings of a parsed object, in their order."""
+    if isinstance(value, str):
+        return [value]
+    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    return [s for v in inner for s in _strings(v)]
+
+
 def _passages(text: str) -> tuple[list[int], list[str], list[bool]]:
     """Starts and texts of the lines and sentences, without tags, and whether each goes on in the next, over a line feed; of an object's text, its values."""
-    if text.lstrip()[:1] == "{" and (values := _VALUE.findall(text)):
-        return [0], [" ".join(v for v in values if " " in v or not re.search(r"\d", v))], [False]
+    if text.lstrip()[:1] == "{":
+        try:
+            values = _strings(json.loads(text))
+        except (ValueError, RecursionError):
+            values = _VALUE.findall(text)
+        if values:
+            return [0], [" ".join(v for v in values if " " in v or not re.search(r"\d", v))], [False]
     starts, out, on, at = [], [], [], 0
     for m in _PASSAGE.finditer(text):
         starts.append(at)
@@ -159,175 +123,155 @@ def _windows(on: list[bool], k: int) -> list[tuple[int, int]]:
     return [(lo, lo + n) for n in range(LINES) for lo in range(max(0, k - n), k + 1) if lo + n < len(on) and all(on[lo : lo + n])]
 
 
-def _pieces(text: str) -> list[str]:
-    return [p for p in _PASSAGE.split(text) if p.strip()]
-
-
 class ResidueIndex:
     """Exemplars by term, with the terms' inverse frequencies in the corpus.
 
-    ``counts`` has the exemplar terms' frequencies and ``total`` the number of
-    terms in the corpus.
+    ``counts`` has the exemplar terms' frequencies, marks among them, ``total``
+    the number of terms in the corpus, and ``latin`` the terms of pseudo-Latin.
     """
 
-    def __init__(self, counts: dict[str, int], total: int) -> None:
+    def __init__(self, counts: dict[str, int], total: int, latin: frozenset[str] = frozenset()) -> None:
         self.total = max(total, 1)
-        self.counts = {t: counts.get(t, 0) for t in self.vocabulary()}
+        self.counts = {t: counts.get(t, 0) for t in self.vocabulary()} | {t: counts.get(t, 0) for t in latin}
+        self.latin = latin
         self.exemplars: list[tuple[str, Counter, float]] = []
-        self.rows: list[str] = []  # the exemplars' terms in their order
         self.postings: dict[str, list[int]] = defaultdict(list)
-        anchors: set[str] = set()
-        for kind, texts in EXEMPLARS.items():
-            if kind in FIELDS:
-                continue
-            for text in texts:
-                for piece in _pieces(text):
-                    bag = Counter(terms(piece))
-                    k = len(self.exemplars)
-                    self.rows.append(f" {' '.join(terms(piece))} ")
-                    self.exemplars.append((kind, bag, sum(self.idf(t) * n for t, n in bag.items())))
-                    for t in bag:
-                        self.postings[t].append(k)
-                    if kind != "furniture":
-                        anchors.update(self._anchors_of(bag, self.exemplars[k][2], PART if kind == "filler" else HELD))
-        # fields have an index and frequencies of their own, as they are held against brackets only
-        self.field_counts = {t: counts.get(t, 0) for t in self.field_vocabulary()}
-        self.fields: list[tuple[str, Counter, float]] = []
-        self.field_postings: dict[str, list[int]] = defaultdict(list)
-        for kind in FIELDS:
-            for text in EXEMPLARS[kind]:
-                bag = Counter(terms(text))
-                for t in bag:
-                    self.field_postings[t].append(len(self.fields))
-                self.fields.append((kind, bag, sum(self.field_idf(t) * n for t, n in bag.items())))
-        self._unfilled: dict[str, bool] = {}
         self.anchors = ahocorasick.Automaton()
-        for a in anchors:
+        for kind, bag in self.bags():
+            k = len(self.exemplars)
+            full = sum(self.idf(t) * n for t, n in bag.items())
+            self.exemplars.append((kind, bag, full))
+            for t in bag:
+                self.postings[t].append(k)
+            if kind in ("error", "notice", "filler"):
+                for a in self._anchors_of(bag, full):
+                    self.anchors.add_word(a, a)
+        for a in latin:
             self.anchors.add_word(a, a)
         self.anchors.make_automaton()
+        self._unfilled: dict[tuple[str, str], bool] = {}
+
+    @staticmethod
+    def bags() -> list[tuple[str, Counter]]:
+        """The exemplars' kinds and terms."""
+        out = [(kind, Counter(terms(x))) for kind, texts in exemplars.by_kind().items() for text in texts for x in _PASSAGE.split(text) if x.strip()]
+        out += [("ask", Counter(terms(x))) for x in exemplars.ASKS] + [("name", Counter(terms(x))) for x in exemplars.NAMES]
+        out += [("mark", Counter([_mark(field_at(x, 0)[0])])) for x in exemplars.TEMPLATES]
+        return out + [("value", Counter([x])) for x in exemplars.VALUES]
+
+    @classmethod
+    def vocabulary(cls) -> set[str]:
+        """The terms whose corpus frequency is needed."""
+        return {t for _, bag in cls.bags() for t in bag}
 
-    def _anchors_of(self, bag: Counter, full: float, least: float) -> list[str]:
-        """The rarest terms of an exemplar: a passage without any of them can't hold ``least`` of it."""
+    def _anchors_of(self, bag: Counter, full: float) -> list[str]:
+        """The rarest terms of an exemplar: a passage without any of them can't hold ``HALF`` of it."""
         out, left = [], full
         for t in sorted(bag, key=self.idf, reverse=True):
-            if left < least * full and len(bag) <= BAG:
+            if left < HALF * full:
                 break
             if t != "0":
                 out.append(t)
             left -= self.idf(t) * bag[t]
         return out
 
-    @staticmethod
-    def vocabulary() -> set[str]:
-        """The terms whose corpus frequency is needed."""
-        return {t for kind, texts in EXEMPLARS.items() if kind not in FIELDS for x in texts for t in terms(x)}
-
-    @staticmethod
-    def field_vocabulary() -> set[str]:
-        return {t for kind in FIELDS for x in EXEMPLARS[kind] for t in terms(x)}
-
-    def field_idf(self, term: str) -> float:
-        return math.log(1 + self.total / (1 + self.field_counts.get(term, self.total / 1000)))
-
     def idf(self, term: str) -> float:
         """Terms outside every exemplar count as much as a term of one in a thousand, numbers as one in twenty."""
         if term == "0":
             return math.log(21)
         return math.log(1 + self.total / (1 + self.counts.get(term, self.total / 1000)))
 
-    def _in_a_row(self, words: list[str], k: int) -> bool:
-        return any(f" {' '.join(words[at : at + TERMS])} " in self.rows[k] for at in range(len(words) - TERMS + 1))
-
-    def match(self, passage: str) -> tuple[str | None, float, float]:
-        """Kind of the best exemplar that the passage holds, weight covered by held ones, and weight in all."""
-        words = terms(passage)
-        bag = Counter(words)
-        weight = sum(self.idf(t) * n for t, n in bag.items())
+    def _retrieve(self, bag: Counter) -> dict[int, float]:
+        """Containment of every exemplar that shares a term."""
         shared: dict[int, float] = defaultdict(float)
         for t, n in bag.items():
             for k in self.postings.get(t, ()):
                 shared[k] += self.idf(t) * min(n, self.exemplars[k][1][t])
-        best, covered, kind = 0.0, set(), None
-        for k, s in shared.items():
-            own, e, full = self.exemplars[k]
-            if len(e) > BAG:
-                # a vocabulary of pseudo-words: what counts is the passage's share
-                s = sum(self.idf(t) * n for t, n in bag.items() if t in e)
-                held = s / weight if len(bag.keys() & e.keys()) > 2 else 0.0
-            else:
-                held = s / full if full else 0.0
-                if own == "filler" and PART <= held < HELD and self._in_a_row(words, k):
-                    held = s / weight  # the exemplar covers the passage
-            if held >= HELD:
-                covered |= e.keys()
-                if held > best or kind == "furniture":
-                    best, kind = held, own
-        return kind, sum(self.idf(t) * n for t, n in bag.items() if t in covered), weight
-
-    def unfilled(self, span: str) -> bool:
-        """Whether what stands in brackets is a field: by TF-IDF containment of the ``fields`` and ``names`` that share a term with it.
-
-        A wording of ``fields`` must be held, and cover ``FIELD_SHARE`` of the
-        span; ``names`` must cover ``COVERED`` of it, so that a redaction such as
-        'name withheld' is none.
+        return {k: s / self.exemplars[k][2] for k, s in shared.items()}
+
+    def _share(self, bag: Counter, inside: set[str]) -> float:
+        weight = sum(self.idf(t) * n for t, n in bag.items())
+        return sum(self.idf(t) * n for t, n in bag.items() if t in inside) / weight if weight else 0.0
+
+    def match(self, passage: str) -> tuple[str | None, set[str]]:
+        """Kind of residue that a passage is, and the terms that exemplars of pages explain."""
+        bag = Counter(terms(passage))
+        held = self._retrieve(bag)
+        best = {}
+        explained: dict[bool, set[str]] = {True: set(), False: set()}
+        for k, share in held.items():
+            kind, e, _ = self.exemplars[k]
+            if kind == "filler" or kind in PAGES:
+                if share >= PART:
+                    explained[kind in PAGES] |= e.keys()
+                if share >= HALF and share > best.get(kind, 0.0):
+                    best[kind] = share
+        if len(bag.keys() & self.latin) >= VARIED and self._share(bag, self.latin) >= COVERED:
+            return "filler", explained[True]
+        if self._is_held(best.pop("filler", 0.0), bag, explained[False]):
+            return "filler", explained[True]
+        if best and self._is_held(max(best.values()), bag, explained[True]):
+            return max(best, key=lambda k: (k != "furniture", best[k])), explained[True]
+        return None, explained[True]
+
+    def _is_held(self, held: float, bag: Counter, explained: set[str]) -> bool:
+        """Whether an exemplar of this containment, and the terms that it and others explain, make up a passage."""
+        covered = self._share(bag, explained) if held >= HALF else 0.0
+        return held >= HELD and (covered >= COVERED or covered >= HALF and len(bag.keys() - explained) <= BESIDE) or covered >= ALL
+
+    def unfilled(self, kind: str, inside: str) -> bool:
+        """Whether a marked span is an unfilled field or an empty value: by TF-IDF containment of the exemplars that share a term with it.
+
+        Marks of a template language, or an exemplar that asks for the field to
+        be filled, must be held, and cover ``FIELD_SHARE`` of the span; in plain
+        brackets the names of fields must cover ``HELD`` of it, so that a
+        redaction such as 'name withheld' is none.
         """
-        if span not in self._unfilled:
+        if (kind, inside) not in self._unfilled:
             if len(self._unfilled) > 100_000:
                 self._unfilled.clear()
-            self._unfilled[span] = self._is_field(Counter(terms(span)))
-        return self._unfilled[span]
-
-    def _is_field(self, bag: Counter) -> bool:
-        if not bag or bag.total() > FIELD_TERMS:
+            self._unfilled[kind, inside] = self._is_field(kind, inside)
+        return self._unfilled[kind, inside]
+
+    def _is_field(self, kind: str, inside: str) -> bool:
+        if kind == "value":
+            return any(self.exemplars[k][0] == "value" for k in self._retrieve(Counter([re.sub(r"/(?:\d\d|xx)xx$", "/xxxx", inside)])))
+        words = Counter(terms(inside.replace("_", " ")))
+        if words.total() > FIELD_TERMS:
             return False
-        weight = sum(self.field_idf(t) * n for t, n in bag.items())
-        shared: dict[int, float] = defaultdict(float)
-        for t, n in bag.items():
-            for k in self.field_postings.get(t, ()):
-                shared[k] += self.field_idf(t) * min(n, self.fields[k][1][t])
-        covered: set[str] = set()
-        for k, s in shared.items():
-            kind, e, full = self.fields[k]
-            if s >= HELD * full:
-                if kind == "fields" and s >= FIELD_SHARE * weight:
-                    return True
-                covered |= e.keys()
-        return sum(self.field_idf(t) * n for t, n in bag.items() if t in covered) >= COVERED * weight
-
-    def fields_in(self, text: str) -> str | None:
-        """The first unfilled field or empty value of the text."""
-        for hint in _FIELD_HINT.finditer(text):
-            at = hint.start()
-            if m := FIELD_MARKS.match(text, at) or EMPTY_VALUES.match(text, at):
-                return m.group()
-            if (m := BRACKET.match(text, at)) and self.unfilled(m.group(1) or m.group(2)):
-                return m.group()
-        return None
+        bag = words + Counter([_mark(kind)] if kind != "plain" else [])
+        named: set[str] = set()
+        for k, share in self._retrieve(bag).items():
+            own, e, _ = self.exemplars[k]
+            if share >= HELD and (own == "mark" or own == "ask") and self._share(bag, set(e)) >= FIELD_SHARE:
+                return True
+            if share >= HELD and own == "name":
+                named |= e.keys()
+        return bool(bag) and self._share(bag, named) >= HELD
 
     def judge(self, text: str | None) -> tuple[str, str] | None:
         """Kind of residue and evidence, or None for a text without any."""
         if not text or not text.strip():
             return None
-        if found := self.fields_in(text):
-            return "field", found
+        for kind, whole, inside in fields_of(text):
+            if self.unfilled(kind, inside):
+                return "field", whole
         low = text.lower()
         hits = [end for end, a in self.anchors.iter(low) if not low[end + 1 : end + 2].isalpha() and not low[end - len(a) : end - len(a) + 1].isalpha()]
         if not hits:
             return None
         starts, passages, on = _passages(text)
         error = evidence = None
-        covers: dict[tuple[int, int], str | None] = {}
+        matches: dict[tuple[int, int], tuple[str | None, set[str]]] = {}
 
-        def kind_of(lo: int, hi: int) -> str | None:
-            """The kind that covers a window."""
-            if (lo, hi) not in covers:
-                kind, c, w = self.match(" ".join(passages[lo : hi + 1]))
-                covers[lo, hi] = kind if kind and w and c / w >= COVERED else None
-            return covers[lo, hi]
+        def match(lo: int, hi: int) -> tuple[str | None, set[str]]:
+            if (lo, hi) not in matches:
+                matches[lo, hi] = self.match(" ".join(passages[lo : hi + 1]))
+            return matches[lo, hi]
 
         for k, _ in groupby(hits, lambda at: bisect_right(starts, at) - 1):
             for lo, hi in _windows(on, k):
-                kind = kind_of(lo, hi)
+                kind = match(lo, hi)[0]
                 if kind == "filler":
                     return "filler", " ".join(passages[lo : hi + 1]).strip()
                 if kind in ("error", "notice"):
@@ -337,41 +281,66 @@ class ResidueIndex:
             return None
         covered = weight = 0.0
         for k, passage in enumerate(passages):
-            w = self.match(passage)[2]
-            weight += w
-            covered += w if any(kind_of(lo, hi) for lo, hi in _windows(on, k)) else 0.0
+            bag = Counter(terms(passage))
+            inside = set().union(*(match(lo, hi)[1] for lo, hi in _windows(on, k)))
+            weight += sum(self.idf(t) * n for t, n in bag.items())
+            covered += sum(self.idf(t) * n for t, n in bag.items() if t in inside)
         return (error, evidence) if covered >= PAGE * weight else None
 
 
 def _term_counts(docs: DataFrame) -> DataFrame:
-    wanted = ResidueIndex.vocabulary() | ResidueIndex.field_vocabulary()
+    """How often each term, and each mark, stands in all texts, and (``inside``) in passages that hold the first words of pseudo-Latin."""
+    first = set(terms(exemplars.PSEUDO_LATIN[0])[:2])
 
     def make() -> Callable[..., dict]:
         def step(texts: list) -> dict:
-            all_terms = Counter(TERM.findall("\n".join(t for t in texts if t).casefold()))
-            out = {t: n for t, n in all_terms.items() if t in wanted}
-            out[""] = sum(all_terms.values())
+            kept = [t for t in texts if t]
+            out = {(t, False): n for t, n in Counter(terms("\n".join(kept))).items()}
+            for (kind, _, inside), n in Counter(f for t in kept for f in fields_of(t)).items():
+                key = (inside if kind == "value" else _mark(kind), False)
+                out[key] = out.get(key, 0) + n
+            for t in kept:
+                if all(w in (low := t.casefold()) for w in first):
+                    for passage in _PASSAGE.split(low):
+                        bag = Counter(terms(passage))
+                        if first <= bag.keys():
+                            for w, n in bag.items():
+                                out[w, True] = out.get((w, True), 0) + n
             return out
 
         return step
 
-    return count_keys(docs, make, "term string, n bigint", lambda k: (k,))
+    return count_keys(docs, make, "term string, inside boolean, n bigint", lambda k: k)
+
+
+def fit_residue(df: DataFrame, text_column: str) -> tuple[dict[str, int], int, frozenset[str]]:
+    """The frequencies of the exemplars' terms, of all terms, and the terms of pseudo-Latin, from all texts.
+
+    The driver gets the exemplars' terms and, of pseudo-Latin, at most the
+    inverse of ``SHARE``.
+    """
+    counts = _term_counts(df.select(text_column)).groupBy("term").agg(F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside"))
+    # the totals are one row of the same counts, so that the plan reads the texts once
+    totals = counts.agg(F.sum("n").alias("total"), F.sum("inside").alias("all_inside")).hint("broadcast")
+    latin = (F.col("inside") >= TIMES) & (F.col("inside") >= INSIDE * F.col("n")) & (F.col("inside") >= SHARE * F.col("all_inside"))
+    wanted = F.col("term").isin(sorted(ResidueIndex.vocabulary()))
+    rows = counts.join(totals, latin | wanted | (F.col("term") == "0")).select("term", "n", latin.alias("latin"), "total").collect()
+    return {r["term"]: r["n"] for r in rows}, max((r["total"] for r in rows), default=0), frozenset(r["term"] for r in rows if r["latin"])
 
 
 def find_residue(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """One row a text with residue: the id, ``kind`` (field, filler, error, notice) and ``evidence``.
 
     Null and blank texts have none. Texts are read whole; repeated ids give one
-    row. The driver gets the corpus frequencies of the exemplars' terms only,
-    and nothing but the result's ids is shuffled. A passage of which the
-    exemplars cover less than ``COVERED``, such as a sentence that quotes an
-    error message, is no residue.
+    row. The driver gets the corpus frequencies of the exemplars' terms and the
+    terms of pseudo-Latin, and nothing but term counts and the result's ids is
+    shuffled. A passage of which the exemplars cover less than ``COVERED``, such
+    as a sentence that quotes an error message, is no residue.
     """
-    counts = {r["term"]: r["n"] for r in _term_counts(df.select(text_column)).collect()}
-    total = counts.pop("", 0)
+    counts, total, latin = fit_residue(df, text_column)
 
     def make() -> Callable[..., dict]:
-        index = ResidueIndex(counts, total)
+        index = ResidueIndex(counts, total, latin)
 
         def step(ids: list, texts: list) -> dict:
             out = [(i, *found) for i, t in zip(ids, texts) if (found := index.judge(t))]
