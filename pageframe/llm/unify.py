@@ -41,6 +41,8 @@ _LOOKALIKE = re.compile("[" + "".join(LOOKALIKES) + "]")
 _MARK = re.compile("[" + re.escape("".join(MARKS)) + "]")
 _TOKEN = re.compile(r"\S+")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
+#: Rows of one spelling of a line that meet those of another in one task.
+PORTION = 20_000
 
 
 def _latin(m: re.Match) -> str:
@@ -103,7 +105,7 @@ def unify_column(df: DataFrame, id_column: str, text_column: str, fold: bool = T
 
 
 def line_forms(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """One row a line: ``seen`` (hash of how it looks), ``raw`` (hash of its characters) and the id.
+    """One row a line: ``seen`` (hash of how it looks), ``raw`` (hash of its characters), ``altered`` (they differ) and the id.
 
     Lines with nothing to see give no row, and a line that stands twice in a
     text gives one. Letters decide how a line looks, and spaces of any width are
@@ -113,18 +115,18 @@ def line_forms(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """
 
     def make() -> Callable[..., dict]:
-        forms: dict[str, tuple[bytes, int] | None] = {}
+        forms: dict[str, tuple[bytes, int, bool] | None] = {}
 
-        def form(line: str) -> tuple[bytes, int] | None:
+        def form(line: str) -> tuple[bytes, int, bool] | None:
             seen = unify(line, marks=False, trim=False)
             if not seen.strip(" "):
                 return None
-            return xxhash.xxh3_128_digest(seen.encode("utf-8", "replace")), xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) - (1 << 63)
+            return xxhash.xxh3_128_digest(seen.encode("utf-8", "replace")), xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) - (1 << 63), seen != line
 
         def step(ids: list, texts: list) -> dict:
             if len(forms) > 500_000:
                 forms.clear()
-            seen, raw, of = [], [], []
+            seen, raw, altered, of = [], [], [], []
             for i, t in zip(ids, texts):
                 if not t:
                     continue
@@ -134,13 +136,14 @@ def line_forms(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     if (f := forms[line]) is not None:
                         seen.append(f[0])
                         raw.append(f[1])
+                        altered.append(f[2])
                         of.append(i)
-            return {"seen": pa.array(seen, pa.binary()), "raw": raw, "record_id": of}
+            return {"seen": pa.array(seen, pa.binary()), "raw": raw, "altered": altered, "record_id": of}
 
         return step
 
     kind = df.schema[id_column].dataType.simpleString()
-    return map_columns(df.select(id_column, text_column), make, f"seen binary, raw bigint, record_id {kind}")
+    return map_columns(df.select(id_column, text_column), make, f"seen binary, raw bigint, altered boolean, record_id {kind}")
 
 
 def lookalike_pairs(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -148,12 +151,27 @@ def lookalike_pairs(df: DataFrame, id_column: str, text_column: str) -> DataFram
 
     Gives ``id_a`` < ``id_b`` once for each pair. Null and blank texts, and blank
     lines, are in no pair. The lines are hashed once and kept in the shared
-    folder; only looks with two or more spellings, found by a pre-aggregated
-    minimum and maximum of the spellings, are joined.
+    folder. Of the spellings of a look one at most is the look itself, so only
+    looks of an altered line can have several: lines of all others are let go.
+    Then spellings are paired, a row each, and the rows of each spelling attached
+    in portions of ``PORTION``, so that no task gets all rows of a usual line; the
+    rows that meet are the pairs that come out.
     """
     lines = materialise(line_forms(df, id_column, text_column))
-    looks = lines.groupBy("seen").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select("seen")
-    several = lines.join(looks, "seen", "left_semi").distinct()
-    a = several.select("seen", F.col("raw").alias("raw_a"), F.col("record_id").alias("id_a"))
-    b = several.select("seen", F.col("raw").alias("raw_b"), F.col("record_id").alias("id_b"))
-    return a.join(b, "seen").where("raw_a <> raw_b and id_a < id_b").select("id_a", "id_b").distinct()
+    looks = lines.where("altered").select("seen").distinct()
+    several = materialise(lines.join(looks, "seen", "left_semi").select("seen", "raw", "record_id").distinct())
+    spellings = several.groupBy("seen", "raw").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
+    a, b = (spellings.select("seen", F.col("raw").alias(f"raw_{x}"), F.col("portions").alias(f"portions_{x}")) for x in "ab")
+    paired = materialise(a.join(b, "seen").where("raw_a < raw_b"))
+    sides = {}
+    for x in "ab":
+        whole = paired.select("seen", F.col(f"raw_{x}").alias("raw"), F.col(f"portions_{x}").alias("portions")).distinct()
+        rows = several.join(whole, ["seen", "raw"]).withColumn("portion", F.pmod(F.xxhash64("record_id"), "portions").cast("int"))
+        sides[x] = rows.select("seen", F.col("raw").alias(f"raw_{x}"), F.col("portion").alias(f"portion_{x}"), F.col("record_id").alias(f"of_{x}"))
+    spread = paired
+    for x in "ab":
+        portions = F.explode(F.sequence(F.lit(0), F.col(f"portions_{x}") - 1)).alias(f"portion_{x}")
+        spread = spread.select(*spread.columns, portions)
+    met = spread.join(sides["a"], ["seen", "raw_a", "portion_a"]).join(sides["b"], ["seen", "raw_b", "portion_b"])
+    ends = F.least("of_a", "of_b").alias("id_a"), F.greatest("of_a", "of_b").alias("id_b")
+    return met.where("of_a <> of_b").select(*ends).distinct()

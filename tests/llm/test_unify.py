@@ -39,6 +39,14 @@ def test_pairs_equal_brute_force(texts):
     assert lookalike_pairs(texts([]), "id", "text").count() == 0
 
 
+def test_usual_line_in_portions(texts, monkeypatch):
+    """A line that most rows have, of which a few are spelt otherwise: all pairs, by portions of the rows."""
+    monkeypatch.setattr("pageframe.llm.unify.PORTION", 7)
+    rows = [(k, "The file\nother " + str(k)) for k in range(100)] + [(200, "Thе file"), (201, "The ﬁle"), (202, "The ﬁle")]
+    got = {tuple(r) for r in lookalike_pairs(texts(rows), "id", "text").collect()}
+    assert got == {(k, o) for k in range(100) for o in (200, 201, 202)} | {(200, 201), (200, 202)}
+
+
 def test_column(texts):
     got = {r["id"]: r["unified"] for r in unify_column(texts([(1, None), (2, "Ａ"), (3, "")]), "id", "text").collect()}
     assert got == {1: None, 2: "a", 3: ""}
