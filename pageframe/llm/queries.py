@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageframe.llm import language, leakage, residue, scan_repair, shape, tokenizer, truncation, unify
-from pageframe.llm._common import table
+from pageframe.llm._common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,19 +95,19 @@ def p2_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_repair.repair_pages(regions, "result_id", "text", words)
 
 
+_STORED = ("quality_score", "quality_flags")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that are lists, tables or junk."""
-    found = shape.classify_shapes(_pages(spark, sf_dir, "text"), "result_id", "text")
+    found = shape.classify_shapes(_pages(spark, sf_dir, "text", *_STORED), "result_id", "text", *_STORED)
     return found.where("shape <> 'prose'").select(F.col("record_id").alias("result_id"), "shape")
 
 
 def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics and shape of each page beside its stored quality score."""
-    pages = table(spark, sf_dir, "ocr_results", "result_id", "text", "quality_score", "quality_flags").dropDuplicates(["result_id"])
-    stats = shape.page_statistics(pages, "result_id", "text")
-    shapes = shape.with_shape(stats, shape.fit_shapes(stats))
-    stored = pages.select(F.col("result_id").alias("record_id"), "quality_score", "quality_flags")
-    return stored.join(stats.drop("votes"), "record_id").join(shapes, "record_id").withColumnRenamed("record_id", "result_id")
+    stats = shape.page_statistics(_pages(spark, sf_dir, "text", *_STORED), "result_id", "text", *_STORED)
+    return shape.with_shapes(materialise(stats.dropDuplicates(["record_id"]))).withColumnRenamed("record_id", "result_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

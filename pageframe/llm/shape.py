@@ -16,10 +16,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageframe.llm._common import map_columns
+from pageframe.llm._common import map_columns, materialise
 
 SHAPES = ("prose", "list", "table", "junk")
-ABSTAIN = -1
+#: A function's vote where it doesn't know, and where what it looks at is missing.
+ABSTAIN, MISSING = -1, -2
 
 # Frequent function words of the six languages of the corpus.
 COMMON = frozenset(
@@ -146,10 +147,26 @@ def _by_word_length(s: dict[str, float]) -> int:
 FUNCTIONS: tuple[Callable[[dict[str, float]], int], ...] = (_by_sentences, _by_common_words, _by_line_ends, _by_marks, _by_short_lines, _by_cells, _by_digits, _by_symbols, _by_readable, _by_word_length)
 
 
-def votes(values: tuple[float, ...]) -> tuple[int, ...]:
-    """Every labelling function's vote on one page's statistics."""
+# Two more look at what is stored beside the text.
+
+
+def _by_stored_score(score: float | None) -> int:
+    """A score that is null, NaN or on another scale is missing."""
+    return MISSING if score is None or not 0 <= score <= 1 else 3 if score < 0.5 else ABSTAIN
+
+
+def _by_stored_flags(flags: list[str | None] | None) -> int:
+    return MISSING if flags is None else 3 if "symbol-noise" in flags else ABSTAIN
+
+
+STORED = (_by_stored_score, _by_stored_flags)
+NAMES = tuple(f.__name__.removeprefix("_by_") for f in (*FUNCTIONS, *STORED))
+
+
+def votes(values: tuple[float, ...], score: float | None = None, flags: list[str | None] | None = None) -> tuple[int, ...]:
+    """Every labelling function's vote on one page's statistics and what is stored of it."""
     s = dict(zip(STATISTICS, values))
-    return tuple(f(s) for f in FUNCTIONS)
+    return (*(f(s) for f in FUNCTIONS), _by_stored_score(score), _by_stored_flags(flags))
 
 
 def _pattern(v: tuple[int, ...]) -> str:
@@ -169,12 +186,12 @@ class ShapeModel:
     def __init__(self) -> None:
         k = len(SHAPES)
         self.prior = np.full(k, 1 / k)
-        self.confusion = np.empty((len(FUNCTIONS), k, k + 1))
-        for j, name in enumerate(f.__name__ for f in FUNCTIONS):
-            own = {"_by_sentences": (0,), "_by_common_words": (0, 3), "_by_line_ends": (0,), "_by_marks": (1,), "_by_short_lines": (1,), "_by_cells": (2,), "_by_digits": (1, 2), "_by_symbols": (3,), "_by_readable": (3,), "_by_word_length": (0,)}[name]
+        self.confusion = np.empty((len(NAMES), k, k + 1))
+        own = {"sentences": (0,), "common_words": (0, 3), "line_ends": (0,), "marks": (1,), "short_lines": (1,), "cells": (2,), "digits": (1, 2), "symbols": (3,), "readable": (3,), "word_length": (0,), "stored_score": (3,), "stored_flags": (3,)}
+        for j, name in enumerate(NAMES):
             for y in range(k):
                 row = np.full(k + 1, 0.01)
-                row[y if y in own else k] = self.START
+                row[y if y in own[name] else k] = self.START
                 row[k] += 0.1
                 self.confusion[j, y] = row / row.sum()
 
@@ -182,15 +199,15 @@ class ShapeModel:
         """Expectation-maximization over distinct vote patterns and their counts."""
         if not patterns:
             return self
-        v = np.array(list(patterns)) % (len(SHAPES) + 1)  # abstention last
+        v = np.array(list(patterns))
         n = np.array(list(patterns.values()), float)
         start = self.confusion.copy()
         for _ in range(rounds):
             p = self.posterior_of(v)
             mass = p * n[:, None]
             self.prior = (mass.sum(0) + 1) / (mass.sum() + len(SHAPES))
-            for j in range(len(FUNCTIONS)):
-                for a in range(len(SHAPES) + 1):
+            for j in range(len(NAMES)):
+                for a in (*range(len(SHAPES)), ABSTAIN):
                     self.confusion[j, :, a] = mass[v[:, j] == a].sum(0)
             # a few pages' worth of the starting belief keeps a shape that no page has
             self.confusion += 5 * start
@@ -198,67 +215,63 @@ class ShapeModel:
         return self
 
     def posterior_of(self, v: np.ndarray) -> np.ndarray:
-        logs = np.log(self.prior)[None, :] + sum(np.log(self.confusion[j][:, v[:, j]]).T for j in range(v.shape[1]))
+        """The shapes' probabilities of each vote pattern; what is missing tells nothing."""
+        logs = np.log(self.prior)[None, :] + sum(np.where(v[:, j, None] == MISSING, 0.0, np.log(self.confusion[j][:, v[:, j] % (len(SHAPES) + 1)]).T) for j in range(v.shape[1]))
         p = np.exp(logs - logs.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
     def posterior(self, v: tuple[int, ...]) -> np.ndarray:
-        return self.posterior_of(np.array([v]) % (len(SHAPES) + 1))[0]
+        return self.posterior_of(np.array([v]))[0]
 
     def accuracies(self) -> dict[str, float]:
         """Share of a function's votes that fall on the page's shape."""
         out = {}
-        for j, f in enumerate(FUNCTIONS):
+        for j, name in enumerate(NAMES):
             cast = (self.confusion[j, :, :-1] * self.prior[:, None]).sum()
             right = sum(self.confusion[j, y, y] * self.prior[y] for y in range(len(SHAPES)))
-            out[f.__name__.removeprefix("_by_")] = float(right / cast) if cast else math.nan
+            out[name] = float(right / cast) if cast else math.nan
         return out
 
 
-def page_statistics(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """One row a non-blank text: ``record_id``, the statistics and the vote pattern.
+def page_statistics(df: DataFrame, id_column: str, text_column: str, score_column: str | None = None, flags_column: str | None = None) -> DataFrame:
+    """One row a non-blank text: ``record_id``, the statistics, the vote pattern ``votes``, and ``quality_score`` and ``quality_flags`` as stored.
 
-    Null, empty and white-space texts give no row. Very long texts are read whole.
+    Null, empty and white-space texts give no row. Very long texts are read
+    whole. Without columns for what is stored that is null, and its functions'
+    votes are missing.
     """
+    stored = F.col(score_column) if score_column else F.lit(None).cast("double"), F.col(flags_column) if flags_column else F.lit(None).cast("array<string>")
 
     def make() -> Callable[..., dict]:
-        def step(ids: list, texts: list) -> dict:
-            rows = [(i, *s, _pattern(votes(s))) for i, t in zip(ids, texts) if (s := statistics(t))]
-            columns = list(zip(*rows)) if rows else [()] * (len(STATISTICS) + 2)
-            return dict(zip(("record_id", *STATISTICS, "votes"), map(list, columns)))
+        def step(ids: list, texts: list, scores: list, flags: list) -> dict:
+            rows = [(i, *s, _pattern(votes(s, q, f)), q, f) for i, t, q, f in zip(ids, texts, scores, flags) if (s := statistics(t))]
+            columns = list(zip(*rows)) if rows else [()] * (len(STATISTICS) + 4)
+            return dict(zip(("record_id", *STATISTICS, "votes", "quality_score", "quality_flags"), map(list, columns)))
 
         return step
 
     kind = df.schema[id_column].dataType.simpleString()
-    return map_columns(df.select(id_column, text_column), make, f"record_id {kind}, {STATISTICS_DDL}, votes string")
+    return map_columns(df.select(id_column, text_column, *stored), make, f"record_id {kind}, {STATISTICS_DDL}, votes string, quality_score double, quality_flags array<string>")
 
 
-def fit_shapes(stats: DataFrame) -> ShapeModel:
-    """Learn the functions' accuracies from all pages.
-
-    The driver gets one row for each distinct vote pattern: at most the product
-    of the functions' possible votes (3,456), whatever the number of pages.
-    """
-    rows = stats.groupBy("votes").agg(F.count("*").alias("n")).collect()
-    return ShapeModel().fit({tuple(map(int, r["votes"].split(","))): r["n"] for r in rows})
-
+def _patterns(stats: DataFrame) -> dict[tuple[int, ...], int]:
+    """How many pages have each vote pattern: at most as many as the product of the functions' possible votes (20,736), whatever the number of pages."""
+    return {tuple(map(int, r["votes"].split(","))): r["n"] for r in stats.groupBy("votes").agg(F.count("*").alias("n")).collect()}
 
-def with_shape(stats: DataFrame, model: ShapeModel, patterns: list[str] | None = None) -> DataFrame:
-    """Add ``shape`` and ``posterior`` to rows of :func:`page_statistics`."""
 
-    def make() -> Callable[..., dict]:
-        seen: dict[str, tuple[str, float]] = {}
-
-        def step(ids: list, patterns: list) -> dict:
-            for x in set(patterns) - seen.keys():
-                p = model.posterior(tuple(map(int, x.split(","))))
-                seen[x] = SHAPES[int(p.argmax())], float(p.max())
-            return {"record_id": ids, "shape": [seen[x][0] for x in patterns], "posterior": [seen[x][1] for x in patterns]}
+def fit_shapes(stats: DataFrame) -> ShapeModel:
+    """Learn the functions' accuracies from all pages."""
+    return ShapeModel().fit(_patterns(stats))
 
-        return step
 
-    kind = stats.schema["record_id"].dataType.simpleString()
-    return map_columns(stats.select("record_id", "votes"), make, f"record_id {kind}, shape string, posterior double")
+def with_shapes(stats: DataFrame) -> DataFrame:
+    """Add ``shape`` and ``posterior``, by accuracies learnt from all rows, to rows of :func:`page_statistics`; ``stats`` is read twice."""
+    patterns = _patterns(stats)
+    model = ShapeModel().fit(patterns)
+    rows = [(_pattern(v), SHAPES[int(p.argmax())], float(p.max())) for v in patterns for p in [model.posterior(v)]]
+    # one row a vote pattern, which are bounded as above
+    shapes = stats.sparkSession.createDataFrame(rows, "votes string, shape string, posterior double")
+    return stats.join(F.broadcast(shapes), "votes").drop("votes")
 
 
 def shape_of(text: str | None, model: ShapeModel) -> str | None:
@@ -267,11 +280,12 @@ def shape_of(text: str | None, model: ShapeModel) -> str | None:
     return None if s is None else SHAPES[int(model.posterior(votes(s)).argmax())]
 
 
-def classify_shapes(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def classify_shapes(df: DataFrame, id_column: str, text_column: str, score_column: str | None = None, flags_column: str | None = None) -> DataFrame:
     """One row a distinct id with a non-blank text: ``record_id``, ``shape``, ``posterior``.
 
     Rows that are delivered twice give one row. Ties between shapes go to the
-    first of ``SHAPES``. An empty table gives no rows.
+    first of ``SHAPES``. An empty table gives no rows. The texts are read once:
+    the vote patterns are kept in the shared folder.
     """
-    stats = page_statistics(df, id_column, text_column)
-    return with_shape(stats, fit_shapes(stats)).dropDuplicates(["record_id"])
+    stats = materialise(page_statistics(df, id_column, text_column, score_column, flags_column).select("record_id", "votes"))
+    return with_shapes(stats).dropDuplicates(["record_id"])
