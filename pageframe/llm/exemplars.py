@@ -76,7 +76,7 @@ VALUES = ("undefined", "[object Object]", "NaN", "(null)", "%s", "%d", "xx/xx/xx
 
 def by_kind() -> dict[str, tuple[str, ...]]:
     """The exemplars of passages; those of fields are held against marked spans only."""
-    reasons = tuple(f"1 {s.phrase}" for s in HTTPStatus if s >= 400)
+    reasons = tuple(f"1 {s.phrase}" for s in HTTPStatus if s >= 400 and s != 418)  # 418 is a joke
     # pseudo-Latin begins and ends anywhere, so every few words of it are an exemplar
     latin = [x.split() for x in PSEUDO_LATIN]
     clauses = tuple(" ".join(x[k : k + CLAUSE]) for x in latin for k in range(len(x) - CLAUSE + 1))

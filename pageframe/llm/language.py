@@ -39,7 +39,7 @@ SHARE = 5e-6
 #: Longest and shortest character n-gram of the backoff.
 LONG, SHORT = 4, 1
 #: A sentence decides with this many scored words and this margin in log odds.
-MIN_WORDS, MARGIN = 4, 4.0
+MIN_WORDS, MARGIN = 2, 4.0
 
 _WORD = re.compile(r"[^\W\d_]{2,}|[àèéaeiouyșî](?=\s)")
 _END = re.compile(r"(?<=[^\W\d_]{2}[.!?;:])[\"»”’)]*\s+|(?<=\d{3}[.!?;:])[\"»”’)]*\s+|(?<=[^\W\d_]{2}[.!?][\"»”])\s+|\n\s*\n")
@@ -52,6 +52,25 @@ def label_code(label: str | None) -> str | None:
     return _CODES.get(name)
 
 
+class Rows:
+    """A table of numbers by key, one matrix: it is sent to the workers as the keys' text and the matrix' bytes."""
+
+    def __init__(self, rows: dict[str, np.ndarray]) -> None:
+        self._at = {k: i for i, k in enumerate(rows)}
+        self._rows = np.array(list(rows.values()), np.float32).reshape(-1, len(LANGUAGES))
+
+    def get(self, key: str) -> np.ndarray | None:
+        i = self._at.get(key)
+        return None if i is None else self._rows[i]
+
+    def __getstate__(self) -> tuple[str, np.ndarray]:
+        return "\n".join(self._at), self._rows
+
+    def __setstate__(self, state: tuple[str, np.ndarray]) -> None:
+        self._at = {k: i for i, k in enumerate(state[0].split("\n"))} if len(state[1]) else {}
+        self._rows = state[1]
+
+
 class LanguageModel:
     """Log frequencies of words and character n-grams in each language."""
 
@@ -61,15 +80,16 @@ class LanguageModel:
         for (lang, word), n in counts.items():
             words[word][LANGUAGES.index(lang)] += n
         totals = sum(words.values(), np.zeros(size)) + 1
-        self.words: dict[str, np.ndarray] = {}
+        logs: dict[str, np.ndarray] = {}
         grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(size))
         for word, n in words.items():
-            self.words[word] = self._logs(n / totals, 1 / totals.sum())
+            logs[word] = self._logs(n / totals, 1 / totals.sum())
             for g in self._grams(word):
                 # by words, not by their uses: an unseen word is a rare one
                 grams[g] += (n > 0.2 * n.max()) * 1.0
         kinds = {k: sum((n for g, n in grams.items() if len(g) == k), np.zeros(size)) + 1 for k in range(SHORT, LONG + 1)}
-        self.grams = {g: self._logs(n / kinds[len(g)], 1 / kinds[len(g)].sum()) for g, n in grams.items() if n.sum() > 1}
+        self.words = Rows(logs)
+        self.grams = Rows({g: self._logs(n / kinds[len(g)], 1 / kinds[len(g)].sum()) for g, n in grams.items() if n.sum() > 1})
         self._seen: dict[str, tuple[float, ...]] = {}
 
     @staticmethod

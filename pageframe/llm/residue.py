@@ -30,8 +30,11 @@ TERM = re.compile(r"[^\W\d_]+|\d+|[|©]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
 _VALUE = re.compile(r':\s*"([^"\n]*)"')
 _PASSAGE = re.compile(r"\n|</?\w+>|(?<=[.!?;])\s+")
-# where a field may begin; every branch starts with a character of its own, so that the search skips fast
-_FIELD_HINT = re.compile(r"\{|<[%<A-Z]|\$[{A-Z]|«\w|@@\w|%[A-Zsd]|#[A-Z]|(?<!\w)__[A-Z]|\[|undefined|\(null\)|(?<!\w)NaN|(?<!\w)(?:[XxDdMmYyTtJjGgZz]{2}|00|0000|[Yy]{4})(?=[./-][XxMmDdLl0])")
+# where a field may begin: a mark, a word that programs write, or the middle of a date without figures
+_MARK_HINT = re.compile(r"[{<$«@%#\[][^\s]")
+_WORD_HINTS = ("undefined", "NaN", "(null)", "__")
+_DATE_HINT = re.compile(r"[./-](?:XX|xx|MM|mm|DD|dd|LL|ll|00)[./-]")
+_DATE_START = re.compile(r"[A-Za-z0]{2,4}$")
 # what may be a field, by the kind of its marks; what stands between is the last group that is there
 _FIELD = re.compile(
     r"(?P<braces>\{\{([^{}]*)\}\})|(?P<block>\{%([^{}%]*)%\})|(?P<code><%=?([^<>%]*)%>)|(?P<dollar>\$\{([^{}\n]*)\})|(?P<number>\{(\d{1,3})\})|(?P<upper>\{([A-Z][A-Z_]+)\})|(?P<path>\{([a-z][a-z\d]*(?:[_.][a-z\d]+)+)\})"
@@ -78,13 +81,29 @@ def field_at(text: str, at: int) -> tuple[str, str, str] | None:
     return m.lastgroup, m.group(), next(g for g in reversed(m.groups()) if g is not None)
 
 
+def _hints(text: str) -> list[int]:
+    """Places of a text where a field may begin, in their order."""
+    out = [m.start() for m in _MARK_HINT.finditer(text)]
+    for word in _WORD_HINTS:
+        at = text.find(word)
+        while at >= 0:
+            if not text[at - 1 : at].isalnum() and text[at - 1 : at] not in "_'\"-" or not at:
+                out.append(at)
+            at = text.find(word, at + len(word))
+    for m in _DATE_HINT.finditer(text):
+        if first := _DATE_START.search(text, max(0, m.start() - 4), m.start()):
+            if not text[first.start() - 1 : first.start()].isalnum() or not first.start():
+                out.append(first.start())
+    return sorted(out)
+
+
 def fields_of(text: str) -> list[tuple[str, str, str]]:
     """All places of a text that may be a field."""
     out, end = [], 0
-    for hint in _FIELD_HINT.finditer(text):
-        if hint.start() >= end and (f := field_at(text, hint.start())):
+    for at in _hints(text):
+        if at >= end and (f := field_at(text, at)):
             out.append(f)
-            end = hint.start() + len(f[1])
+            end = at + len(f[1])
     return out
 
 
@@ -134,6 +153,8 @@ class ResidueIndex:
         self.total = max(total, 1)
         self.counts = {t: counts.get(t, 0) for t in self.vocabulary()} | {t: counts.get(t, 0) for t in latin}
         self.latin = latin
+        self._idf = {t: math.log(1 + self.total / (1 + n)) for t, n in self.counts.items()} | {"0": math.log(21)}
+        self._unseen = math.log(1 + self.total / (1 + self.total / 1000))
         self.exemplars: list[tuple[str, Counter, float]] = []
         self.postings: dict[str, list[int]] = defaultdict(list)
         self.anchors = ahocorasick.Automaton()
@@ -165,9 +186,9 @@ class ResidueIndex:
         return {t for _, bag in cls.bags() for t in bag}
 
     def _anchors_of(self, bag: Counter, full: float) -> list[str]:
-        """The rarest terms of an exemplar: a passage without any of them can't hold ``HALF`` of it."""
+        """Terms of an exemplar, rare ones first and the shortest last, such that a passage without any of them can't hold ``HALF`` of it."""
         out, left = [], full
-        for t in sorted(bag, key=self.idf, reverse=True):
+        for t in sorted(bag, key=lambda t: (len(t) > 2, self.idf(t)), reverse=True):
             if left < HALF * full:
                 break
             if t != "0":
@@ -177,16 +198,16 @@ class ResidueIndex:
 
     def idf(self, term: str) -> float:
         """Terms outside every exemplar count as much as a term of one in a thousand, numbers as one in twenty."""
-        if term == "0":
-            return math.log(21)
-        return math.log(1 + self.total / (1 + self.counts.get(term, self.total / 1000)))
+        return self._idf.get(term, self._unseen)
 
     def _retrieve(self, bag: Counter) -> dict[int, float]:
         """Containment of every exemplar that shares a term."""
         shared: dict[int, float] = defaultdict(float)
         for t, n in bag.items():
-            for k in self.postings.get(t, ()):
-                shared[k] += self.idf(t) * min(n, self.exemplars[k][1][t])
+            if t in self.postings:
+                idf = self._idf[t]
+                for k in self.postings[t]:
+                    shared[k] += idf * min(n, self.exemplars[k][1][t])
         return {k: s / self.exemplars[k][2] for k, s in shared.items()}
 
     def _share(self, bag: Counter, inside: set[str]) -> float:
@@ -295,17 +316,18 @@ def _term_counts(docs: DataFrame) -> DataFrame:
     def make() -> Callable[..., dict]:
         def step(texts: list) -> dict:
             kept = [t for t in texts if t]
-            out = {(t, False): n for t, n in Counter(terms("\n".join(kept))).items()}
+            out: Counter = Counter()
+            for t, n in Counter(TERM.findall("\n".join(kept).casefold())).items():
+                out["0" if t[0].isdigit() else t, False] += n
             for (kind, _, inside), n in Counter(f for t in kept for f in fields_of(t)).items():
-                key = (inside if kind == "value" else _mark(kind), False)
-                out[key] = out.get(key, 0) + n
+                out[inside if kind == "value" else _mark(kind), False] += n
             for t in kept:
                 if all(w in (low := t.casefold()) for w in first):
                     for passage in _PASSAGE.split(low):
                         bag = Counter(terms(passage))
                         if first <= bag.keys():
                             for w, n in bag.items():
-                                out[w, True] = out.get((w, True), 0) + n
+                                out[w, True] += n
             return out
 
         return step

@@ -5,7 +5,7 @@ the encoder takes the longest token that matches at each place, and steps back
 to a shorter one where a pair-compatibility table says that the merges would
 not have left the pair of neighbours as they are. That gives exactly the tokens
 of the merge procedure, in time linear in the piece. Distinct pieces are encoded
-once a task. Decoding reads token bytes through an offset table.
+once a worker process. Decoding reads token bytes through an offset table.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from pageframe.llm._common import map_columns
@@ -158,9 +159,9 @@ class BacktrackingEncoder:
 
 
 class PieceCache(dict):
-    """Ids of text pieces; a task encodes each distinct piece once.
+    """Ids of text pieces; a worker process encodes each distinct piece once.
 
-    It starts anew at ``LIMIT`` pieces, so a task's memory is bounded whatever
+    It starts anew at ``LIMIT`` pieces, so its memory is bounded whatever
     the corpus holds.
     """
 
@@ -177,18 +178,31 @@ class PieceCache(dict):
         return ids
 
 
+#: A worker process' encoders by vocabulary file: tasks that follow each other in it share one.
+_ENCODERS: dict[str, PieceCache] = {}
+
+
+def _encoder(name: str) -> PieceCache:
+    if name not in _ENCODERS:
+        _ENCODERS[name] = PieceCache(BacktrackingEncoder.from_file(SparkFiles.get(name)))
+    return _ENCODERS[name]
+
+
 def encode_corpus(df: DataFrame, id_column: str, text_column: str, vocabulary: str | None = None) -> DataFrame:
     """The id and ``ids array<int>`` of every row.
 
     A null or empty text gives an empty list. Strings that look like special
     tokens are ordinary text. Texts are encoded whole, however long; repeated
-    rows stay. Nothing is shuffled.
+    rows stay. Nothing is shuffled. The driver reads the vocabulary file and
+    Spark hands it out; a worker process builds its encoder once.
     """
     path = vocabulary or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def make() -> Callable[..., dict]:
         cut = regex.compile(PATTERN).findall
-        ids_of = PieceCache(BacktrackingEncoder.from_file(path))
+        ids_of = _encoder(name)
 
         def step(ids: list, texts: list) -> dict:
             flat: list[int] = []
