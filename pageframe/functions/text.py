@@ -61,6 +61,16 @@ def dictionary_words(c: Column) -> Column:
     return F.transform(long, lambda w: F.regexp_replace(w, "^[^a-z]+|[^a-z]+$", ""))
 
 
+def dictionary_ratio(c: Column, dictionary: list[str]) -> Column:
+    """Share of a text's words that are in the dictionary; null for null and for a text without words.
+
+    The dictionary is a list of a few thousand words at most, which stands in the plan as a set.
+    """
+    found = dictionary_words(c)
+    known = F.filter(found, lambda w: w.isin(dictionary) if dictionary else F.lit(False))
+    return F.when(F.size(found) > 0, F.size(known) / F.size(found))
+
+
 def upper_median(numbers: Column) -> Column:
     """The element at floor(n/2) of the sorted numbers; null for none."""
     return F.try_element_at(F.sort_array(numbers), (F.floor(F.size(numbers) / 2) + 1).cast("int"))
@@ -86,8 +96,8 @@ def with_quality(df: DataFrame, text: str, source: str, confidence: str, diction
     """adds ``score`` and ``flags``.
 
     Native text gets 0.98 and no flags. Null text counts as empty, a null
-    dictionary ratio as no miss, a null or NaN confidence as 0.85. Penalties are
-    taken off in their fixed order, so that the doubles are the same. The steps
+    dictionary ratio as no miss, a null or NaN confidence as 0.85; others are
+    clamped to 0 and 1. Penalties are taken off in their fixed order, so that the doubles are the same. The steps
     are columns of their own, so that none is computed twice.
     """
     c = F.col

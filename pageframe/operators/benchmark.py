@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from pageframe.functions.text import clamp01, normalise
 
@@ -21,55 +17,45 @@ def error_rate(distance: Column, size: Column, actual_size: Column) -> Column:
     return F.when(size == 0, F.when(actual_size == 0, 0.0).otherwise(1.0)).otherwise(distance / size)
 
 
-def character_rate(expected: Column, actual: Column) -> Column:
-    """F03 over code points of normalised texts; null texts count as empty."""
-    e, a = normalise(F.coalesce(expected, F.lit(""))), normalise(F.coalesce(actual, F.lit("")))
+def _edits(e: Column, a: Column) -> Column:
     # few edits are counted in a narrow band; only where there are more is the whole table filled
     band = F.levenshtein(e, a, BAND)
-    return error_rate(F.when(band >= 0, band).otherwise(F.levenshtein(e, a)).cast("double"), F.length(e), F.length(a))
-
-
-def token_distance(a: list, b: list) -> int:
-    """F02 over tokens, a row of the table at a time, without the beginning and end that both share."""
-    first = 0
-    while first < min(len(a), len(b)) and a[first] == b[first]:
-        first += 1
-    last = 0
-    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
-        last += 1
-    a, b = a[first : len(a) - last], b[first : len(b) - last]
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return row[-1]
-
-
-@F.pandas_udf(IntegerType())
-def _word_distance(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    # runs of one fixture repeat, so each distinct pair is compared once
-    seen: dict[tuple[str, str], int] = {}
-    for e, a in parts:
-        out = []
-        for pair in zip(e, a):
-            if pair not in seen:
-                seen[pair] = token_distance(pair[0].split(" ") if pair[0] else [], pair[1].split(" ") if pair[1] else [])
-            out.append(seen[pair])
-        yield pd.Series(out)
-
-
-def word_rate(expected: Column, actual: Column) -> Column:
-    """F04 over words of normalised texts."""
-    e, a = normalise(F.coalesce(expected, F.lit(""))), normalise(F.coalesce(actual, F.lit("")))
-    size = lambda c: F.when(c == "", 0).otherwise(F.size(F.split(c, " ")))
-    return error_rate(_word_distance(e, a).cast("double"), size(e), size(a))
+    return F.when(band >= 0, band).otherwise(F.levenshtein(e, a)).cast("double")
+
+
+def rated(runs: DataFrame, expected: str, actual: str) -> DataFrame:
+    """``char_error_rate`` over code points and ``word_error_rate`` over words of normalised texts; null texts count as empty.
+
+    Words are coded as one character each, by their first place among the words
+    of both texts, so that edits of words are counted as those of characters are,
+    in the JVM. Each distinct pair of texts is compared once; runs meet it by
+    hashes, not by texts.
+    """
+    key = [F.xxhash64(F.coalesce(c, F.lit(""))).alias(n) for c, n in ((F.col(expected), "_he"), (F.col(actual), "_ha"))]
+    sized = [F.length(F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in ((expected, "_le"), (actual, "_la"))]
+    keys = ["_he", "_ha", "_le", "_la"]
+    pairs = runs.select(*key, *sized, F.coalesce(expected, F.lit("")).alias("_e"), F.coalesce(actual, F.lit("")).alias("_a")).groupBy(*keys).agg(F.first("_e").alias("_e"), F.first("_a").alias("_a"))
+    pairs = pairs.withColumn("_e", normalise(F.col("_e"))).withColumn("_a", normalise(F.col("_a")))
+    tokens = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    pairs = pairs.withColumn("_we", tokens(F.col("_e"))).withColumn("_wa", tokens(F.col("_a")))
+    pairs = pairs.withColumn("_known", F.array_distinct(F.concat("_we", "_wa")))
+    code = lambda ws: F.array_join(F.transform(ws, lambda w: _character(F.array_position("_known", w))), "")
+    pairs = pairs.withColumn("_ce", code(F.col("_we"))).withColumn("_ca", code(F.col("_wa")))
+    done = pairs.select(
+        *keys, error_rate(_edits(F.col("_e"), F.col("_a")), F.length("_e"), F.length("_a")).alias("char_error_rate"), error_rate(_edits(F.col("_ce"), F.col("_ca")), F.size("_we"), F.size("_wa")).alias("word_error_rate")
+    )
+    return runs.select("*", *key, *sized).join(done, keys).drop(*keys)
+
+
+def _character(n: Column) -> Column:
+    """A character for a number from 1 on, none of them a surrogate."""
+    code = F.when(n < 0xD000, n + 32).otherwise(n + 0x10000)
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
 
 
 def metrics(df: DataFrame, expected: str, actual: str) -> DataFrame:
     """both rates and accuracies."""
-    rated = df.withColumn("char_error_rate", character_rate(F.col(expected), F.col(actual))).withColumn("word_error_rate", word_rate(F.col(expected), F.col(actual)))
-    return rated.withColumn("char_accuracy", clamp01(1 - F.col("char_error_rate"))).withColumn("word_accuracy", clamp01(1 - F.col("word_error_rate")))
+    return rated(df, expected, actual).withColumn("char_accuracy", clamp01(1 - F.col("char_error_rate"))).withColumn("word_accuracy", clamp01(1 - F.col("word_error_rate")))
 
 
 def successful(runs: DataFrame, text: str = "extracted_text") -> DataFrame:
@@ -77,15 +63,25 @@ def successful(runs: DataFrame, text: str = "extracted_text") -> DataFrame:
     return runs.where((F.length(text) > 0) & ~F.col(text).startswith("ERROR"))
 
 
+def _numbered(values: DataFrame, name: str) -> DataFrame:
+    """A short list, in its order, with each value's place and the list's length."""
+    return values.agg(F.array_sort(F.collect_set(values.columns[0])).alias("_all")).select(F.posexplode("_all").alias(f"_{name}", name), F.size("_all").alias(f"_n_{name}"))
+
+
 def grid(engines: DataFrame, fixtures: DataFrame, configurations: DataFrame) -> DataFrame:
-    """Every combination of three small lists; they are the benchmark's own, not data."""
-    return engines.crossJoin(fixtures).crossJoin(configurations)
+    """Every combination of three small lists, which are the benchmark's own, not data, with its place ``i``.
+
+    The place in the grid's order is worked out from those in the lists.
+    """
+    e, f, c = _numbered(engines, "engine"), _numbered(fixtures, "fixture"), _numbered(configurations, "preprocess")
+    every = e.crossJoin(f).crossJoin(c)
+    i = (F.col("_engine").cast("bigint") * F.col("_n_fixture") + F.col("_fixture")) * F.col("_n_preprocess") + F.col("_preprocess")
+    return every.select("engine", "fixture", "preprocess", i.alias("i"))
 
 
-def shard(df: DataFrame, order: str, shards: int, number: int) -> DataFrame:
-    """Each ``shards``-th row in the order, from ``number`` on."""
-    w = Window.orderBy(order)
-    return df.withColumn("_i", F.row_number().over(w) - 1).where(F.pmod("_i", F.lit(shards)) == number).drop("_i")
+def shard(df: DataFrame, index: str, shards: int, number: int) -> DataFrame:
+    """The rows of one of so many shards, by their place."""
+    return df.where(F.pmod(F.col(index), F.lit(shards)) == number)
 
 
 def best_by(runs: DataFrame, keys: DataFrame, key: str, rate: str, order: str) -> DataFrame:

@@ -55,21 +55,62 @@ def tier(has_gpu_api: Column, has_adapter: Column) -> Column:
     return F.when(~F.coalesce(has_gpu_api, F.lit(False)), "basic").when(F.coalesce(has_adapter, F.lit(False)), "premium").otherwise("standard")
 
 
+#: Numbers of an order that are ranked in one task.
+SPAN = 1000
+
+
+def ranked(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Add ``rank`` (from 1) and ``total`` of each row in its key, by a whole number ``order``.
+
+    A key may hold any share of all rows: rows are ranked within spans of
+    ``SPAN`` numbers, and the counts of a key's spans, one row each, summed up
+    before. Ties of key and order share a span and are ranked in any order; rows
+    whose order is null come first.
+    """
+    spanned = rows.withColumn("_span", F.floor(F.col(order) / SPAN))
+    sizes = spanned.groupBy(key, "_span").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key).orderBy("_span")
+    before = sizes.select(F.col(key).alias("_key"), F.col("_span").alias("_of"), (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(key)).alias("total"))
+    placed = spanned.withColumn("_row", F.row_number().over(Window.partitionBy(key, "_span").orderBy(order)))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_of"))
+    return placed.join(before, same).withColumn("rank", F.col("_before") + F.col("_row")).drop("_span", "_row", "_key", "_of", "_before")
+
+
 def progress(pages: DataFrame, job: str, order: str) -> DataFrame:
     """``completed`` and ``total`` of each page in its job."""
-    w = Window.partitionBy(job)
-    return pages.withColumn("completed", F.row_number().over(w.orderBy(order))).withColumn("total", F.count("*").over(w))
+    return ranked(pages, job, order).withColumn("completed", F.col("rank").cast("int")).drop("rank")
 
 
 def cycled(pages: DataFrame, order: str, responses: list[str]) -> DataFrame:
     """The mock recogniser's answers in turn."""
-    k = F.pmod(F.row_number().over(Window.partitionBy("job_id").orderBy(order)) - 1, F.lit(len(responses)))
-    return pages.withColumn("text", F.element_at(F.array(*map(F.lit, responses)), (k + 1).cast("int")))
+    k = F.pmod(F.col("rank") - 1, F.lit(len(responses)))
+    return ranked(pages, "job_id", order).withColumn("text", F.element_at(F.array(*map(F.lit, responses)), (k + 1).cast("int"))).drop("rank", "total")
+
 
+def selected(pages: DataFrame, wanted: list[int], index: str = "page_index") -> DataFrame:
+    """The pages of these indices; an index that no page has is passed over."""
+    return pages.where(F.col(index).isin([i for i in wanted if i >= 0]))
 
-def word_regions(words: Column, text: Column) -> Column:
-    """The recognised words on the detector's word boxes if there are as many, else one box of the line."""
-    tokens = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    line = F.struct(text.alias("text"), F.array_min(F.transform(words, lambda w: w["x"])).alias("x"), F.array_min(F.transform(words, lambda w: w["y"])).alias("y"))
-    each = F.zip_with(tokens, words, lambda t, w: F.struct(t.alias("text"), w["x"].alias("x"), w["y"].alias("y")))
-    return F.when((F.size(words) > 1) & (F.size(tokens) == F.size(words)), each).otherwise(F.array(line))
+
+def normalised(results: DataFrame) -> DataFrame:
+    """Results as they are saved: text, regions of text and box (no confidence), source, score, flags.
+
+    Null texts are empty, null regions and flags none.
+    """
+    box = lambda r: F.struct(F.coalesce(r["text"], F.lit("")).alias("text"), *(r[k].alias(k) for k in "xywh"))
+    kept = [c for c in results.columns if c not in ("text", "regions", "quality_flags")]
+    return results.select(
+        *kept, F.coalesce("text", F.lit("")).alias("text"), F.transform(F.coalesce("regions", F.array()), box).alias("regions"), F.coalesce("quality_flags", F.array().cast("array<string>")).alias("quality_flags")
+    )
+
+
+def word_regions(words: Column, line: Column) -> Column:
+    """A line's recognised words on the detector's word boxes, with its confidences, if there are as many; else the line's own box.
+
+    ``words`` are structs of x, y, w, h and confidence, ``line`` one with text too.
+    """
+    tokens = F.filter(F.split(F.trim(line["text"]), r"\s+"), lambda w: w != "")
+    fields = ("x", "y", "w", "h", "confidence")
+    each = F.zip_with(tokens, words, lambda t, w: F.struct(t.alias("text"), *(w[k].alias(k) for k in fields)))
+    whole = F.array(F.struct(line["text"].alias("text"), *(line[k].alias(k) for k in fields)))
+    return F.when((F.size(words) > 1) & (F.size(tokens) == F.size(words)), each).otherwise(whole)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageframe.functions import geometry as geo
@@ -102,21 +102,16 @@ def symbol_ratio(spark: SparkSession, d: str) -> DataFrame:
 _DICTIONARY_SHARE = 0.0005
 
 
-def _dictionary(words: DataFrame) -> DataFrame:
-    """The dictionary by rule: frequent words of a-z."""
+def corpus_dictionary(spark: SparkSession, d: str) -> list[str]:
+    """The dictionary by rule: the words of a-z that make up ``_DICTIONARY_SHARE`` of those of all deliveries, so 2,000 at most."""
+    words = _t(spark, d, "ocr_results").select(F.explode(txt.dictionary_words(F.col("text"))).alias("word"))
     counts = words.where(F.regexp_like("word", F.lit("^[a-z]+(['-][a-z]+)*$"))).groupBy("word").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.col("total") * _DICTIONARY_SHARE).select("word")
+    # the total is one row of the same counts, whose exchange is read again
+    total = counts.agg(F.sum("n").alias("total")).hint("broadcast")
+    return sorted(r["word"] for r in counts.join(total, F.col("n") >= F.col("total") * _DICTIONARY_SHARE).collect())
 
 
-def _dictionary_ratio(results: DataFrame) -> DataFrame:
-    """Share of a text's words in the dictionary, which is small enough to go to all tasks."""
-    words = results.where("text is not null").select("result_id", F.explode(txt.dictionary_words(F.col("text"))).alias("word"))
-    known = F.broadcast(_dictionary(words).withColumn("known", F.lit(1)))
-    return words.join(known, "word", "left").groupBy("result_id").agg((F.count("known") / F.count("*")).alias("ratio"))
-
-
-_WORDS = f"w AS (SELECT result_id, regexp_replace(u, '^[^a-z]+|[^a-z]+$', '', 'g') AS word FROM (SELECT result_id, unnest(regexp_split_to_array(lower(text), '{_WS}+')) AS u FROM r WHERE text IS NOT NULL) WHERE length(u) > 1)"
+_WORDS = f"w AS (SELECT result_id, regexp_replace(u, '^[^a-z]+|[^a-z]+$', '', 'g') AS word FROM (SELECT result_id, unnest(regexp_split_to_array(lower(text), '{_WS}+')) AS u FROM ocr_results WHERE text IS NOT NULL) WHERE length(u) > 1)"
 _DICT = "c AS (SELECT word, count(*) AS n FROM w WHERE regexp_matches(word, '^[a-z]+([''-][a-z]+)*$') GROUP BY word), k AS (SELECT word FROM c WHERE n >= (SELECT sum(n) FROM c) * 0.0005::DOUBLE)"
 _RATIO = "q AS (SELECT result_id, count(k.word)::DOUBLE / count(*) AS ratio FROM w LEFT JOIN k USING (word) GROUP BY result_id)"
 
@@ -124,7 +119,8 @@ _RATIO = "q AS (SELECT result_id, count(k.word)::DOUBLE / count(*) AS ratio FROM
 @query(f"WITH {_R}, {_WORDS}, {_DICT}, {_RATIO} SELECT * FROM q")
 def dictionary_ratio(spark: SparkSession, d: str) -> DataFrame:
     """F08."""
-    return _dictionary_ratio(_results(spark, d, "text"))
+    ratio = txt.dictionary_ratio(F.col("text"), corpus_dictionary(spark, d))
+    return _delivered(spark, d, "text").select("result_id", ratio.alias("ratio")).where("ratio is not null").dropDuplicates(["result_id"])
 
 
 _HEIGHTS = "list_sort(list_filter(list_transform(coalesce(regions, []), lambda x: x.h), lambda h: h > 0 AND NOT isnan(h) AND h < 'Infinity'::DOUBLE))"
@@ -138,11 +134,17 @@ def region_heights(spark: SparkSession, d: str) -> DataFrame:
     return _delivered(spark, d, "regions").select("result_id", txt.height_anomaly(F.col("regions")).alias("anomaly"), txt.upper_median(heights).alias("median")).dropDuplicates(["result_id"])
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    r = _results(spark, d, "job_id", "page_number", "attempt", "source", "lang", "text", "regions", "quality_score")
-    q = r.join(_dictionary_ratio(r), "result_id", "left")
-    scored = txt.with_quality(q.withColumn("confidence", F.when(F.col("quality_score").between(0, 1), F.col("quality_score"))), "text", "source", "confidence", "ratio", "regions")
-    return scored.select("result_id", "job_id", "page_number", "attempt", "source", "lang", "score", "flags", txt.rank(F.col("score"), F.col("flags"), F.col("text")).alias("rank"))
+def _scored(spark: SparkSession, d: str, dictionary: list[str] | None = None) -> DataFrame:
+    """Each delivered row's score; the narrow outcome, not the texts, is freed of second deliveries.
+
+    ``dictionary`` is the list of usual words that the scores are made with; the
+    corpus' own where none is given.
+    """
+    known = corpus_dictionary(spark, d) if dictionary is None else dictionary
+    r = _delivered(spark, d, "job_id", "page_number", "attempt", "source", "lang", "text", "regions", "quality_score")
+    scored = txt.with_quality(r.withColumn("ratio", txt.dictionary_ratio(F.col("text"), known)), "text", "source", "quality_score", "ratio", "regions")
+    narrow = scored.select("result_id", "job_id", "page_number", "attempt", "source", "lang", "score", "flags", txt.rank(F.col("score"), F.col("flags"), F.col("text")).alias("rank"))
+    return narrow.dropDuplicates(["result_id"])
 
 
 def _scored_sql() -> str:
@@ -150,7 +152,7 @@ def _scored_sql() -> str:
         "very-short-text": "units < 20", "word-shape-anomaly": "words > 0 AND (mean > 11 OR mean < 2.2)", "symbol-noise": "noise > 0.15", "layout-collapse": "lines <= 1 AND words >= 20",
         "dictionary-miss": "words >= 20 AND coalesce(ratio < 0.5, false)", "height-anomaly": _ANOMALY,
     }
-    score = "CASE WHEN quality_score BETWEEN 0 AND 1 THEN quality_score ELSE 0.85::DOUBLE END"
+    score = "CASE WHEN quality_score IS NULL OR isnan(quality_score) THEN 0.85::DOUBLE ELSE greatest(0::DOUBLE, least(1::DOUBLE, quality_score)) END"
     for flag, penalty in txt.PENALTIES:
         score = f"({score} - CASE WHEN {hits[flag]} THEN {penalty}::DOUBLE ELSE 0::DOUBLE END)"
     flags = "list_filter([" + ", ".join(f"CASE WHEN {hits[f]} THEN '{f}' END" for f, _ in txt.PENALTIES) + "], lambda f: f IS NOT NULL)"
@@ -216,7 +218,7 @@ def pages_to_recognise(spark: SparkSession, d: str) -> DataFrame:
     return pages.to_recognise(_t(spark, d, "stored_pages").select("id", "job_id", "page_number", "source_kind").distinct()).drop("source_kind")
 
 
-@query("WITH p AS (SELECT DISTINCT job_id, page_number FROM stored_pages) SELECT job_id, page_number, row_number() OVER (PARTITION BY job_id ORDER BY page_number)::INT AS completed, count(*) OVER (PARTITION BY job_id) AS total FROM p")
+@query("WITH p AS (SELECT DISTINCT job_id, page_number FROM stored_pages) SELECT job_id, page_number, row_number() OVER (PARTITION BY job_id ORDER BY page_number)::INT AS completed, count(*) OVER (PARTITION BY job_id)::BIGINT AS total FROM p")
 def page_progress(spark: SparkSession, d: str) -> DataFrame:
     """W13."""
     return pages.progress(_t(spark, d, "stored_pages").select("job_id", "page_number").distinct(), "job_id", "page_number")
@@ -253,11 +255,11 @@ _CLIP = "cx AS (SELECT *, greatest(0::DOUBLE, least(width, x)) AS cx, greatest(0
 
 
 def _cleaned(spark: SparkSession, d: str, before: bool) -> DataFrame:
-    clean = _placed(spark, d).select("result_id", F.explode(geo.clean_regions(F.col("regions"), F.col("width"), F.col("height"), before)).alias("g"))
-    return clean.groupBy("result_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("g.x") + F.col("g.y")), 3).alias("xy"), F.round(F.sum(F.col("g.w") * F.col("g.h")), 1).alias("area"))
+    clean = _placed(spark, d).select("result_id", F.posexplode(geo.clean_regions(F.col("regions"), F.col("width"), F.col("height"), before)).alias("place", "g"))
+    return clean.select("result_id", F.col("place").cast("bigint").alias("place"), "g.text", "g.x", "g.y", "g.w", "g.h")
 
 
-_CLEANED = " SELECT result_id, count(*) AS n, round(sum(cx + cy), 3) AS xy, round(sum(cw * ch), 1) AS area FROM cw WHERE cw > 0 AND ch > 0 GROUP BY result_id"
+_CLEANED = " SELECT result_id, row_number() OVER (PARTITION BY result_id ORDER BY region_idx) - 1 AS place, text, cx AS x, cy AS y, cw AS w, ch AS h FROM cw WHERE cw > 0 AND ch > 0"
 
 
 @query(_PLACED + _FLAT + ", " + _CLIP.replace("#EXTRA#", "") + _CLEANED)
@@ -302,15 +304,18 @@ def font_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_R}, s AS (SELECT result_id, list_filter(coalesce(regions, []), lambda g: isfinite(g.x) AND isfinite(g.w) AND isfinite(g.y)) AS rs FROM r), e AS (SELECT *, list_sort(list_transform(rs, lambda g: g.x)) AS xs FROM s),"
-    " b AS (SELECT *, CASE WHEN len(rs) < 4 THEN []::DOUBLE[] ELSE list_transform(list_filter(range(2, len(xs) + 1), lambda i: xs[i] - xs[i - 1] > 250), lambda i: (xs[i] + xs[i - 1]) / 2) END AS bs FROM e),"
-    " f AS (SELECT result_id, bs, unnest(rs) AS g FROM b) SELECT result_id, len(list_filter(bs, lambda q: g.x + g.w / 2 >= q))::INT AS column_no, count(*) AS n FROM f GROUP BY ALL"
+    _PLACED.replace("SELECT result_id, regions,", "SELECT result_id, list_filter(coalesce(regions, []), lambda g: isfinite(g.x) AND isfinite(g.w) AND isfinite(g.y) AND " + _trim("coalesce(g.text, '')") + " <> '') AS regions,")
+    + ", e AS (SELECT *, list_sort(list_transform(regions, lambda g: g.x)) AS xs FROM s),"
+    " b AS (SELECT *, CASE WHEN len(regions) < 4 THEN []::DOUBLE[] ELSE list_transform(list_filter(range(2, len(xs) + 1), lambda i: xs[i] - xs[i - 1] > width * 0.25::DOUBLE), lambda i: (xs[i] + xs[i - 1]) / 2) END AS bs FROM e),"
+    " f AS (SELECT result_id, width, bs, i, regions[i] AS g FROM (SELECT *, unnest(range(1, len(regions) + 1)) AS i FROM b)),"
+    " c AS (SELECT result_id, i, g, bs, CASE WHEN g.x + g.w / 2 < 0 OR g.x + g.w / 2 >= width THEN len(bs) ELSE len(list_filter(bs, lambda q: g.x + g.w / 2 >= q)) END AS column_no FROM f)"
+    " SELECT result_id, (row_number() OVER (PARTITION BY result_id ORDER BY column_no, CASE WHEN len(bs) > 0 THEN g.y ELSE 0 END, i) - 1)::INT AS place, column_no::INT AS column_no, g.text AS text, g.x AS x, g.y AS y FROM c"
 )
 def page_columns(spark: SparkSession, d: str) -> DataFrame:
-    """W11, J07, O05."""
+    """Every region with its column and its place in reading order."""
     fit = F.filter(F.coalesce("regions", F.array()), lambda g: geo.finite(g["x"]) & geo.finite(g["w"]) & geo.finite(g["y"]))
-    pages_ = _results(spark, d, "regions").select("result_id", fit.alias("regions"), F.lit(1000.0).alias("width"))
-    return layout.order_by_columns(pages_, "regions", "width").groupBy("result_id", "column_no").agg(F.count("*").alias("n"))
+    pages_ = _placed(spark, d).select("result_id", fit.alias("regions"), "width")
+    return layout.order_by_columns(pages_, "regions", "width").select("result_id", "place", "column_no", "region.text", "region.x", "region.y")
 
 
 @query()
@@ -320,47 +325,59 @@ def grouped_lines(spark: SparkSession, d: str) -> DataFrame:
     return layout.group_lines(_results(spark, d, "regions").select("result_id", finite.alias("regions")), "result_id")
 
 
+@query()
+def pdf_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the PDF export, of regions in column order."""
+    fit = F.filter(F.coalesce("regions", F.array()), lambda g: geo.finite(g["x"]) & geo.finite(g["y"]) & geo.finite(g["w"]) & geo.finite(g["h"]))
+    pages_ = _placed(spark, d).select("result_id", fit.alias("regions"), "width")
+    ordered = layout.order_by_columns(pages_, "regions", "width").groupBy("result_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "region"))), lambda r: r["region"]).alias("regions"))
+    return layout.group_lines(ordered, "result_id", given_order=True)
+
+
+_PREFIXES = ("", "• ", "12. ", "3) ", "- ", "1234. ", "–")
+
+
 def _item_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of boxes for the layout rules: an order is a line, its items are boxes, 16 orders a page."""
     i = _t(spark, d, "lineitem")
     boxes = i.select(
-        F.floor(F.col("l_orderkey") / 16).alias("page"), (F.col("l_orderkey") % 16).cast("int").alias("line_no"), (F.col("l_linenumber") - 1).alias("region_idx"), F.concat_ws(" ", F.col("l_returnflag"), F.col("l_linestatus")).alias("text"),
+        F.floor(F.col("l_orderkey") / 16).alias("page"), (F.col("l_orderkey") % 16).cast("int").alias("line_no"), (F.col("l_linenumber") - 1).alias("region_idx"), F.concat(F.when(F.col("l_linenumber") == 1, F.element_at(F.array(*map(F.lit, _PREFIXES)), (F.pmod("l_orderkey", F.lit(7)) + 1).cast("int"))).otherwise(""), F.col("l_returnflag"), F.lit(" "), F.repeat(F.col("l_linestatus"), F.when(F.col("l_suppkey") % 9 == 0, 130).otherwise(1))).alias("text"),
         ((F.col("l_linenumber") - 1) * 140.0 + F.pmod(F.col("l_quantity"), F.lit(3.0)) * 8).alias("x"), ((F.col("l_orderkey") % 16) * 30.0).alias("y"), F.lit(60.0).alias("w"), (16 + F.pmod("l_partkey", F.lit(3)) * 4.0 + F.when(F.col("l_discount") > 0.09, 20).otherwise(0)).alias("h"),
     ).dropDuplicates(["page", "line_no", "region_idx"])
     return layout.page_lines(boxes, ["page"])
 
 
 _ITEMS = (
-    "i AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) floor(l_orderkey / 16.0)::BIGINT AS page, (l_orderkey % 16)::INT AS line_no, l_linenumber - 1 AS region_idx, l_returnflag || ' ' || l_linestatus AS text, (l_linenumber - 1) * 140::DOUBLE + (l_quantity % 3) * 8 AS x,"
+    "i AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) floor(l_orderkey / 16.0)::BIGINT AS page, (l_orderkey % 16)::INT AS line_no, l_linenumber - 1 AS region_idx, CASE WHEN l_linenumber = 1 THEN ['', '• ', '12. ', '3) ', '- ', '1234. ', '–'][(l_orderkey % 7 + 1)::INT] ELSE '' END || l_returnflag || ' ' || repeat(l_linestatus, CASE WHEN l_suppkey % 9 = 0 THEN 130 ELSE 1 END) AS text, (l_linenumber - 1) * 140::DOUBLE + (l_quantity % 3) * 8 AS x,"
     " (l_orderkey % 16) * 30::DOUBLE AS y, 60::DOUBLE AS w, 16 + (l_partkey % 3) * 4::DOUBLE + CASE WHEN l_discount > 0.09::DOUBLE THEN 20 ELSE 0 END AS h FROM lineitem ORDER BY l_orderkey, l_linenumber), g AS (SELECT *, x - lag(x + w) OVER (PARTITION BY page, line_no ORDER BY region_idx) AS gap FROM i),"
     " l AS (SELECT page, line_no, string_agg(text, ' ' ORDER BY region_idx) AS text, min(x) AS left_edge, max(x + w) AS right_edge, min(y) AS top, max(y + h) AS bottom, list_sort(list(h))[count(*) // 2 + 1] AS median_height, avg(gap) AS mean_gap, count(*) AS n_regions, list(x ORDER BY region_idx) AS lefts FROM g GROUP BY ALL)"
 )
 
 
 @query(
-    f"WITH {_ITEMS}, m AS (SELECT page, list_sort(list(median_height))[count(*) // 2 + 1] AS m FROM l GROUP BY page), k AS (SELECT l.*, CASE WHEN n_regions >= 3 AND right_edge - left_edge > 600 AND mean_gap > m * 0.8::DOUBLE THEN 'table-row' WHEN median_height > m * 1.35::DOUBLE THEN 'heading' ELSE 'body' END AS kind FROM l JOIN m USING (page)),"
+    f"WITH {_ITEMS}, m AS (SELECT page, list_sort(list(h))[count(*) // 2 + 1] AS m FROM i GROUP BY page), k AS (SELECT l.*, CASE WHEN n_regions >= 3 AND right_edge - left_edge > 600 AND mean_gap > m * 0.8::DOUBLE THEN 'table-row' WHEN median_height > m * 1.35::DOUBLE AND length(text) < 120 THEN 'heading'"
+    " WHEN regexp_matches(trim(text), '^[•–-]') THEN 'bullet' WHEN regexp_matches(trim(text), '^\\d{1,3}[.)]\\s+') THEN 'numbered' ELSE 'body' END AS kind FROM l JOIN m USING (page)),"
     " r AS (SELECT *, sum(CASE WHEN kind = 'table-row' AND before = 'table-row' THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY line_no) AS run FROM (SELECT *, lag(kind) OVER (PARTITION BY page ORDER BY line_no) AS before FROM k)),"
     " c AS (SELECT *, list_filter(list_transform(range(1, least(len(lefts), coalesce(len(prev), 0)) + 1), lambda q: abs(lefts[q] - prev[q])), lambda z: z IS NOT NULL) AS ds FROM (SELECT *, lag(lefts) OVER (PARTITION BY page, run ORDER BY line_no) AS prev FROM r)),"
     " v AS (SELECT *, count(*) OVER p AS rows_, sum(len(ds)) OVER p AS checks, sum(len(list_filter(ds, lambda z: z <= 15))) OVER p AS aligned FROM c WINDOW p AS (PARTITION BY page, run))"
-    " SELECT page, line_no, CASE WHEN kind = 'table-row' AND NOT (rows_ >= 2 AND coalesce(aligned / nullif(checks, 0), 0) >= 0.5) THEN 'body' ELSE kind END AS kind, NULL::INT AS list_number, n_regions, left_edge, median_height FROM v"
+    " SELECT page, line_no, CASE WHEN kind = 'table-row' AND NOT (rows_ >= 2 AND coalesce(aligned / nullif(checks, 0), 0) >= 0.5) THEN 'body' ELSE kind END AS kind, CASE WHEN kind = 'numbered' THEN regexp_extract(trim(text), '^(\\d{1,3})', 1)::INT END AS list_number, n_regions, left_edge, median_height FROM v"
 )
 def classified_lines(spark: SparkSession, d: str) -> DataFrame:
     """F17, F18, W06, W07, J10, A03-A06."""
     lines = _item_lines(spark, d)
-    median = txt.upper_median(F.collect_list("median_height").over(Window.partitionBy("page")))
-    kinds = layout.validate_tables(layout.classify(lines, F.lit(1000.0), median), ["page"])
+    kinds = layout.validate_tables(layout.classify(lines, F.lit(1000.0), layout.page_median(["page"])), ["page"])
     return kinds.select("page", "line_no", "kind", "list_number", "n_regions", "left_edge", "median_height")
 
 
 @query(
-    f"WITH {_ITEMS}, k AS (SELECT *, CASE WHEN median_height > 30 * 1.35::DOUBLE THEN 'heading' ELSE 'body' END AS kind FROM l), b AS (SELECT *, lag(kind) OVER o AS pk, lag(left_edge) OVER o AS pl, lag(median_height) OVER o AS ph, lag(bottom) OVER o AS pb FROM k WINDOW o AS (PARTITION BY page ORDER BY line_no)),"
+    f"WITH {_ITEMS}, k AS (SELECT *, CASE WHEN median_height > 30 * 1.35::DOUBLE AND length(text) < 120 THEN 'heading' WHEN regexp_matches(trim(text), '^[•–-]') THEN 'bullet' WHEN regexp_matches(trim(text), '^\\d{{1,3}}[.)]\\s+') THEN 'numbered' ELSE 'body' END AS kind FROM l), b AS (SELECT *, lag(kind) OVER o AS pk, lag(left_edge) OVER o AS pl, lag(median_height) OVER o AS ph, lag(bottom) OVER o AS pb FROM k WINDOW o AS (PARTITION BY page ORDER BY line_no)),"
     " j AS (SELECT *, coalesce(kind = 'body' AND pk = 'body' AND abs(left_edge - pl) <= 10 AND median_height / ph BETWEEN 0.8::DOUBLE AND 1.2::DOUBLE AND top - pb <= greatest(20, 1.5::DOUBLE * ph), false) AS joins FROM b), n AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY line_no)::BIGINT AS block_no FROM j)"
     " SELECT page, block_no, min(kind) AS kind, string_agg(text, ' ' ORDER BY line_no) AS text, list_sort(list(median_height))[count(*) // 2 + 1] AS median_height, arg_min(left_edge, line_no) AS left_edge, count(*) AS n_lines FROM n GROUP BY ALL"
 )
 def paragraph_blocks(spark: SparkSession, d: str) -> DataFrame:
     """W10, F19."""
     lines = layout.classify(_item_lines(spark, d), F.lit(100_000.0), F.lit(30.0))
-    return layout.merge_body(lines, ["page"])
+    return layout.merge_body(lines, ["page"]).drop("cells", "list_number")
 
 
 @query(
@@ -450,29 +467,36 @@ def recognised_pages(spark: SparkSession, d: str) -> DataFrame:
     return recogniser.recognise(todo, "absent", ("mock",))
 
 
-@query(f"WITH {_R} SELECT result_id, count(*) AS n, sum(x0 + y0)::DOUBLE AS corners FROM (SELECT result_id, i, regions[i] AS g, regions[i].x AS x0, regions[i].y AS y0 FROM (SELECT *, unnest(range(1, len(regions) + 1)) AS i FROM r)) WHERE {_trim('coalesce(g.text, chr(32))')} <> '' AND isfinite(g.x) AND isfinite(g.y) AND isfinite(g.w) AND isfinite(g.h) AND g.x + g.w > g.x AND g.y + g.h > g.y GROUP BY result_id")
+@query(
+    f"WITH {_R}, f AS (SELECT result_id, list_filter(regions, lambda g: isfinite(g.x) AND isfinite(g.y) AND isfinite(g.w) AND isfinite(g.h)) AS gs FROM r), g AS (SELECT result_id, i - 1 AS line_no, gs[i] AS g FROM (SELECT *, unnest(range(1, len(gs) + 1)) AS i FROM f))"
+    f" SELECT result_id, line_no::INT AS line_no, {_trim('g.text')} AS text, g.x AS x0, g.y AS y0, g.x + g.w AS x1, g.y + g.h AS y1, g.confidence * 100 / 100 AS confidence FROM g WHERE {_trim('coalesce(g.text, chr(32))')} <> '' AND g.x + g.w > g.x AND g.y + g.h > g.y"
+)
 def detector_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of nested detector output, made of the regions."""
     fit = F.filter("regions", lambda g: geo.finite(g["x"]) & geo.finite(g["y"]) & geo.finite(g["w"]) & geo.finite(g["h"]))
     word = lambda g: F.array().cast("array<struct<text:string,x:double,y:double>>")
     line = F.transform(fit, lambda g: F.struct(g["text"].alias("text"), word(g).alias("words"), g["x"].alias("x0"), g["y"].alias("y0"), (g["x"] + g["w"]).alias("x1"), (g["y"] + g["h"]).alias("y1"), (g["confidence"] * 100).alias("confidence")))
     nested = _results(spark, d, "regions").where("regions is not null").select("result_id", F.array(F.struct(F.array(F.struct(line.alias("lines"))).alias("paragraphs"))).alias("blocks"))
-    return recogniser.flatten_lines(nested, "blocks").groupBy("result_id").agg(F.count("*").alias("n"), F.sum(F.col("x0") + F.col("y0")).alias("corners"))
+    return recogniser.flatten_lines(nested, "blocks").select("result_id", "line_no", "text", "x0", "y0", "x1", "y1", "confidence")
 
 
-@query(f"WITH {_R} SELECT result_id, count(*) AS n, sum(i - 1)::BIGINT AS places FROM (SELECT result_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM r WHERE text IS NOT NULL) GROUP BY result_id")
+@query(f"WITH {_R}, l AS (SELECT result_id, string_split(text, chr(10)) AS ls FROM r WHERE text IS NOT NULL) SELECT result_id, (i - 1)::INT AS line_no, ls[i] AS text, 48::DOUBLE AS x, (48 + 36 * (i - 1))::DOUBLE AS y, 500::DOUBLE AS w, 24::DOUBLE AS h FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM l)")
 def stacked_lines(spark: SparkSession, d: str) -> DataFrame:
     """F36."""
-    lines = _results(spark, d, "text").where("text is not null").select("result_id", F.explode(recogniser.stacked_lines(F.split("text", "\n"))).alias("g"))
-    return lines.groupBy("result_id").agg(F.count("*").alias("n"), F.sum((F.col("g.y") - 48) / 36).cast("bigint").alias("places"))
+    lines = _results(spark, d, "text").where("text is not null").select("result_id", F.posexplode(recogniser.stacked_lines(F.split("text", "\n"))).alias("line_no", "g"))
+    return lines.select("result_id", "line_no", "g.*")
 
 
-@query("SELECT name, len(list_filter(string_split(ground_truth, ' '), lambda w: w <> '')) > 0 AS filled FROM bench_fixtures")
+@query(
+    "WITH RECURSIVE p AS (SELECT name, i AS paragraph_no, list_filter(regexp_split_to_array(ps[i], '\\s+'), lambda w: w <> '') AS ws FROM (SELECT name, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT name, string_split(ground_truth, chr(10)) AS ps FROM bench_fixtures))),"
+    " t AS (SELECT name, paragraph_no, ws, 1 AS pos, '' AS open, NULL::VARCHAR AS done FROM p UNION ALL"
+    " SELECT name, paragraph_no, ws, pos + 1, CASE WHEN pos > len(ws) THEN '' WHEN open = '' THEN ws[pos] WHEN length(open) + 1 + length(ws[pos]) <= 60 THEN open || ' ' || ws[pos] ELSE ws[pos] END,"
+    " CASE WHEN pos > len(ws) THEN open WHEN open <> '' AND length(open) + 1 + length(ws[pos]) > 60 THEN open END FROM t WHERE pos <= len(ws) + 1)"
+    " SELECT name, (row_number() OVER (PARTITION BY name ORDER BY paragraph_no, pos) - 1)::INT AS line_no, done AS line FROM t WHERE done IS NOT NULL"
+)
 def wrapped_texts(spark: SparkSession, d: str) -> DataFrame:
-    """every fixture's text filled into lines, none longer than it may be and nothing lost."""
-    f = _t(spark, d, "bench_fixtures").withColumn("lines", recogniser.wrapped(F.col("ground_truth"), 60))
-    whole = F.array_join("lines", " ") == F.regexp_replace("ground_truth", r"\s+", " ")
-    return f.select("name", (whole & F.forall("lines", lambda x: F.length(x) <= 60)).alias("filled"))
+    """every fixture's text filled into lines of 60 characters, paragraph by paragraph."""
+    return _t(spark, d, "bench_fixtures").select("name", F.posexplode(recogniser.wrapped(F.col("ground_truth"), 60)).alias("line_no", "line"))
 
 
 # --- the job store
@@ -542,11 +566,11 @@ def job_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return store.artifacts_by_job(_t(spark, d, "stored_artifacts"))
 
 
-@query(f"WITH {_J}, p AS (SELECT DISTINCT job_id, page_number FROM stored_pages) SELECT j.id, array_to_string(list(page_number ORDER BY page_number), ',') AS page_numbers FROM j JOIN p ON job_id = j.id GROUP BY j.id")
+@query(f"WITH {_J}, p AS (SELECT DISTINCT job_id, page_number FROM stored_pages) SELECT j.id, page_number, row_number() OVER (PARTITION BY j.id ORDER BY page_number)::BIGINT AS place, count(*) OVER (PARTITION BY j.id)::BIGINT AS total FROM j JOIN p ON job_id = j.id")
 def loaded_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """J03, O03, S08."""
+    """Each job's pages in their order, a row a page, as one job may have any number of them."""
     p = _t(spark, d, "stored_pages").select(F.col("job_id").alias("id"), "page_number").distinct()
-    return _jobs(spark, d).select("id").join(p, "id").groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("page_number")).cast("array<string>"), ",").alias("page_numbers"))
+    return pages.ranked(_jobs(spark, d).select("id").join(p, "id"), "id", "page_number").withColumnRenamed("rank", "place")
 
 
 @query("WITH p AS (SELECT job_id, page_number, min(source_kind) AS source_kind FROM stored_pages GROUP BY ALL) SELECT job_id, bool_and(source_kind = 'pdf-text') AND count(*) > 0 AS reuse_original, count(*) AS pages FROM p GROUP BY job_id")
@@ -577,7 +601,7 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 
 def _rated(spark: SparkSession, d: str) -> DataFrame:
     truth = _t(spark, d, "bench_fixtures").select(F.col("name").alias("fixture"), "ground_truth")
-    return benchmark.successful(_runs(spark, d)).join(truth, "fixture").withColumn("cer", benchmark.character_rate(F.col("ground_truth"), F.col("extracted_text")))
+    return benchmark.rated(benchmark.successful(_runs(spark, d)).join(F.broadcast(truth), "fixture"), "ground_truth", "extracted_text").withColumnRenamed("char_error_rate", "cer").withColumnRenamed("word_error_rate", "wer")
 
 
 @query(f"WITH {_B}, {_OK} SELECT bench_id, levenshtein(e, a)::DOUBLE / length(e) AS cer FROM o")
@@ -586,10 +610,17 @@ def character_rates(spark: SparkSession, d: str) -> DataFrame:
     return _rated(spark, d).select("bench_id", "cer")
 
 
-@query()
+@query(
+    f"WITH {_B}, {_OK}, d AS (SELECT DISTINCT e, a FROM o), t AS (SELECT *, list_filter(string_split(e, ' '), lambda w: w <> '') AS we, list_filter(string_split(a, ' '), lambda w: w <> '') AS wa FROM d),"
+    " k AS (SELECT *, list_distinct(list_concat(we, wa)) AS ws FROM t), c AS (SELECT *, array_to_string(list_transform(we, lambda w: chr((list_position(ws, w) + 1)::INT)), '') AS ce, array_to_string(list_transform(wa, lambda w: chr((list_position(ws, w) + 1)::INT)), '') AS ca FROM k),"
+    " m AS (SELECT e, a, levenshtein(e, a)::DOUBLE / length(e) AS cer, levenshtein(ce, ca)::DOUBLE / len(we) AS wer FROM c)"
+    " SELECT bench_id, cer AS char_error_rate, wer AS word_error_rate, greatest(0::DOUBLE, least(1::DOUBLE, 1 - cer)) AS char_accuracy, greatest(0::DOUBLE, least(1::DOUBLE, 1 - wer)) AS word_accuracy FROM o JOIN m USING (e, a)"
+)
 def word_rates(spark: SparkSession, d: str) -> DataFrame:
     """F04, F05."""
-    return benchmark.metrics(_rated(spark, d), "ground_truth", "extracted_text").select("bench_id", "char_error_rate", "word_error_rate", "char_accuracy", "word_accuracy")
+    truth = _t(spark, d, "bench_fixtures").select(F.col("name").alias("fixture"), "ground_truth")
+    runs = benchmark.successful(_runs(spark, d)).join(F.broadcast(truth), "fixture")
+    return benchmark.metrics(runs, "ground_truth", "extracted_text").select("bench_id", "char_error_rate", "word_error_rate", "char_accuracy", "word_accuracy")
 
 
 @query(f"WITH {_B}, {_OK}, c AS (SELECT *, levenshtein(e, a)::DOUBLE / length(e) AS cer FROM o), m AS (SELECT *, row_number() OVER (PARTITION BY fixture ORDER BY cer, bench_id) AS n FROM c) SELECT f.name AS fixture, m.bench_id, m.cer FROM bench_fixtures f LEFT JOIN (SELECT * FROM m WHERE n = 1) m ON m.fixture = f.name")
@@ -616,14 +647,13 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
     """Every combination with its place ``i`` in the grid's order."""
     runs = _runs(spark, d)
     engines = runs.where(F.col("engine").contains("trocr") | (F.col("engine") == "donut")).select("engine").distinct()
-    g = benchmark.grid(engines, _t(spark, d, "bench_fixtures").select(F.col("name").alias("fixture")), runs.select("preprocess").distinct())
-    return g.withColumn("i", (F.row_number().over(Window.orderBy("engine", "fixture", "preprocess")) - 1).cast("bigint"))
+    return benchmark.grid(engines, _t(spark, d, "bench_fixtures").select(F.col("name").alias("fixture")), runs.select("preprocess").distinct())
 
 
 @query(f"WITH {_B}, e AS (SELECT DISTINCT engine FROM b WHERE engine LIKE '%trocr%' OR engine = 'donut'), p AS (SELECT DISTINCT preprocess FROM b), g AS (SELECT engine, name AS fixture, preprocess FROM e, bench_fixtures, p) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY engine, fixture, preprocess) - 1 AS i FROM g) WHERE i % 3 = 1")
 def benchmark_grid(spark: SparkSession, d: str) -> DataFrame:
     """J09, P17, P18."""
-    return _grid(spark, d).where("i % 3 = 1")
+    return benchmark.shard(_grid(spark, d), "i", 3, 1)
 
 
 @query(f"WITH {_B}, e AS (SELECT DISTINCT engine FROM b WHERE engine LIKE '%trocr%' OR engine = 'donut'), p AS (SELECT DISTINCT preprocess FROM b), g AS (SELECT engine, name AS fixture, preprocess FROM e, bench_fixtures, p) SELECT *, i % 3 AS shard FROM (SELECT *, row_number() OVER (ORDER BY engine, fixture, preprocess) - 1 AS i FROM g)")

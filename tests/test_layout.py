@@ -62,6 +62,55 @@ def test_columns(spark):
     assert [r["region"]["text"] for r in few] == ["r1", "l2", "l1"]
 
 
+def test_columns_outside_of_the_page(spark):
+    """A centre left or right of the page is in no column and goes to the last; blank regions don't count."""
+    boxes = [("r1", (600, 10, 100, 20)), ("l2", (20, 50, 100, 20)), ("l1", (20, 10, 100, 20)), ("left", (-200, 5, 50, 20)), ("right", (1200, 70, 50, 20)), (" ", (300, 0, 9, 9))]
+    got = layout.order_by_columns(page(spark, boxes).withColumn("width", F.lit(1000.0)), "regions", "width").orderBy("place").collect()
+    last = max(r["column_no"] for r in got)
+    assert {r["region"]["text"] for r in got if r["column_no"] == last} >= {"left", "right"} and [r["region"]["text"] for r in got].index("left") > [r["region"]["text"] for r in got].index("l2")
+    few = [("b", (600, 10, 100, 20)), ("a", (20, 10, 100, 20)), ("c", (20, 90, 100, 20)), (" ", (0, 0, 9, 9)), ("", (5, 5, 9, 9))]
+    got = layout.order_by_columns(page(spark, few).withColumn("width", F.lit(1000.0)), "regions", "width").orderBy("place").collect()
+    assert [r["region"]["text"] for r in got] == ["b", "a", "c"] and {r["column_no"] for r in got} == {0}
+
+
+def test_median_is_of_all_regions(spark):
+    """One line of three high regions, two lines of one: the median of all heights is the high one, that of the lines' medians isn't."""
+    boxes = [("a", (50, 10, 50, 60)), ("b", (150, 10, 50, 60)), ("c", (250, 10, 50, 60)), ("d", (50, 200, 50, 20)), ("e", (50, 300, 50, 20))]
+    ls = layout.page_lines(layout.group_lines(page(spark, boxes), "page"), ["page"])
+    assert [r["m"] for r in ls.select(layout.page_median(["page"]).alias("m")).collect()] == [60.0] * 3
+    got = layout.classify(ls, F.lit(1000.0), layout.page_median(["page"])).orderBy("line_no").collect()
+    assert [r["kind"] for r in got] == ["body"] * 3
+
+
+def test_long_line_is_no_heading(spark):
+    assert kinds(spark, [("x" * 119, (50, 10, 300, 50)), ("y" * 120, (50, 100, 300, 50)), ("text", (50, 200, 300, 20))]) == [("heading", None), ("body", None), ("body", None)]
+
+
+def test_pdf_lines_keep_their_order(spark):
+    def given(boxes):
+        out = {}
+        for r in layout.group_lines(page(spark, boxes), "page", given_order=True).orderBy("line_no", "region_idx").collect():
+            out.setdefault(r["line_no"], []).append(r["text"])
+        return list(out.values())
+
+    # two columns at the same height stay two lines, as the next region of the first column comes between
+    assert given([("l1", (20, 10, 100, 20)), ("l2", (20, 50, 100, 20)), ("r1", (600, 10, 100, 20)), ("r2", (600, 50, 100, 20))]) == [["l1"], ["l2"], ["r1"], ["r2"]]
+    assert given([("b", (200, 52, 50, 20)), ("a", (50, 50, 50, 20)), (" ", (0, 0, 5, 5))]) == [["a", "b"]]
+    # the leftmost region's top counts, not the first one's: 52 - 46 is under the limit of 8, 58 - 46 is not
+    assert given([("b", (200, 52, 50, 20)), ("a", (50, 46, 50, 20)), ("c", (300, 58, 50, 20))]) == [["a", "b"], ["c"]]
+
+
+def test_words_on_boxes(spark):
+    from pageframe.operators import pages
+
+    box = "struct<text:string,x:double,y:double,w:double,h:double,confidence:double>"
+    words = [(None, 10.0 * k, 5.0, 8.0, 9.0, 0.9 - k / 10) for k in range(2)]
+    rows = [(1, ("two words", 0.0, 0.0, 50.0, 9.0, 0.5), words), (2, ("three words here", 0.0, 0.0, 50.0, 9.0, 0.5), words)]
+    df = spark.createDataFrame(rows, f"k int, line {box}, words array<{box}>")
+    got = {r["k"]: [tuple(x) for x in r["r"]] for r in df.select("k", pages.word_regions(F.col("words"), F.col("line")).alias("r")).collect()}
+    assert got == {1: [("two", 0.0, 5.0, 8.0, 9.0, 0.9), ("words", 10.0, 5.0, 8.0, 9.0, 0.8)], 2: [("three words here", 0.0, 0.0, 50.0, 9.0, 0.5)]}
+
+
 def test_impossible_boxes(spark):
     inf, nan = float("inf"), float("nan")
     boxes = [("ok", (10, 10, 50, 20)), ("over", (90, 90, 50, 50)), ("nan", (0, 0, 5, nan)), ("none", (0, 0, 0, 5)), ("inf", (0, inf, 5, 5)), (" ", (1, 1, 1, 1)), ("out", (500, 0, 5, 5))]

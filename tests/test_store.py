@@ -48,3 +48,23 @@ def test_filters_reach_the_scan(spark, tmp_path):
     df = pages.to_recognise(spark.read.parquet(f"{tmp_path}/p").select("job_id", "page_number", "source_kind"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "source_kind" in plan and "bytes" not in plan and df.count() == 1
+
+
+def test_ranks_of_a_large_job(spark, monkeypatch):
+    monkeypatch.setattr("pageframe.operators.pages.SPAN", 7)
+    rows = [("a", n) for n in range(3, 90) if n % 4] + [("b", 1), ("b", 50), (None, 2)]
+    df = spark.createDataFrame(rows, "job_id string, page_number int")
+    got = {(r["job_id"], r["page_number"]): (r["completed"], r["total"]) for r in pages.progress(df, "job_id", "page_number").collect()}
+    a = sorted(n for j, n in rows if j == "a")
+    assert got == {("a", n): (k + 1, len(a)) for k, n in enumerate(a)} | {("b", 1): (1, 2), ("b", 50): (2, 2), (None, 2): (1, 1)}
+    texts = {r["page_number"]: r["text"] for r in pages.cycled(df.where("job_id = 'a'"), "page_number", ["x", "y", "z"]).collect()}
+    assert texts == {n: "xyz"[k % 3] for k, n in enumerate(a)}
+    assert pages.progress(df.limit(0), "job_id", "page_number").count() == 0
+
+
+def test_selection_and_saved_form(spark):
+    df = spark.createDataFrame([(k,) for k in range(4)], "page_index int")
+    assert sorted(r[0] for r in pages.selected(df, [-1, 2, 0, 9]).collect()) == [0, 2]
+    ddl = "id int, text string, regions array<struct<text:string,x:double,y:double,w:double,h:double,confidence:double>>, quality_flags array<string>"
+    got = pages.normalised(spark.createDataFrame([(1, "t", [("r", 1.0, 2.0, 3.0, 4.0, 0.5)], ["f"]), (2, None, None, None)], ddl)).orderBy("id").collect()
+    assert got[0]["regions"][0].asDict() == {"text": "r", "x": 1.0, "y": 2.0, "w": 3.0, "h": 4.0} and (got[1]["text"], got[1]["regions"], got[1]["quality_flags"]) == ("", [], [])

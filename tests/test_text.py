@@ -64,7 +64,7 @@ def test_rates(spark, expected, actual, cer, wer):
     assert r["char_error_rate"] == pytest.approx(cer) and r["word_error_rate"] == pytest.approx(wer) and r["char_accuracy"] == pytest.approx(1 - cer)
 
 
-def test_token_distance_equals_the_whole_table():
+def test_word_rate_equals_the_whole_table(spark):
     import random
 
     rnd = random.Random(2)
@@ -76,9 +76,14 @@ def test_token_distance_equals_the_whole_table():
                 t[i][j] = min(t[i - 1][j] + 1, t[i][j - 1] + 1, t[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
         return t[-1][-1]
 
-    for _ in range(300):
-        a, b = ([rnd.choice("abc") for _ in range(rnd.randint(0, 8))] for _ in range(2))
-        assert benchmark.token_distance(a, b) == naive(a, b)
+    pairs = [tuple([rnd.choice(["aa", "b", "ccc"]) for _ in range(rnd.randint(1, 8))] for _ in range(2)) for _ in range(150)]
+    # many different words, and more edits than the band has
+    pairs += [([f"w{k}" for k in range(60)], [f"v{k}" for k in range(50)]), ([f"w{k}" for k in range(60)], [f"w{k}" for k in range(60) if k % 2])]
+    df = spark.createDataFrame([(k, " ".join(e), " ".join(a)) for k, (e, a) in enumerate(pairs * 2)], "k int, e string, a string")
+    for r in benchmark.rated(df, "e", "a").collect():
+        e, a = pairs[r["k"] % len(pairs)]
+        assert r["word_error_rate"] == pytest.approx(naive(e, a) / len(e))
+    assert benchmark.rated(df, "e", "a").count() == len(pairs) * 2
 
 
 def test_many_edits_leave_the_band(spark):
