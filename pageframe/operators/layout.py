@@ -21,7 +21,7 @@ from pageframe.functions.text import BULLET, NUMBERED, js_trim, upper_median, ut
 LINES = "line_no int, region_idx int, text string, x double, y double, w double, h double"
 
 
-def _in_given_order(regions: list[dict]) -> list[list[dict]]:
+def lines_in_given_order(regions: list[dict]) -> list[list[dict]]:
     """Lines of the PDF export, which keep the order that the regions come in, column by column.
 
     A region joins the line before it if its top lies within 0.4 of the upper
@@ -71,7 +71,7 @@ def group_lines(df: DataFrame, key: str, regions: str = "regions", given_order:
     stay in the order of the array, as in the PDF export. Pages of null or empty
     regions, and regions without text or box, give no row.
     """
-    group = _in_given_order if given_order else _group
+    group = lines_in_given_order if given_order else _group
     fields = to_arrow_schema(StructType.fromDDL(f"{key} {df.schema[key].dataType.simpleString()}, {LINES}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STREAM = re.compile(rb"(\d+) 0 obj\s*<<((?:(?!endobj).)*?)>>\s*stream\r?\n", re.S)
-_PAGE = re.compile(rb"/Type\s*/Page\b(.*?)endobj", re.S)
-_SHOWN = re.compile(rb"/\w+ ([\d.]+) Tf|([-\d.]+) [-\d.]+ [-\d.]+ [-\d.]+ ([-\d.]+) ([-\d.]+) Tm|([-\d.]+) ([-\d.]+) Td|\(((?:\\.|[^\\()])*)\)\s*Tj")
+from pageframe.functions import geometry as geo
+from pageframe.functions.text import collapse, js_trim, utf16_length
+from pageframe.sources.pdf_reader import Item, read_pages
+
+#: Characters and regions from which a page's own text suffices, and how much larger pages are drawn.
+LEAST_CHARACTERS, LEAST_REGIONS, SCALE = 24, 2, 3.0
+SHOWN = "array<struct<text:string,x:double,y:double,size:double,width:double>>"
 
 
 def route(path: Column, mime: Column) -> Column:
@@ -31,56 +33,44 @@ def reports(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.schema(ddl).option("multiLine", True).option("pathGlobFilter", "benchmark-*.json").json(path).where(~F.col("_metadata.file_name").endswith("benchmark-results.json"))
 
 
-def pdf_items(data: bytes) -> list[tuple[int, float, float, list[tuple[str, float, float, float]]]]:
-    """Pages of a simple PDF file: number, width, height and (text, x, y, font size) of each shown string.
+def pdf_items(data: bytes) -> list[tuple[int, float, float, list[Item]]]:
+    """Pages of a PDF file: number, width, height and each shown string; none of a file that can't be read."""
+    try:
+        return read_pages(data)
+    except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError):
+        return []
 
-    Streams are plain or deflated and fonts Latin; what isn't so gives no text.
-    """
-    streams = {}
-    for m in _STREAM.finditer(data):
-        n = re.search(rb"/Length (\d+)", m.group(2))
-        raw = data[m.end() : m.end() + int(n.group(1))] if n else b""
-        try:
-            streams[int(m.group(1))] = zlib.decompress(raw) if b"FlateDecode" in m.group(2) else raw
-        except zlib.error:
-            streams[int(m.group(1))] = b""
-    out = []
-    for k, m in enumerate(_PAGE.finditer(data), 1):
-        box = re.search(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)", m.group(1))
-        w, h = (float(box.group(3)) - float(box.group(1)), float(box.group(4)) - float(box.group(2))) if box else (612.0, 792.0)
-        content = re.search(rb"/Contents\s+(\d+) 0 R", m.group(1))
-        items, size, x, y = [], 12.0, 0.0, 0.0
-        for s in _SHOWN.finditer(streams.get(int(content.group(1)), b"") if content else b""):
-            if s.group(1):
-                size = float(s.group(1))
-            elif s.group(3):
-                x, y = float(s.group(3)), float(s.group(4))
-            elif s.group(5):
-                x, y = x + float(s.group(5)), y + float(s.group(6))
-            elif s.group(7) is not None:
-                items.append((re.sub(rb"\\(.)", rb"\1", s.group(7)).decode("cp1252", "replace"), x, y, size))
-        out.append((k, w, h, items))
-    return out
-
-
-def pdf_pages(spark: SparkSession, path: str, least_characters: int = 24, least_items: int = 2) -> DataFrame:
+
+def native_regions(items: Column, height: Column, width: Column) -> Column:
+    """The items of a page as the regions of its drawing."""
+    text = lambda i: js_trim(i["text"])
+    box = lambda i: geo.native_item(i["x"], i["y"], i["width"], i["size"], F.lit(None).cast("double"), utf16_length(text(i)), height, SCALE)
+    regions = F.transform(items, lambda i: F.struct(text(i).alias("text"), *(box(i)[k].alias(k) for k in "xywh"), F.lit(None).cast("double").alias("confidence")))
+    return geo.clean_regions(regions, width * SCALE, height * SCALE, before=False)
+
+
+def pdf_pages(spark: SparkSession, path: str, least_characters: int = LEAST_CHARACTERS, least_regions: int = LEAST_REGIONS) -> DataFrame:
     """One row a page of each PDF file, ``pdf-text`` where its own text suffices, else ``scanned``.
 
-    Gives path, page_number, width, height, source_kind and items. Files that
-    can't be read give no row.
+    Gives path, page_number, width, height (of the page), source_kind, items,
+    and, of a page with text of its own, ``regions`` and ``text`` of its drawing,
+    which is ``SCALE`` times as large; the text is judged by the cleaned regions.
+    Files that can't be read give no row. Drawing a page is left to a recogniser
+    engine, as no library here draws.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    item = pa.list_(pa.struct([("text", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("size", pa.float64())]))
-    schema = pa.schema([("path", pa.string()), ("page_number", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("source_kind", pa.string()), ("items", item)])
+    item = pa.list_(pa.struct([("text", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("size", pa.float64()), ("width", pa.float64())]))
+    schema = pa.schema([("path", pa.string()), ("page_number", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("items", item)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for n, w, h, items in pdf_items(data or b""):
-                    kept = [dict(zip(("text", "x", "y", "size"), i)) for i in items if i[0].strip()]
-                    native = len(kept) >= least_items and len(" ".join(" ".join(i["text"].split()) for i in kept)) >= least_characters
-                    rows.append((name, n, w, h, "pdf-text" if native else "scanned", kept))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 6, schema)], schema=schema)
-
-    return files.mapInArrow(run, "path string, page_number int, width double, height double, source_kind string, items array<struct<text:string,x:double,y:double,size:double>>")
+            rows = [(name, n, w, h, [i._asdict() for i in items]) for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n, w, h, items in pdf_items(data or b"")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, schema)], schema=schema)
+
+    pages = files.mapInArrow(run, f"path string, page_number int, width double, height double, items {SHOWN}")
+    cleaned = pages.withColumn("regions", native_regions(F.col("items"), F.col("height"), F.col("width")))
+    read = cleaned.withColumn("text", js_trim(collapse(F.array_join(F.transform("regions", lambda r: r["text"]), " "))))
+    native = (utf16_length(F.col("text")) >= least_characters) & (F.size("regions") >= least_regions)
+    kept = read.withColumn("source_kind", F.when(native, "pdf-text").otherwise("scanned"))
+    only = lambda c: F.when(F.col("source_kind") == "pdf-text", F.col(c)).alias(c)
+    return kept.select("path", "page_number", "width", "height", "source_kind", "items", only("regions"), only("text"))
