@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def rounded(a: np.ndarray) -> np.ndarray:
@@ -193,6 +194,108 @@ def png(g: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw.tobytes())) + chunk(b"IEND", b"")
 
 
+def unfiltered(raw: bytes, width: int, size: int) -> bytes:
+    """Rows of so many bytes without the PNG filters that stand before each; ``size`` are the bytes of a pixel."""
+    out, old = bytearray(), bytes(width)
+    for at in range(0, len(raw), width + 1):
+        kind, row = raw[at], np.frombuffer(raw[at + 1 : at + 1 + width].ljust(width, b"\0"), np.uint8).copy()
+        if kind == 2:
+            row += np.frombuffer(old, np.uint8)
+        elif kind in (1, 3, 4):
+            up = old
+            line = bytearray(row.tobytes())
+            for k in range(width):
+                a, b, c = (line[k - size] if k >= size else 0), up[k], (up[k - size] if k >= size else 0)
+                if kind == 1:
+                    guess = a
+                elif kind == 3:
+                    guess = (a + b) // 2
+                else:
+                    p = a + b - c
+                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                line[k] = (line[k] + guess) & 255
+            row = np.frombuffer(bytes(line), np.uint8)
+        old = row.tobytes()
+        out += old
+    return bytes(out)
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """The gray values of a PNG file of 8 bits that is not interlaced; an error for others.
+
+    Colours are made gray, transparency is left out of account.
+    """
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG file")
+    at, rows, palette, head = 8, b"", b"", None
+    while at + 8 <= len(data):
+        size, kind = int.from_bytes(data[at : at + 4]), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + size]
+        head = struct.unpack(">IIBBBBB", body) if kind == b"IHDR" and len(body) == 13 else head
+        palette = body if kind == b"PLTE" else palette
+        rows += body if kind == b"IDAT" else b""
+        at += size + 12
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(head[3]) if head else None
+    if not channels or head[2] != 8 or head[6] or not head[0] or not head[1]:
+        raise ValueError("a kind of PNG that isn't read")
+    w, h = head[:2]
+    raw = unfiltered(zlib.decompress(rows), w * channels, channels)
+    a = np.frombuffer(raw, np.uint8)[: h * w * channels].reshape(h, w, channels)
+    if head[3] == 3:
+        return to_gray(np.frombuffer(palette, np.uint8).reshape(-1, 3)[a[..., 0]])
+    return a[..., 0].copy() if channels < 3 else to_gray(a[..., :3])
+
+
+def resized(g: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The image in another size, between its pixels' centres by straight lines."""
+    h, w = g.shape
+
+    def place(n: int, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(n) + 0.5) * old / n - 0.5, 0, old - 1)
+        lo = np.floor(at).astype(int)
+        return lo, np.minimum(lo + 1, old - 1), at - lo
+
+    (top, bottom, down), (left, right, across) = place(height, h), place(width, w)
+    f = g.astype(float)
+    upper = f[top][:, left] * (1 - across) + f[top][:, right] * across
+    lower = f[bottom][:, left] * (1 - across) + f[bottom][:, right] * across
+    return rounded(upper * (1 - down[:, None]) + lower * down[:, None]).astype(np.uint8)
+
+
+def prepared(data: bytes | None, preparation: Preparation, least_width: int = 0, least_height: int = 0) -> bytes | None:
+    """I11-I13 of one page: its prepared PNG, of a small page enlarged by two at most; what can't be prepared stays as it is."""
+    try:
+        g = decode_png(data or b"")
+    except (ValueError, zlib.error, struct.error, IndexError):
+        return data
+    h, w = g.shape
+    if w < least_width or h < least_height:
+        scale = min(2.0, max(least_width / w, least_height / h, 1.0))
+        g = resized(g, int(rounded(np.float64(w * scale))), int(rounded(np.float64(h * scale))))
+    return png(preparation.apply(g))
+
+
+def filtered(df: DataFrame, key: str, values: str, width: int, step: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """A filter over images that are arrays of values from -1 to 1: a row a pixel, ``img``, ``y``, ``x``, ``g``.
+
+    An image stays one row until the filter is done, so no pixel is shuffled.
+    Null and empty arrays, and those that are no full rows, give no pixels.
+    """
+    schema = pa.schema([("img", pa.int64()), ("pixels", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if v and not len(v) % width:
+                    g = np.clip(rounded((np.array(v, float) + 1) * 127.5), 0, 255).astype(np.uint8).reshape(-1, width)
+                    out.append((k, step(g).ravel().tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 2, schema)], schema=schema)
+
+    flat = df.select(key, values).mapInArrow(run, "img bigint, pixels array<int>").select("img", F.posexplode("pixels").alias("_at", "g"))
+    return flat.select("img", F.floor(F.col("_at") / width).cast("int").alias("y"), (F.col("_at") % width).cast("int").alias("x"), "g")
+
+
 def prepare_images(images: DataFrame, preparation: Preparation) -> DataFrame:
     """Rows of Spark's ``image`` source as prepared gray PNGs.
 

@@ -682,6 +682,10 @@ _NEAR = "(SELECT a.img, a.y, a.x, a.g, b.g AS v FROM px a JOIN px b ON a.img = b
 _BOX = f"bx AS (SELECT img, y, x, g, sum(v)::DOUBLE / count(*) AS mean, sum(v * v)::DOUBLE / count(*) AS sq FROM {_NEAR.format(2)} GROUP BY ALL)"
 
 
+def _filtered(spark: SparkSession, d: str, step: Callable) -> DataFrame:
+    return pixels_numpy.filtered(_t(spark, d, "embeddings"), "vec_id", "embedding", 8, step)
+
+
 def _px(spark: SparkSession, d: str) -> DataFrame:
     return pixels.from_values(_t(spark, d, "embeddings"), "vec_id", "embedding", 8)
 
@@ -701,31 +705,31 @@ def image_histograms(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_PX}, n9 AS (SELECT a.img, a.y, a.x, b.g AS v FROM px a, (SELECT unnest([-1, 0, 1]) AS dy) dy, (SELECT unnest([-1, 0, 1]) AS dx) dx, px b WHERE b.img = a.img AND b.y = greatest(0, least(7, a.y + dy)) AND b.x = greatest(0, least(7, a.x + dx))) SELECT img, y::INT AS y, x::INT AS x, list_sort(list(v))[5] AS g FROM n9 GROUP BY ALL")
 def median_filtered(spark: SparkSession, d: str) -> DataFrame:
     """W03, I04."""
-    return pixels.median3(_px(spark, d), 8, 8)
+    return _filtered(spark, d, pixels_numpy.median3)
 
 
 @query(f"WITH {_PX}, e AS (SELECT img, y, x, min(v) AS g FROM {_NEAR.format(1)} GROUP BY ALL), o AS (SELECT a.img, a.y, a.x, max(b.g) AS g FROM e a JOIN e b ON a.img = b.img AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL) SELECT img, y::INT AS y, x::INT AS x, g FROM o")
 def opened_images(spark: SparkSession, d: str) -> DataFrame:
     """W04, W05, I10."""
-    return pixels.opened(_px(spark, d), 8, 8)
+    return _filtered(spark, d, lambda g: pixels_numpy.dilate(pixels_numpy.erode(g)))
 
 
 @query(f"WITH {_PX}, {_BOX} SELECT img, y::INT AS y, x::INT AS x, CASE WHEN g > mean - 5 THEN 255 ELSE 0 END AS g FROM bx")
 def adaptive_binarised(spark: SparkSession, d: str) -> DataFrame:
     """W02, I07."""
-    return pixels.adaptive_threshold(_px(spark, d), 5, 5.0, 8, 8)
+    return _filtered(spark, d, lambda g: pixels_numpy.adaptive(g, 5, 5.0))
 
 
 @query(f"WITH {_PX}, {_BOX} SELECT img, y::INT AS y, x::INT AS x, CASE WHEN g > mean * (1 + 0.2::DOUBLE * (sqrt(greatest(0::DOUBLE, sq - mean * mean)) / 128 - 1)) THEN 255 ELSE 0 END AS g FROM bx")
 def sauvola_binarised(spark: SparkSession, d: str) -> DataFrame:
     """I08, A11."""
-    return pixels.sauvola(_px(spark, d), 5, 0.2, 8, 8)
+    return _filtered(spark, d, lambda g: pixels_numpy.sauvola(g, 5, 0.2))
 
 
 @query(f"WITH {_PX}, {_BOX} SELECT img, y::INT AS y, x::INT AS x, greatest(0, least(255, floor(g + 0.5::DOUBLE * (g - mean) + 0.5::DOUBLE)))::INT AS g FROM bx")
 def sharpened(spark: SparkSession, d: str) -> DataFrame:
     """I03."""
-    return pixels.unsharp(_px(spark, d), 2, 0.5, 8, 8)
+    return _filtered(spark, d, lambda g: pixels_numpy.sharpen(g, 2, 0.5))
 
 
 @query(

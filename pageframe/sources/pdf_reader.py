@@ -13,7 +13,7 @@ import re
 import zlib
 from typing import Any, NamedTuple
 
-import numpy as np
+from pageframe.operators.pixels_numpy import unfiltered
 
 
 class Ref(NamedTuple):
@@ -115,28 +115,7 @@ def _unpredicted(raw: bytes, parms: dict) -> bytes:
         return raw
     size = max(1, parms.get("/Colors", 1) * parms.get("/BitsPerComponent", 8) // 8)
     width = (parms.get("/Columns", 1) * parms.get("/Colors", 1) * parms.get("/BitsPerComponent", 8) + 7) // 8
-    out, old = bytearray(), bytes(width)
-    for at in range(0, len(raw), width + 1):
-        kind, row = raw[at], np.frombuffer(raw[at + 1 : at + 1 + width].ljust(width, b"\0"), np.uint8).copy()
-        if kind == 2:
-            row += np.frombuffer(old, np.uint8)
-        elif kind in (1, 3, 4):
-            up = old
-            line = bytearray(row.tobytes())
-            for k in range(width):
-                a, b, c = (line[k - size] if k >= size else 0), up[k], (up[k - size] if k >= size else 0)
-                if kind == 1:
-                    guess = a
-                elif kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    p = a + b - c
-                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                line[k] = (line[k] + guess) & 255
-            row = np.frombuffer(bytes(line), np.uint8)
-        old = row.tobytes()
-        out += old
-    return bytes(out)
+    return unfiltered(raw, width, size)
 
 
 class Document:
