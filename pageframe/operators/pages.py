@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 LOW, BOOST, RESCUE = 0.8, 0.9, 0.84
 # Score and flags of a page without a result.
 FALLBACK_SCORE, FALLBACK_FLAGS = 0.85 - 0.25 - 0.2, ("empty-result", "very-short-text", "symbol-noise")
-LADDER = {"premium": ("standard", "basic"), "standard": ("basic",), "basic": ()}
 
 
 def to_recognise(pages: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageframe.functions.text import data_url_bytes
+
 #: Days a job is kept, and jobs that are kept.
 DAYS, KEPT = 30, 200
 
@@ -66,3 +68,22 @@ def artifacts_by_job(artifacts: DataFrame) -> DataFrame:
 def pass_through(pages: DataFrame) -> DataFrame:
     """Jobs of which every page has native text, so that the original file serves."""
     return pages.groupBy("job_id").agg((F.coalesce(F.bool_and(F.col("source_kind") == "pdf-text"), F.lit(True)) & (F.count("*") > 0)).alias("reuse_original"), F.count("*").alias("pages"))
+
+
+def original_or(jobs: DataFrame, reuse: DataFrame, made: DataFrame) -> DataFrame:
+    """Id and ``pdf`` of each job: the original file's bytes where every page has native text and the file is there, else the made one.
+
+    ``jobs`` have id and ``original``, ``reuse`` is of :func:`pass_through`, ``made`` has id and ``made``.
+    """
+    known = jobs.select("id", "original").join(reuse.select(F.col("job_id").alias("id"), "reuse_original"), "id", "left").join(made.select("id", "made"), "id", "left")
+    return known.select("id", F.when(F.coalesce("reuse_original", F.lit(False)) & F.col("original").isNotNull(), F.col("original")).otherwise(F.col("made")).alias("pdf"))
+
+
+def cleared(*tables: DataFrame) -> tuple[DataFrame, ...]:
+    """Each table without its rows, to be written over it."""
+    return tuple(t.limit(0) for t in tables)
+
+
+def page_bytes(blob: Column, url: Column) -> Column:
+    """A page's bytes: the stored ones, else those of its data address; null for another address, whose file a binary source reads."""
+    return F.coalesce(blob, F.when(url.startswith("data:"), data_url_bytes(url)))

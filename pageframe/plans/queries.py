@@ -444,12 +444,19 @@ def plain_markup(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", txt.strip_markup(F.col("text")).alias("text"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.page') AS page, event_type AS engine, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '1' END IN ('1', 'true') AS strict FROM events")
+@query(
+    "WITH e AS (SELECT event_id, json_extract_string(props, '$.page') AS page, event_id % 5 AS k FROM events) SELECT event_id, page, ['premium', 'mock', NULL, 'basic', 'standard'][k + 1] AS engine, [NULL, 'donut', NULL, 'mgp-str', NULL][k + 1] AS model,"
+    " k IN (0, 2) AS strict, k = 3 AS force_ocr, CASE WHEN k = 0 THEN '{\"blockSize\": 21}' END AS preprocess, CASE WHEN k = 1 THEN 'basic' END AS mock_profile FROM e"
+)
 def url_parameters(spark: SparkSession, d: str) -> DataFrame:
     """Parameters of an address and of a JSON text."""
-    e = _t(spark, d, "events")
-    url = F.concat(F.lit("https://x.test/?engine="), "event_type", F.lit("&strict="), F.when(F.col("event_id") % 2 == 0, "true").otherwise("1"))
-    return e.select("event_id", F.get_json_object("props", "$.page").alias("page"), F.parse_url(url, F.lit("QUERY"), F.lit("engine")).alias("engine"), F.parse_url(url, F.lit("QUERY"), F.lit("strict")).isin("1", "true").alias("strict"))
+    queries = (
+        "engine=premium&strictEngine=1&preprocess=%7B%22blockSize%22%3A%2021%7D&mockProfile=basic", "engine=mock&model=donut&mockProfile=basic&preprocess=%7Bbad",
+        "engine=other&model=other&strictEngine=true&forceOcr=yes", "engine=basic&model=mgp-str&forceOcr=true&strictEngine=0", "engine=standard&model=",
+    )
+    query = F.element_at(F.array(*map(F.lit, queries)), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
+    p = recogniser.parameters(F.concat(F.lit("https://x.test/?"), query))
+    return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"), p.alias("p")).select("event_id", "page", "p.*")
 
 
 @query("SELECT id, 'data:' || coalesce(nullif(mime_type, ''), 'image/png') || ';base64,' || base64(bytes) AS url, octet_length(bytes)::INT AS size FROM (SELECT DISTINCT id, mime_type, bytes FROM stored_pages WHERE bytes IS NOT NULL)")
@@ -462,9 +469,30 @@ def data_urls(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, 'mock' AS engine, 'page of ' || coalesce(octet_length(bytes), 0) || ' bytes' AS text, NULL::VARCHAR AS error FROM (SELECT DISTINCT id, source_kind, bytes FROM stored_pages) WHERE coalesce(source_kind <> 'pdf-text', true)")
 def recognised_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages without native text through the mock engine, of an absent engine's ladder."""
+    """Pages without native text through the mock engine."""
     todo = pages.to_recognise(_t(spark, d, "stored_pages").select("id", "source_kind", "bytes").distinct())
-    return recogniser.recognise(todo, "absent", ("mock",))
+    return recogniser.recognise(todo, "mock")
+
+
+@query(
+    "WITH t AS (SELECT * FROM (VALUES ('premium', 0::DOUBLE, 0::DOUBLE), ('standard', 2::DOUBLE / 287, 1::DOUBLE / 50), ('basic', 18::DOUBLE / 287, 14::DOUBLE / 50)) v(profile, char_error_rate, word_error_rate))"
+    " SELECT *, 1 - char_error_rate AS char_accuracy, 1 - word_error_rate AS word_accuracy FROM t"
+)
+def profile_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The mock profiles against their true text; the published rates."""
+    truth = recogniser.mock_page("premium")[0]
+    rows = spark.createDataFrame([(p, truth, recogniser.mock_page(p)[0]) for p in recogniser.MISREAD], "profile string, expected string, actual string")
+    return benchmark.metrics(rows, "expected", "actual").drop("expected", "actual")
+
+
+@query(
+    "SELECT DISTINCT engine, preprocess, '/?engine=' || t || '&strictEngine=1&forceOcr=1&model=' || engine || CASE WHEN preprocess IS NOT NULL THEN '&preprocess=' || url_encode(preprocess) ELSE '' END AS address"
+    " FROM (SELECT DISTINCT replace(lower(trim(engine)), '_', '-') AS engine, preprocess, CASE WHEN lower(engine) LIKE '%base%' THEN 'premium' ELSE 'standard' END AS t FROM bench_results)"
+)
+def run_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """F32."""
+    runs = _t(spark, d, "bench_results").select(F.regexp_replace(F.lower(F.trim("engine")), "_", "-").alias("engine"), "preprocess").distinct()
+    return runs.select("engine", "preprocess", recogniser.address(F.when(F.col("engine").contains("base"), "premium").otherwise("standard"), F.col("engine"), F.col("preprocess")).alias("address"))
 
 
 @query(

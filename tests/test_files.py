@@ -1,6 +1,7 @@
 import io
 import zipfile
 import zlib
+from datetime import datetime
 from xml.etree import ElementTree as ET
 
 import numpy as np
@@ -54,7 +55,7 @@ def test_streams(spark, tmp_path):
     latest.awaitTermination(60)
     assert sorted((r["page"], r["attempt"]) for r in spark.table("latest").collect()) == [(1, 2), (2, 1)]
     seen = []
-    once = progress.on_pages(progress.unexpired(stream, "t", "1 hour", ["job", "page", "attempt"]), lambda b, _: seen.extend((r["page"], r["attempt"]) for r in b.collect()), f"{tmp_path}/state")
+    once = progress.on_pages(progress.first_deliveries(stream, "t", "1 hour", ["job", "page", "attempt"]), lambda b, _: seen.extend((r["page"], r["attempt"]) for r in b.collect()), f"{tmp_path}/state")
     once.awaitTermination(60)
     assert sorted(seen) == [(1, 1), (1, 2), (2, 1)]
 
@@ -168,3 +169,17 @@ def test_native_text_is_judged_by_clean_regions(spark, tmp_path):
     assert [r["source_kind"] for r in rows] == ["scanned", "pdf-text", "scanned"] and rows[0]["regions"] is None
     assert rows[1]["text"] == "a long line of native text another long line of text"
     assert rows[1]["regions"][0]["x"] == 120.0 and rows[1]["regions"][0]["h"] == 36.0 and rows[1]["regions"][0]["y"] == (800 - 700 - 12) * 3
+
+
+def test_stream_of_jobs_is_retained(spark, tmp_path):
+    source, path = f"{tmp_path}/in", f"{tmp_path}/kept"
+    ddl = "id string, updated_at timestamp, expires_at timestamp"
+    at = lambda d: datetime(2026, 1, d)
+    batches = [[("a", at(1), at(31)), ("b", at(2), at(3)), ("c", at(3), None)], [("a", at(5), at(31)), ("d", at(4), at(31)), ("e", at(1), at(31))]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(ddl).parquet(source)
+        progress.retention(stream, path, f"{tmp_path}/state", 3, lambda: F.lit(at(10))).awaitTermination(60)
+        got = sorted((r["id"], r["updated_at"].day) for r in progress.kept_jobs(spark, path, stream.schema).collect())
+        assert got == ([("a", 1), ("c", 3)], [("a", 5), ("c", 3), ("d", 4)])[n]
+    assert progress.kept_jobs(spark, f"{tmp_path}/none", stream.schema) is None
