@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageframe.functions.text import js_round, js_trim
+from pageframe.functions.text import filled, js_round
 
 INFINITE = float("inf")
 
@@ -35,7 +35,7 @@ def clip_box(r: Column, width: Column, height: Column, before: bool) -> Column:
 
 def clean_regions(regions: Column, width: Column, height: Column, before: bool) -> Column:
     """P14 with P12 or P13 over an array: regions with text and a possible box."""
-    full = F.filter(F.coalesce(regions, F.array()), lambda r: js_trim(F.coalesce(r["text"], F.lit(""))) != "")
+    full = F.filter(F.coalesce(regions, F.array()), lambda r: filled(r["text"]))
     return F.filter(F.transform(full, lambda r: clip_box(r, width, height, before)), lambda r: r.isNotNull())
 
 

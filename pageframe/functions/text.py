@@ -25,6 +25,11 @@ def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def filled(c: Column) -> Column:
+    """Whether a text has anything but white space; false for null."""
+    return F.coalesce(F.regexp_like(c, F.lit(f"[^{SPACE[1:-1]}]")), F.lit(False))
+
+
 def collapse(c: Column, to: str = " ") -> Column:
     return F.regexp_replace(c, f"{SPACE}+", to)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from pageframe.functions.text import BULLET, NUMBERED, js_trim, upper_median, utf16_length
+from pageframe.functions.text import BULLET, NUMBERED, filled, upper_median, utf16_length
 
 LINES = "line_no int, region_idx int, text string, x double, y double, w double, h double"
 
@@ -162,7 +162,7 @@ def order_by_columns(df: DataFrame, regions: str, width: str) -> DataFrame:
     that none is computed twice.
     """
     limit = F.col(width) * 0.25
-    full = df.withColumn("_full", F.filter(regions, lambda r: js_trim(F.coalesce(r["text"], F.lit(""))) != ""))
+    full = df.withColumn("_full", F.filter(regions, lambda r: filled(r["text"])))
     edges = full.withColumn("_edges", F.sort_array(F.transform("_full", lambda r: r["x"])))
     less = F.greatest(F.size("_edges") - 1, F.lit(0))
     gaps = F.zip_with(F.slice("_edges", F.lit(1), less), F.slice("_edges", F.lit(2), less), lambda a, b: F.when(b - a > limit, (b + a) / 2))
@@ -172,5 +172,6 @@ def order_by_columns(df: DataFrame, regions: str, width: str) -> DataFrame:
     column = lambda r: F.when(outside(r), F.size("_bounds")).otherwise(F.size(F.filter("_bounds", lambda b: centre(r) >= b)))
     placed = F.transform("_full", lambda r, i: F.struct(column(r).alias("column_no"), F.when(F.size("_bounds") > 0, r["y"]).otherwise(0.0).alias("down"), i.alias("was"), r.alias("region")))
     kept = [c for c in df.columns if c not in (regions, width)]
-    flat = bounds.withColumn("_placed", F.array_sort(placed)).select(*kept, F.posexplode("_placed").alias("place", "_p"))
+    # the outer form, as for the other Spark infers a filter on the array, for which it would be worked out once more
+    flat = bounds.withColumn("_placed", F.array_sort(placed)).select(*kept, F.posexplode_outer("_placed").alias("place", "_p")).where("place is not null")
     return flat.select(*kept, "place", F.col("_p.column_no").alias("column_no"), F.col("_p.region").alias("region"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pageframe.functions import geometry as geo
 from pageframe.functions import text as txt
 from pageframe.operators import benchmark, layout, pages, pixels, pixels_numpy, recogniser, store
+from pageframe.sources import exports
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -241,10 +242,10 @@ def engine_tiers(spark: SparkSession, d: str) -> DataFrame:
 _PAGES = "p AS (SELECT job_id, page_number, max(width)::DOUBLE AS width, max(height)::DOUBLE AS height FROM stored_pages GROUP BY ALL)"
 
 
-def _placed(spark: SparkSession, d: str) -> DataFrame:
+def _placed(spark: SparkSession, d: str, column: str = "regions") -> DataFrame:
     """Results with the size of their page; 1000 by 1000 where it is missing."""
     size = _t(spark, d, "stored_pages").groupBy("job_id", "page_number").agg(F.max("width").cast("double").alias("width"), F.max("height").cast("double").alias("height"))
-    r = _results(spark, d, "job_id", "page_number", "regions").join(size, ["job_id", "page_number"], "left")
+    r = _results(spark, d, "job_id", "page_number", column).join(size, ["job_id", "page_number"], "left")
     return r.withColumn("width", F.coalesce("width", F.lit(1000.0))).withColumn("height", F.coalesce("height", F.lit(1000.0)))
 
 
@@ -255,7 +256,7 @@ _CLIP = "cx AS (SELECT *, greatest(0::DOUBLE, least(width, x)) AS cx, greatest(0
 
 
 def _cleaned(spark: SparkSession, d: str, before: bool) -> DataFrame:
-    clean = _placed(spark, d).select("result_id", F.posexplode(geo.clean_regions(F.col("regions"), F.col("width"), F.col("height"), before)).alias("place", "g"))
+    clean = _placed(spark, d).select("result_id", F.posexplode_outer(geo.clean_regions(F.col("regions"), F.col("width"), F.col("height"), before)).alias("place", "g")).where("place is not null")
     return clean.select("result_id", F.col("place").cast("bigint").alias("place"), "g.text", "g.x", "g.y", "g.w", "g.h")
 
 
@@ -527,6 +528,70 @@ def wrapped_texts(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "bench_fixtures").select("name", F.posexplode(recogniser.wrapped(F.col("ground_truth"), 60)).alias("line_no", "line"))
 
 
+@query(
+    f"WITH {_R} SELECT result_id, i AS turn, CASE i WHEN 1 THEN coalesce(text, '') WHEN 2 THEN lang ELSE '' END AS text, CASE WHEN i = 1 THEN quality_score ELSE 0.5::DOUBLE END AS confidence, CASE WHEN i = 1 THEN 1::DOUBLE ELSE 0::DOUBLE END AS x, CASE WHEN i = 1 THEN 5::DOUBLE ELSE 100::DOUBLE END AS w FROM r, (SELECT unnest([1, 2, 3]) AS i) WHERE NOT (i = 2 AND lang IS NULL)"
+)
+def detected_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items of a detector, each with its text, score and place under another name."""
+    item = "struct<text:string,value:string,confidence:double,score:double,box:array<array<double>>,points:array<array<double>>>"
+    square = F.array(*(F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((1, 0), (6, 0), (6, 3), (1, 3))))
+    no, none = F.lit(None).cast("string"), F.lit(None).cast("array<array<double>>")
+    half = F.lit(0.5)
+    items = F.array(
+        F.struct(F.lit(1).alias("turn"), F.struct(F.col("text"), no, F.col("quality_score"), F.lit(None).cast("double"), square, none).cast(item).alias("item")),
+        F.struct(F.lit(2).alias("turn"), F.struct(no, F.col("lang"), F.lit(None).cast("double"), half, none, F.slice(square, 1, 2)).cast(item).alias("item")),
+        F.struct(F.lit(3).alias("turn"), F.struct(no, no, F.lit(None).cast("double"), half, none, none).cast(item).alias("item")),
+    )
+    flat = _results(spark, d, "text", "lang", "quality_score").select("result_id", "lang", F.explode(items).alias("i")).where("not (i.turn = 2 and lang is null)")
+    found = flat.select("result_id", "i.turn", recogniser.detected(F.col("i.item"), F.lit(100.0), F.lit(50.0)).alias("f"))
+    placed = found.withColumn("b", geo.from_polygon(F.col("f.points"), F.lit(100.0), F.lit(50.0)))
+    return placed.select("result_id", "turn", "f.text", "f.confidence", "b.x", "b.w")
+
+
+@query(_PLACED.replace("SELECT result_id, regions,", "SELECT result_id, text,") + " SELECT result_id, text, 0::DOUBLE AS x, 0::DOUBLE AS y, width AS w, height AS h FROM s WHERE coalesce(text, '') <> ''")
+def whole_pages(spark: SparkSession, d: str) -> DataFrame:
+    """one region of the whole page where there is a text."""
+    size = _placed(spark, d, "text")
+    return size.select("result_id", F.explode(recogniser.whole_page(F.col("text"), F.col("width"), F.col("height"))).alias("g")).select("result_id", "g.*")
+
+
+@query(_BOXES + " SELECT result_id, region_idx, CASE WHEN greatest(w - 5 * length(text), 0) > 0 AND length(text) - length(replace(text, ' ', '')) > 0 THEN greatest(w - 5 * length(text), 0)::DOUBLE / (length(text) - length(replace(text, ' ', ''))) WHEN length(text) - length(replace(text, ' ', '')) = 0 AND length(text) > 1 THEN greatest(w - 5 * length(text), 0)::DOUBLE / (length(text) - 1) ELSE 0 END AS spare FROM b WHERE length(text) > 0")
+def region_spacing(spark: SparkSession, d: str) -> DataFrame:
+    """what words or characters of a region are set apart, at a width of five a character."""
+    s = recogniser.spacing(F.col("w"), F.length("text") * 5.0, F.col("text"))
+    return _regions(spark, d).where("length(text) > 0").select("result_id", "region_idx", (s["word"] + s["character"]).alias("spare"))
+
+
+@query(_PLACED + _FLAT + " SELECT result_id, region_idx, h FROM v")
+def flattened_heights(spark: SparkSession, d: str) -> DataFrame:
+    """Every region's height, a row each."""
+    flat = _results(spark, d, "regions").select("result_id", F.posexplode("regions").alias("region_idx", "g"))
+    return flat.select("result_id", F.col("region_idx").cast("bigint").alias("region_idx"), "g.h")
+
+
+@query(f"WITH {_R} SELECT result_id, i AS place, xs[i] AS edge FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM (SELECT result_id, list_sort(list_filter(list_transform(regions, lambda g: g.x), lambda x: isfinite(x))) AS xs FROM r))")
+def sorted_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Left edges in their order."""
+    xs = F.sort_array(F.filter(F.transform("regions", lambda g: g["x"]), geo.finite))
+    return _results(spark, d, "regions").select("result_id", F.posexplode(xs).alias("place", "edge")).withColumn("place", F.col("place").cast("bigint") + 1)
+
+
+@query(f"WITH {_R}, {_PAGES} SELECT r.result_id, r.page_number, CASE WHEN p.job_id IS NOT NULL THEN 'scanned' END AS source_kind, p.job_id IS NOT NULL AND false AS has_native_text FROM r LEFT JOIN p USING (job_id, page_number) WHERE page_number - 1 IN (0, 2, 5)")
+def forced_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Chosen pages, taken for scanned ones."""
+    known = _t(spark, d, "stored_pages").select("job_id", "page_number").distinct()
+    forced = pages.force_ocr(known.withColumn("source_kind", F.lit("pdf-text")), True)
+    r = pages.selected(_results(spark, d, "job_id", "page_number").withColumn("page_index", F.col("page_number") - 1), [0, 2, -1, 5])
+    return r.join(forced, ["job_id", "page_number"], "left").select("result_id", "page_number", "source_kind", F.coalesce("has_native_text", F.lit(False)).alias("has_native_text"))
+
+
+@query(f"WITH {_R} SELECT result_id, coalesce(text, '') AS text, len(coalesce(regions, [])) AS regions, len(coalesce(quality_flags, [])) AS flags, source, quality_score FROM r")
+def saved_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results as they are saved."""
+    r = pages.normalised(_results(spark, d, "text", "regions", "source", "quality_score", "quality_flags"))
+    return r.select("result_id", "text", F.size("regions").cast("bigint").alias("regions"), F.size("quality_flags").cast("bigint").alias("flags"), "source", "quality_score")
+
+
 # --- the job store
 
 
@@ -616,6 +681,31 @@ def history_labels(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", txt.message(F.lit("{n} pages · {q}% avg · {day}"), values).alias("label"))
 
 
+@query(f"WITH {_J} SELECT id, created_at, updated_at, source_name, engine_tier, page_count, average_quality, expires_at FROM j")
+def stored_job_records(spark: SparkSession, d: str) -> DataFrame:
+    """A job's own columns, without pages and results."""
+    return _jobs(spark, d).select("id", "created_at", "updated_at", "source_name", "engine_tier", "page_count", "average_quality", "expires_at")
+
+
+@query("WITH u AS (SELECT 'page' AS kind, id FROM stored_pages UNION ALL SELECT 'artifact', id FROM stored_artifacts UNION ALL SELECT 'job', id FROM stored_jobs) SELECT kind, count(*) AS records, count(DISTINCT id) AS ids FROM u GROUP BY kind")
+def store_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The three stores' records together, by kind."""
+    kinds = {"page": "stored_pages", "artifact": "stored_artifacts", "job": "stored_jobs"}
+    parts = [_t(spark, d, t).select(F.lit(k).alias("kind"), "id") for k, t in kinds.items()]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy("kind").agg(F.count("*").alias("records"), F.countDistinct("id").alias("ids"))
+
+
+@query("WITH a AS (SELECT job_id, arg_min(bytes, id) AS original FROM stored_artifacts WHERE kind = 'pdf' GROUP BY job_id), p AS (SELECT job_id, bool_and(k = 'pdf-text') AS reuse FROM (SELECT job_id, page_number, min(source_kind) AS k FROM stored_pages GROUP BY ALL) GROUP BY job_id) SELECT job_id AS id, CASE WHEN coalesce(reuse, true) AND original IS NOT NULL THEN md5(original) ELSE md5('made') END AS digest FROM p LEFT JOIN a USING (job_id)")
+def exported_files(spark: SparkSession, d: str) -> DataFrame:
+    """The original file's bytes where they serve, else a made file's."""
+    reuse = store.pass_through(_t(spark, d, "stored_pages").groupBy("job_id", "page_number").agg(F.min("source_kind").alias("source_kind")))
+    first = _t(spark, d, "stored_artifacts").where("kind = 'pdf'").groupBy("job_id").agg(F.min_by("bytes", "id").alias("original"))
+    jobs = reuse.select(F.col("job_id").alias("id")).join(first.withColumnRenamed("job_id", "id"), "id", "left")
+    made = reuse.select(F.col("job_id").alias("id"), F.lit(bytearray(b"made")).alias("made"))
+    return store.original_or(jobs, reuse, made).select("id", F.md5("pdf").alias("digest"))
+
+
 # --- benchmarks
 
 _B = "b AS (SELECT DISTINCT ON (bench_id) bench_id, replace(lower(trim(engine)), '_', '-') AS engine, fixture, preprocess, extracted_text, elapsed_ms FROM bench_results ORDER BY bench_id)"
@@ -664,6 +754,21 @@ def benchmark_counts(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d).agg(F.count("*").alias("runs"), F.countDistinct("engine").alias("engines"), F.countDistinct("fixture").alias("fixtures"), F.countDistinct("preprocess").alias("preprocesses"))
 
 
+@query("SELECT bench_id, 320 * greatest(0::DOUBLE, least(1::DOUBLE, metrics.char_accuracy)) AS bar FROM (SELECT DISTINCT ON (bench_id) * FROM bench_results ORDER BY bench_id) WHERE metrics.char_accuracy IS NOT NULL")
+def chart_bars(spark: SparkSession, d: str) -> DataFrame:
+    """F29, F06."""
+    b = _once(_t(spark, d, "bench_results").select("bench_id", F.col("metrics.char_accuracy").alias("accuracy")), "bench_id")
+    return b.where("accuracy is not null").select("bench_id", recogniser.bar_width(F.lit(320.0), F.col("accuracy")).alias("bar"))
+
+
+@query("WITH w AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity * 4 AS w FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber)), t AS (SELECT *, sum(w) OVER (PARTITION BY k) AS total, max(w) OVER (PARTITION BY k) AS widest, count(*) OVER (PARTITION BY k) AS columns FROM w) SELECT k, n, CASE WHEN total > 500 THEN w * (500 / total) ELSE w END AS w, widest, columns FROM t")
+def scaled_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Widths of a table's columns, scaled to 500 where they are more, its widest, and how many."""
+    i = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_quantity") * 4).alias("w")).dropDuplicates(["k", "n"])
+    table = i.groupBy("k").agg(F.max("w").alias("widest"), F.count("*").alias("columns"))
+    return recogniser.scaled_widths(i, "k", "w", 500.0).join(table, "k").select("k", "n", "w", "widest", "columns")
+
+
 @query(f"WITH {_B}, {_OK}, c AS (SELECT engine, preprocess, levenshtein(e, a)::DOUBLE / length(e) AS cer FROM o) SELECT engine, count(*) AS runs, round(avg(cer), 9) AS cer, '| ' || engine || ' | ' || count(*) || ' |' AS line, regexp_replace(engine, '[^a-zA-Z0-9-]', '_', 'g') AS label FROM c GROUP BY engine")
 def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
     """K08, N05, F33."""
@@ -703,6 +808,39 @@ def text_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "bench_fixtures").select("name", F.posexplode(chunks).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
 
 
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of every page: lines, their kinds, tables and paragraphs."""
+    fit = F.filter(F.coalesce("regions", F.array()), lambda g: geo.finite(g["x"]) & geo.finite(g["y"]) & geo.finite(g["w"]) & geo.finite(g["h"]))
+    placed = _placed(spark, d)
+    lines = layout.page_lines(layout.group_lines(placed.select("result_id", fit.alias("regions")), "result_id"), ["result_id"])
+    sized = lines.join(placed.select("result_id", "width"), "result_id").withColumn("page_median", layout.page_median(["result_id"]))
+    kinds = layout.validate_tables(layout.classify(sized, F.col("width"), F.col("page_median")), ["result_id"])
+    medians = kinds.groupBy("result_id").agg(F.max("page_median").alias("median"), F.max("width").alias("width"))
+    return layout.merge_body(kinds, ["result_id"]).join(medians, "result_id")
+
+
+@query()
+def page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's blocks."""
+    return _blocks(spark, d).select("result_id", "block_no", "kind", "text", "n_lines")
+
+
+@query()
+def docx_files(spark: SparkSession, d: str) -> DataFrame:
+    """A document of each job's results, by volumes, and its size."""
+    of = _results(spark, d, "job_id", "page_number")
+    blocks = _blocks(spark, d).join(of, "result_id").select("job_id", "page_number", "block_no", "kind", "text", F.col("median_height").alias("height"), "cells", "median", "width")
+    return exports.documents(blocks).select("job_id", "volume", F.octet_length("docx").alias("size"))
+
+
+@query()
+def searchable_files(spark: SparkSession, d: str) -> DataFrame:
+    """A searchable PDF of each job's pages, by volumes, and its size."""
+    p = _t(spark, d, "stored_pages").groupBy("job_id", "page_number").agg(F.max("width").alias("width"), F.max("height").alias("height"), F.max("bytes").alias("image"))
+    last = _results(spark, d, "job_id", "page_number", "regions").groupBy("job_id", "page_number").agg(F.max_by("regions", "result_id").alias("regions"))
+    return exports.searchable(p.join(last, ["job_id", "page_number"], "left")).select("job_id", "volume", F.octet_length("pdf").alias("size"))
+
+
 # --- images
 
 _PX = "px AS (SELECT vec_id AS img, (i - 1) // 8 AS y, (i - 1) % 8 AS x, greatest(0, least(255, floor((embedding[i]::DOUBLE + 1) * 127.5::DOUBLE + 0.5::DOUBLE)))::INT AS g FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"
@@ -742,6 +880,12 @@ def opened_images(spark: SparkSession, d: str) -> DataFrame:
     return _filtered(spark, d, lambda g: pixels_numpy.dilate(pixels_numpy.erode(g)))
 
 
+@query(f"WITH {_PX} SELECT img, avg(g)::DOUBLE AS mean FROM px GROUP BY img")
+def mean_intensities(spark: SparkSession, d: str) -> DataFrame:
+    """A16."""
+    return _px(spark, d).groupBy("img").agg(F.avg("g").alias("mean"))
+
+
 @query(f"WITH {_PX}, {_BOX} SELECT img, y::INT AS y, x::INT AS x, CASE WHEN g > mean - 5 THEN 255 ELSE 0 END AS g FROM bx")
 def adaptive_binarised(spark: SparkSession, d: str) -> DataFrame:
     """W02, I07."""

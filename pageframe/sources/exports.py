@@ -9,6 +9,7 @@ import unicodedata
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import groupby
 from xml.sax.saxutils import escape
 
@@ -138,13 +139,15 @@ HELVETICA = (
 )
 
 
+@lru_cache(maxsize=65_536)
+def _character_width(c: str) -> int:
+    base = unicodedata.normalize("NFD", c)[0]
+    return HELVETICA[ord(base) - 32] if " " <= base <= "~" else 556
+
+
 def text_width(text: str, size: float) -> float:
     """The width of a text in Helvetica, without kerning; a letter with an accent is as wide as without, what isn't known as a figure."""
-    total = 0
-    for c in text:
-        base = unicodedata.normalize("NFD", c)[0]
-        total += HELVETICA[ord(base) - 32] if " " <= base <= "~" else 556
-    return total * size / 1000
+    return sum(map(_character_width, text)) * size / 1000
 
 
 def fitted(text: str, width: float, height: float) -> float:
