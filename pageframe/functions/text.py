@@ -20,9 +20,13 @@ NUMBERED = r"^(\d{1,3})[.)]\s+"
 PENALTIES = (("very-short-text", 0.25), ("word-shape-anomaly", 0.1), ("symbol-noise", 0.2), ("layout-collapse", 0.08), ("dictionary-miss", 0.15), ("height-anomaly", 0.08))
 
 
+#: The characters of ``SPACE``.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def js_trim(c: Column) -> Column:
     """Without white space at both ends; null for null."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def filled(c: Column) -> Column:
@@ -55,15 +59,23 @@ def lines(c: Column) -> Column:
 
 def suspicious_ratio(c: Column) -> Column:
     """share of suspicious characters among those that are no space; 1 for a blank text."""
-    solid = collapse(c, "")
-    bad = F.length(F.regexp_replace(solid, f"[{ALLOWED}]", ""))
+    return _noise(collapse(c, ""))
+
+
+def _noise(solid: Column) -> Column:
+    # most texts have no such character, so they are only looked through
+    bad = F.when(F.regexp_like(solid, F.lit(f"[^{ALLOWED}]")), F.length(F.regexp_replace(solid, f"[{ALLOWED}]+", ""))).otherwise(0)
     return F.when(F.length(solid) == 0, 1.0).otherwise(bad / F.length(solid))
 
 
-def dictionary_words(c: Column) -> Column:
-    """small-letter words of two or more characters, stripped at both ends to a-z."""
-    long = F.filter(F.split(F.lower(c), f"{SPACE}+"), lambda w: F.length(w) > 1)
-    return F.transform(long, lambda w: F.regexp_replace(w, "^[^a-z]+|[^a-z]+$", ""))
+def dictionary_tokens(c: Column) -> Column:
+    """what of two or more characters stands between white space, in small letters."""
+    return F.filter(F.split(F.lower(c), f"{SPACE}+"), lambda w: F.length(w) > 1)
+
+
+def dictionary_word(token: Column) -> Column:
+    """a token stripped at both ends to a-z."""
+    return F.regexp_replace(token, "^[^a-z]+|[^a-z]+$", "")
 
 
 def dictionary_ratio(c: Column, dictionary: list[str]) -> Column:
@@ -71,9 +83,17 @@ def dictionary_ratio(c: Column, dictionary: list[str]) -> Column:
 
     The dictionary is a list of a few thousand words at most, which stands in the plan as a set.
     """
-    found = dictionary_words(c)
-    known = F.filter(found, lambda w: w.isin(dictionary) if dictionary else F.lit(False))
-    return F.when(F.size(found) > 0, F.size(known) / F.size(found))
+    return _ratio(F.split(c, f"{SPACE}+"), dictionary)
+
+
+def _ratio(tokens: Column, dictionary: list[str]) -> Column:
+    long = F.filter(tokens, lambda w: F.length(F.lower(w)) > 1)
+    among = lambda w: w.isin(dictionary) if dictionary else F.lit(False)
+    # most words need no stripping, and one that has letters at both ends is not in the dictionary if it isn't as it stands
+    known = lambda w: F.when(among(w), True).when(F.regexp_like(w, F.lit("^[a-z].*[a-z]$")), False).otherwise(among(dictionary_word(w)))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("known"))
+    add = lambda s, w: F.struct((s["n"] + 1).alias("n"), (s["known"] + F.when(known(F.lower(w)), 1).otherwise(0)).alias("known"))
+    return F.aggregate(long, start, add, lambda s: F.when(s["n"] > 0, s["known"] / s["n"]))
 
 
 def upper_median(numbers: Column) -> Column:
@@ -97,24 +117,27 @@ def clamp01(c: Column) -> Column:
     return F.when(c.isNull() | F.isnan(c), c).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
-def with_quality(df: DataFrame, text: str, source: str, confidence: str, dictionary_ratio: str, regions: str) -> DataFrame:
-    """adds ``score`` and ``flags``.
+def with_quality(df: DataFrame, text: str, source: str, confidence: str, dictionary: str | list[str], regions: str) -> DataFrame:
+    """adds ``score``, ``flags`` and ``rank``.
 
-    Native text gets 0.98 and no flags. Null text counts as empty, a null
+    ``dictionary`` is a list of usual words or the column of the share of such
+    words. Native text gets 0.98 and no flags. Null text counts as empty, a null
     dictionary ratio as no miss, a null or NaN confidence as 0.85; others are
-    clamped to 0 and 1. Penalties are taken off in their fixed order, so that the doubles are the same. The steps
-    are columns of their own, so that none is computed twice.
+    clamped to 0 and 1. Penalties are taken off in their fixed order, so that the
+    doubles are the same. The steps are columns of their own, so that none is
+    computed twice, and the text is split once.
     """
     c = F.col
-    out = df.withColumn("_t", js_trim(F.coalesce(c(text), F.lit("")))).withColumn("_solid", collapse(c("_t"), ""))
-    out = out.withColumns({"_words": F.size(words(c("_t"))), "_lines": F.size(lines(c("_t"))), "_units": utf16_length(c("_t")), "_noise": F.when(F.length("_solid") == 0, 1.0).otherwise(F.length(F.regexp_replace("_solid", f"[{ALLOWED}]", "")) / F.length("_solid"))})
+    out = df.withColumn("_t", js_trim(F.coalesce(c(text), F.lit("")))).withColumn("_tokens", words(c("_t")))
+    out = out.withColumn("_solid", F.array_join("_tokens", "")).withColumn("_ratio", c(dictionary) if isinstance(dictionary, str) else _ratio(c("_tokens"), dictionary))
+    out = out.withColumns({"_words": F.size("_tokens"), "_lines": F.size(lines(c("_t"))), "_units": utf16_length(c("_t")), "_noise": _noise(c("_solid"))})
     mean = F.when(c("_words") > 0, utf16_length(c("_solid")) / c("_words"))
     hit = {
         "very-short-text": c("_units") < 20,
         "word-shape-anomaly": F.coalesce((mean > 11) | (mean < 2.2), F.lit(False)),
         "symbol-noise": c("_noise") > 0.15,
         "layout-collapse": (c("_lines") <= 1) & (c("_words") >= 20),
-        "dictionary-miss": (c("_words") >= 20) & F.coalesce(c(dictionary_ratio) < 0.5, F.lit(False)),
+        "dictionary-miss": (c("_words") >= 20) & F.coalesce(c("_ratio") < 0.5, F.lit(False)),
         "height-anomaly": height_anomaly(c(regions)),
     }
     out = out.withColumns({f"_hit{k}": hit[f] for k, (f, _) in enumerate(PENALTIES)})
@@ -124,16 +147,20 @@ def with_quality(df: DataFrame, text: str, source: str, confidence: str, diction
     flags = F.array_compact(F.array(*(F.when(c(f"_hit{k}"), F.lit(f)) for k, (f, _) in enumerate(PENALTIES))))
     native = c(source) == "pdf-text"
     out = out.withColumn("_score", score).withColumns({"score": F.when(native, 0.98).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c("_score")))), "flags": F.when(native, F.array().cast("array<string>")).otherwise(flags)})
-    return out.drop("_t", "_solid", "_words", "_lines", "_units", "_noise", "_score", *(f"_hit{k}" for k in range(len(PENALTIES))))
+    return out.withColumn("rank", _rank(c("score"), c("flags"), c("_words"), c("_units"))).drop("_t", "_tokens", "_solid", "_ratio", "_words", "_lines", "_units", "_noise", "_score", *(f"_hit{k}" for k in range(len(PENALTIES))))
+
+
+def _rank(score: Column, flags: Column, n_words: Column, units: Column) -> Column:
+    out = score + F.when(n_words >= 18, 0.03).otherwise(0.0)
+    out = out + F.when(units >= 120, 0.02).otherwise(0.0)
+    out = out - F.when(F.array_contains(flags, "symbol-noise"), 0.05).otherwise(0.0)
+    return out - F.when(F.array_contains(flags, "very-short-text"), 0.08).otherwise(0.0)
 
 
 def rank(score: Column, flags: Column, text: Column) -> Column:
     """by which of two results of a page the better is taken."""
     t = js_trim(F.coalesce(text, F.lit("")))
-    out = score + F.when(F.size(words(t)) >= 18, 0.03).otherwise(0.0)
-    out = out + F.when(utf16_length(t) >= 120, 0.02).otherwise(0.0)
-    out = out - F.when(F.array_contains(flags, "symbol-noise"), 0.05).otherwise(0.0)
-    return out - F.when(F.array_contains(flags, "very-short-text"), 0.08).otherwise(0.0)
+    return _rank(score, flags, F.size(words(t)), utf16_length(t))
 
 
 def strip_tags(raw: Column) -> Column:

@@ -34,7 +34,10 @@ def rated(runs: DataFrame, expected: str, actual: str) -> DataFrame:
     key = [F.xxhash64(F.coalesce(c, F.lit(""))).alias(n) for c, n in ((F.col(expected), "_he"), (F.col(actual), "_ha"))]
     sized = [F.length(F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in ((expected, "_le"), (actual, "_la"))]
     keys = ["_he", "_ha", "_le", "_la"]
-    pairs = runs.select(*key, *sized, F.coalesce(expected, F.lit("")).alias("_e"), F.coalesce(actual, F.lit("")).alias("_a")).groupBy(*keys).agg(F.first("_e").alias("_e"), F.first("_a").alias("_a"))
+    # what follows is dear by pair, so the shuffle's partitions are not merged for being small
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = runs.select(*key, *sized, F.coalesce(expected, F.lit("")).alias("_e"), F.coalesce(actual, F.lit("")).alias("_a")).repartition(n, *keys)
+    pairs = texts.groupBy(*keys).agg(F.first("_e").alias("_e"), F.first("_a").alias("_a"))
     pairs = pairs.withColumn("_e", normalise(F.col("_e"))).withColumn("_a", normalise(F.col("_a")))
     tokens = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
     pairs = pairs.withColumn("_we", tokens(F.col("_e"))).withColumn("_wa", tokens(F.col("_a")))

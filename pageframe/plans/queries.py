@@ -105,8 +105,10 @@ _DICTIONARY_SHARE = 0.0005
 
 def corpus_dictionary(spark: SparkSession, d: str) -> list[str]:
     """The dictionary by rule: the words of a-z that make up ``_DICTIONARY_SHARE`` of those of all deliveries, so 2,000 at most."""
-    words = _t(spark, d, "ocr_results").select(F.explode(txt.dictionary_words(F.col("text"))).alias("word"))
-    counts = words.where(F.regexp_like("word", F.lit("^[a-z]+(['-][a-z]+)*$"))).groupBy("word").agg(F.count("*").alias("n"))
+    # tokens are counted as they stand first, so that each distinct one is stripped once
+    tokens = _t(spark, d, "ocr_results").select(F.explode(txt.dictionary_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    words = tokens.select(txt.dictionary_word(F.col("token")).alias("word"), "n")
+    counts = words.where(F.regexp_like("word", F.lit("^[a-z]+(['-][a-z]+)*$"))).groupBy("word").agg(F.sum("n").alias("n"))
     # the total is one row of the same counts, whose exchange is read again
     total = counts.agg(F.sum("n").alias("total")).hint("broadcast")
     return sorted(r["word"] for r in counts.join(total, F.col("n") >= F.col("total") * _DICTIONARY_SHARE).collect())
@@ -143,8 +145,8 @@ def _scored(spark: SparkSession, d: str, dictionary: list[str] | None = None) ->
     """
     known = corpus_dictionary(spark, d) if dictionary is None else dictionary
     r = _delivered(spark, d, "job_id", "page_number", "attempt", "source", "lang", "text", "regions", "quality_score")
-    scored = txt.with_quality(r.withColumn("ratio", txt.dictionary_ratio(F.col("text"), known)), "text", "source", "quality_score", "ratio", "regions")
-    narrow = scored.select("result_id", "job_id", "page_number", "attempt", "source", "lang", "score", "flags", txt.rank(F.col("score"), F.col("flags"), F.col("text")).alias("rank"))
+    scored = txt.with_quality(r, "text", "source", "quality_score", known, "regions")
+    narrow = scored.select("result_id", "job_id", "page_number", "attempt", "source", "lang", "score", "flags", "rank")
     return narrow.dropDuplicates(["result_id"])
 
 
