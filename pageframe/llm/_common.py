@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from pageframe.runtime import materialise
+
+__all__ = ["count_keys", "map_columns", "materialise", "table"]
+
 #: Text tokens a counting task keeps before it hands its partial counts on.
 FLUSH_WORDS = 200_000
 
@@ -67,22 +71,3 @@ def count_keys(df: DataFrame, make: Callable[[], Callable[..., dict[Any, int]]],
             yield flush(total)
 
     return df.mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
-
-    The folder is the cluster's shared one (``spark.checkpoint.dir``). Only in
-    local mode, as in tests, a folder of the warehouse stands in where that is
-    unset; on a cluster its absence is an error, as a machine's own folder would
-    be lost with the machine. Spark removes the files when the table is no
-    longer used where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared and not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
-    return df.checkpoint()

@@ -264,7 +264,8 @@ LEAKS = "doc_id bigint, item_id bigint, longest_run int, score int, item_words i
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs of a document and a test item that share a passage.
 
-    ``docs`` has doc_id and text, ``items`` item_id and text, in this order.
+    ``docs`` has doc_id and text, ``items`` item_id and text, as their first two
+    columns; what they have beside is left alone.
     Gives doc_id, item_id, longest_run (exact words), score (Smith-Waterman, 2 a
     word of the item at most), item_words, and rarest: how many documents hold
     that of the pair's seeds which the fewest do. Every pair that shares
@@ -275,7 +276,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     folder, and only the counts of seeds and the pairs are shuffled.
     """
     spark = docs.sparkSession
-    docs, items = docs.toDF("doc_id", "text"), items.toDF("item_id", "text")
+    docs, items = (df.select(*(F.col(c).alias(n) for c, n in zip(df.columns, (of, "text")))) for df, of in ((docs, "doc_id"), (items, "item_id")))
     out = None
     for index in _blocks(items.dropDuplicates()):
         found = materialise(_places(docs, index))

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 
 from pageframe.llm.scan_repair import Words, decode_page, fit_words, line_defects, paragraphs, repair_pages, repair_text
@@ -62,6 +65,9 @@ def test_stretches(words):
     assert fixed("The rnain tenance contract") == ("The maintenance contract", [True, False])
     assert fixed("The main tenaucc contract") == ("The maintenance contract", [True, False])
     assert fixed("The main ten ance contract") == ("The maintenance contract", [False, False])
+    # split, merge and confusion together
+    assert fixed("The court oftbe land and the claim")[0].startswith("The court oftbe land") and not words.known("of")
+    assert fixed("the maintenanceccntract was") == ("the maintenance contract was", [True, False])
     assert fixed("the claimdismisscd before") == ("the claim dismissed before", [True, False])
     assert fixed("the rnaintenancecontract was") == ("the maintenance contract was", [True, False])
     assert fixed("The court of Sarnrivik accepts") == ("The court of Sarnrivik accepts", [False, False])
@@ -76,3 +82,56 @@ def test_many_places():
     assert len(long) > 40 and words.taken_for(long.replace("mm", "mrn", 1))[0] == long
     assert words.taken_for("Oc+ober")[0] == "October"
     assert words.taken_for("inclcmniticatiorii") is None
+
+
+def test_joint_defects():
+    words = Words({"of": 9000, "the": 20000, "maintenance": 900, "contract": 1500, "judgment": 700, "court": 3000, "land": 400, "was": 5000, "given": 300, "a": 9000, "internationalisation": 900})
+    assert words.known("of") and [words.decode(("oftbe",))[k][2] for k in (0, 1)] == ["of", "the"]
+
+    def fixed(text):
+        return decode_page(text + "\nthe court.", words).repaired[0]
+
+    assert fixed("a judg ment was given") == "a judgment was given" and fixed("the court oftbe land") == "the court of the land"
+    assert fixed("the rnain tenance contract") == "the maintenance contract" and fixed("the maintenanceccntract was") == "the maintenance contract was"
+    # four confusions in a long word, and a word in five parts
+    assert fixed("the intcmationalisatiori was") == "the internationalisation was" and fixed("the inter nat ion alis ation was") == "the internationalisation was"
+
+
+PARTS = "the court accepts that a claim about notice of repair costs was settled before hearing and both sides knew it from contract which had been signed by parties in time while insurance premium maintenance agreement remained open for review under rules".split()
+DEFECTS = {"o": "0", "l": "1", "e": "c", "m": "rn", "h": "b", "u": "n", "d": "cl", "w": "vv", "s": "5"}
+
+
+def test_planted_defects_are_found():
+    """Defects planted in clean pages, each found nineteen times of twenty, and hardly anything else."""
+    rnd = random.Random(11)
+    counts = Counter()
+    for _ in range(3000):
+        counts.update(rnd.choices(PARTS, k=60))
+    words = Words(counts)
+    truth, found = {k: set() for k in ("misread", "split_word", "furniture")}, {k: set() for k in ("misread", "split_word", "furniture")}
+    for page in range(150):
+        lines = []
+        for n in range(12):
+            line = [rnd.choice(PARTS) for _ in range(9)]
+            if rnd.random() < 0.3:
+                k = rnd.choice([k for k, w in enumerate(line) if len(w) > 4])
+                places = [i for i, c in enumerate(line[k]) if c in DEFECTS]
+                if places:
+                    i = rnd.choice(places)
+                    line[k] = line[k][:i] + DEFECTS[line[k][i]] + line[k][i + 1 :]
+                    truth["misread"].add((page, n))
+            lines.append(line)
+        for n in range(11):
+            if rnd.random() < 0.2 and len(lines[n + 1][0]) > 5 and (page, n + 1) not in truth["misread"]:
+                w = lines[n + 1][0]
+                lines[n].append(w[:3] + rnd.choice("-\u2010\xac\xad"))
+                lines[n + 1][0] = w[3:]
+                truth["split_word"].add((page, n))
+        text = [" ".join(x) for x in lines] + [f"– {page + 1} –"]
+        truth["furniture"].add((page, 12))
+        p = decode_page("\n".join(text), words)
+        for name, flags in (("misread", p.misread), ("split_word", p.split), ("furniture", p.furniture)):
+            found[name] |= {(page, k) for k, f in enumerate(flags) if f}
+    for name, cases in truth.items():
+        both = len(cases & found[name])
+        assert both >= 0.95 * len(cases) and both >= 0.98 * len(found[name]), (name, len(cases), len(found[name]), both)
