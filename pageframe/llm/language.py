@@ -36,6 +36,8 @@ _CODES = {name: code for code, names in LABELS.items() for name in names.split()
 #: Words kept of the counts: those of at least this share of a language's words,
 #: so at most its inverse in number, whatever the corpus' size.
 SHARE = 5e-6
+#: Share of a language's words from which a word is a common one, as function words are.
+COMMON_SHARE = 5e-3
 #: Longest and shortest character n-gram of the backoff.
 LONG, SHORT = 4, 1
 #: A sentence decides with this many scored words and this margin in log odds.
@@ -207,6 +209,13 @@ def fit_languages(df: DataFrame, label_column: str, text_column: str) -> Languag
     return LanguageModel({(r["lang"], r["word"]): r["n"] for r in kept.collect()})
 
 
+def common_words(df: DataFrame, label_column: str, text_column: str) -> frozenset[str]:
+    """The words that make up ``COMMON_SHARE`` of a labelled language's words, so its inverse for each language at most, by all pages."""
+    counts = word_counts(df, label_column, text_column)
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    return frozenset(r["word"] for r in counts.join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * COMMON_SHARE).select("word").collect())
+
+
 def label_problems(df: DataFrame, id_column: str, label_column: str, text_column: str, model: LanguageModel, shapes: ShapeModel) -> DataFrame:
     """One row for each page of prose and language, where its label is missing or wrong or it has several.
 

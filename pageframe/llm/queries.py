@@ -100,13 +100,15 @@ _STORED = ("quality_score", "quality_flags")
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that are lists, tables or junk."""
-    found = shape.classify_shapes(_pages(spark, sf_dir, "text", *_STORED), "result_id", "text", *_STORED)
+    pages = _pages(spark, sf_dir, "lang", "text", *_STORED)
+    found = shape.classify_shapes(pages, "result_id", "text", *_STORED, common=language.common_words(pages, "lang", "text"))
     return found.where("shape <> 'prose'").select(F.col("record_id").alias("result_id"), "shape")
 
 
 def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics and shape of each page beside its stored quality score."""
-    stats = shape.page_statistics(_pages(spark, sf_dir, "text", *_STORED), "result_id", "text", *_STORED)
+    pages = _pages(spark, sf_dir, "lang", "text", *_STORED)
+    stats = shape.page_statistics(pages, "result_id", "text", *_STORED, common=language.common_words(pages, "lang", "text"))
     return shape.with_shapes(materialise(stats.dropDuplicates(["record_id"]))).withColumnRenamed("record_id", "result_id")
 
 

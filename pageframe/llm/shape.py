@@ -22,7 +22,7 @@ SHAPES = ("prose", "list", "table", "junk")
 #: A function's vote where it doesn't know, and where what it looks at is missing.
 ABSTAIN, MISSING = -1, -2
 
-# Frequent function words of the six languages of the corpus.
+# Function words of the six languages, for where no words are counted.
 COMMON = frozenset(
     """
     the of that and to in is was be by for on which this with as at had been not it are or from no may has have an
@@ -52,10 +52,14 @@ class _Words(dict):
 
     LIMIT = 1_000_000
 
+    def __init__(self, common: frozenset[str] = COMMON) -> None:
+        super().__init__()
+        self.common = common
+
     def __missing__(self, w: str) -> tuple[bool, int]:
         varied = len(set(w)) > len(w) // 6
         cased = w.islower() or w[1:].islower() or w[:1].isupper() or "'" in w or "’" in w or "-" in w
-        out = w.lower() in COMMON, len(w) if varied and cased and VOWEL.search(w) else 0
+        out = w.lower() in self.common, len(w) if varied and cased and VOWEL.search(w) else 0
         if len(self) < self.LIMIT:
             self[w] = out
         return out
@@ -74,8 +78,8 @@ def _is_row(x: str) -> bool:
     return len(tokens) > 2 and all(map(VALUE.fullmatch, tokens))
 
 
-def statistics(text: str | None) -> tuple[float, ...] | None:
-    """The numbers named in ``STATISTICS``; None for a null or blank text."""
+def statistics(text: str | None, seen: _Words = _WORDS) -> tuple[float, ...] | None:
+    """The numbers named in ``STATISTICS``; None for a null or blank text. ``seen`` knows which words are common."""
     if not text or not (lines := [y for x in text.split("\n") if (y := x.strip())]):
         return None
     words = WORD.findall(text)
@@ -91,7 +95,7 @@ def statistics(text: str | None) -> tuple[float, ...] | None:
             marked += 1
             x = x[m.end() :].lstrip()
         celled += _is_row(x)
-    known = [_WORDS[w] for w in words]
+    known = [seen[w] for w in words]
     common = sum([k[0] for k in known])
     readable = sum([k[1] for k in known])
     sentences = len(SENTENCE.findall(text))
@@ -233,7 +237,7 @@ class ShapeModel:
         return out
 
 
-def page_statistics(df: DataFrame, id_column: str, text_column: str, score_column: str | None = None, flags_column: str | None = None) -> DataFrame:
+def page_statistics(df: DataFrame, id_column: str, text_column: str, score_column: str | None = None, flags_column: str | None = None, common: frozenset[str] = COMMON) -> DataFrame:
     """One row a non-blank text: ``record_id``, the statistics, the vote pattern ``votes``, and ``quality_score`` and ``quality_flags`` as stored.
 
     Null, empty and white-space texts give no row. Very long texts are read
@@ -243,8 +247,10 @@ def page_statistics(df: DataFrame, id_column: str, text_column: str, score_colum
     stored = F.col(score_column) if score_column else F.lit(None).cast("double"), F.col(flags_column) if flags_column else F.lit(None).cast("array<string>")
 
     def make() -> Callable[..., dict]:
+        seen = _Words(common)
+
         def step(ids: list, texts: list, scores: list, flags: list) -> dict:
-            rows = [(i, *s, _pattern(votes(s, q, f)), q, f) for i, t, q, f in zip(ids, texts, scores, flags) if (s := statistics(t))]
+            rows = [(i, *s, _pattern(votes(s, q, f)), q, f) for i, t, q, f in zip(ids, texts, scores, flags) if (s := statistics(t, seen))]
             columns = list(zip(*rows)) if rows else [()] * (len(STATISTICS) + 4)
             return dict(zip(("record_id", *STATISTICS, "votes", "quality_score", "quality_flags"), map(list, columns)))
 
@@ -280,12 +286,12 @@ def shape_of(text: str | None, model: ShapeModel) -> str | None:
     return None if s is None else SHAPES[int(model.posterior(votes(s)).argmax())]
 
 
-def classify_shapes(df: DataFrame, id_column: str, text_column: str, score_column: str | None = None, flags_column: str | None = None) -> DataFrame:
+def classify_shapes(df: DataFrame, id_column: str, text_column: str, score_column: str | None = None, flags_column: str | None = None, common: frozenset[str] = COMMON) -> DataFrame:
     """One row a distinct id with a non-blank text: ``record_id``, ``shape``, ``posterior``.
 
     Rows that are delivered twice give one row. Ties between shapes go to the
     first of ``SHAPES``. An empty table gives no rows. The texts are read once:
     the vote patterns are kept in the shared folder.
     """
-    stats = materialise(page_statistics(df, id_column, text_column, score_column, flags_column).select("record_id", "votes"))
+    stats = materialise(page_statistics(df, id_column, text_column, score_column, flags_column, common).select("record_id", "votes"))
     return with_shapes(stats).dropDuplicates(["record_id"])

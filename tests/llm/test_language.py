@@ -1,6 +1,6 @@
 import pytest
 
-from pageframe.llm.language import fit_languages, label_code, label_problems, page_passages
+from pageframe.llm.language import common_words, fit_languages, label_code, label_problems, page_passages
 from pageframe.llm.shape import ShapeModel
 
 EN = "The respondent replied that the court had never been asked about the notice period. The witness recalled that the lease was discussed twice. "
@@ -46,3 +46,9 @@ def test_passages_cover_the_sentences(spark, model):
     rows = spark.createDataFrame([(1, "fr", FR + DE), (2, None, None)], DDL)
     got = page_passages(rows, "id", "text", model).orderBy("start").collect()
     assert [(r["lang"], (FR + DE)[r["start"] : r["end"]][:3]) for r in got] == [("fr", "La "), ("de", "Das")]
+
+
+def test_common_words(texts):
+    rows = [(k, f"The court of the town heard the case number{k} and word{k} again", "en" if k % 2 else "English") for k in range(300)] + [(900, "rare words of nobody", None), (901, None, "en")]
+    assert common_words(texts(rows, "id bigint, text string, lang string"), "lang", "text") == frozenset("the court of town heard case number and word again".split())
+    assert common_words(texts([], "id bigint, text string, lang string"), "lang", "text") == frozenset()
