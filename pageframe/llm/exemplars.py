@@ -12,8 +12,8 @@ from http import HTTPStatus
 # Wordings of error pages. The reason phrases of HTTP are added by rule.
 ERRORS = (
     "Error 1 - page not found", "The page you requested does not exist", "The document you asked for is not available on this server", "The requested resource is unavailable", "Access denied", "Access to this resource is denied", "You do not have permission to view this page",
-    "Your request was blocked", "Your session has expired", "Site under maintenance", "Under maintenance", "We are carrying out maintenance", "The server is temporarily offline", "The service is unavailable, please try again later", "Try again in 1 minutes",
-    "Just a moment while we check your browser", "Oops! Something went wrong", "An unexpected error occurred", "Your request could not be processed", "The request could not be completed", "Too many requests from your address",
+    "Your request was blocked", "Your session has expired", "Session expired", "Site under maintenance", "Under maintenance", "We are carrying out maintenance", "The server is temporarily offline", "The service is unavailable, please try again later", "Try again in 1 minutes",
+    "Just a moment", "Checking your browser", "Oops! Something went wrong", "An unexpected error occurred", "Your request could not be processed", "The request could not be completed", "Too many requests from your address",
     "Database connection failed", "Error establishing a database connection", "Fatal error on line 1", "Error reference 1", "Incident number 1",
     "Seite nicht gefunden", "Zugriff verweigert", "Interner Serverfehler", "Dienst nicht verfügbar", "Ihre Sitzung ist abgelaufen", "Wegen Wartungsarbeiten nicht erreichbar",
     "Page introuvable", "Page non trouvée", "Accès refusé", "Erreur interne du serveur", "Service indisponible", "Votre session a expiré", "Site en maintenance",
@@ -31,6 +31,11 @@ NOTICES = (
     "Attivare JavaScript nel browser", "JavaScript è necessario per visualizzare la pagina", "Accettare i cookie", "Effettuare di nuovo l'accesso",
     "Activați JavaScript în browser", "JavaScript este necesar pentru a vedea pagina", "Acceptați cookie-urile", "Autentificați-vă din nou",
 )
+# The core of most notices, in each language: what must be turned on or accepted.
+NEEDS = (
+    "enable JavaScript", "turn on scripts", "accept cookies", "JavaScript aktivieren", "Skripte aktivieren", "Cookies akzeptieren", "activer JavaScript", "activer les scripts", "accepter les cookies",
+    "activar JavaScript", "activar los scripts", "aceptar las cookies", "attivare JavaScript", "attivare gli script", "accettare i cookie", "activați JavaScript", "activați scripturile", "acceptați cookie-urile",
+)
 # What stands on such pages beside: what the reader could do then, and links.
 FURNITURE = (
     "to view this page", "to see the content", "to read the document", "um die Seite anzuzeigen", "um den Inhalt zu sehen", "pour afficher la page", "pour voir le contenu",
@@ -80,4 +85,4 @@ def by_kind() -> dict[str, tuple[str, ...]]:
     # pseudo-Latin begins and ends anywhere, so every few words of it are an exemplar
     latin = [x.split() for x in PSEUDO_LATIN]
     clauses = tuple(" ".join(x[k : k + CLAUSE]) for x in latin for k in range(len(x) - CLAUSE + 1))
-    return {"error": (*ERRORS, *reasons), "notice": NOTICES, "furniture": FURNITURE, "filler": (*clauses, *FILLER)}
+    return {"error": (*ERRORS, *reasons), "notice": (*NOTICES, *NEEDS), "furniture": FURNITURE, "filler": (*clauses, *FILLER)}
