@@ -209,3 +209,16 @@ def message(template: Column, values: dict[str, Column]) -> Column:
     for name, value in values.items():
         template = F.replace(template, F.lit("{" + name + "}"), value.cast("string"))
     return template
+
+
+def localised(catalogs: dict[str, dict[str, str]], locale: Column, key: Column, usual: str = "en") -> Column:
+    """a message in a language, else in the usual one, else its key; a locale counts by its language.
+
+    The catalogs are a program's messages, which stand in the plan.
+    """
+    flat = [F.lit(x) for lang, messages in catalogs.items() for k, v in messages.items() for x in (f"{lang}|{k}", v)]
+    if not flat:
+        return key
+    known = F.create_map(*flat)
+    language = F.regexp_extract(F.lower(F.coalesce(locale, F.lit(usual))), "^[a-z]+", 0)
+    return F.coalesce(F.try_element_at(known, F.concat(language, F.lit("|"), key)), F.try_element_at(known, F.concat(F.lit(f"{usual}|"), key)), key)

@@ -13,6 +13,7 @@ from functools import lru_cache
 from itertools import groupby
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pageframe.functions import geometry as geo
 from pageframe.functions.text import BULLET, NUMBERED
 from pageframe.operators import layout
+from pageframe.operators.pixels_numpy import unfiltered
 
 _WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _TYPES = (
@@ -207,7 +209,7 @@ def _image(data: bytes | None) -> tuple[str, bytes] | None:
 
 
 def _png_object(data: bytes) -> tuple[str, bytes] | None:
-    """Gray, colour and palette images keep their deflated rows; interlaced ones and those with transparency are no case."""
+    """Gray, colour and palette images keep their deflated rows, those with transparency are laid on white; interlaced ones are no case."""
     at, rows, palette = 8, b"", b""
     head = None
     while at + 8 <= len(data):
@@ -222,6 +224,14 @@ def _png_object(data: bytes) -> tuple[str, bytes] | None:
     if head is None or not rows or head[12]:
         return None
     w, h, bits, kind = int.from_bytes(head[:4]), int.from_bytes(head[4:8]), head[8], head[9]
+    if kind in (4, 6) and bits == 8 and w and h:
+        n = 2 if kind == 4 else 4
+        try:
+            a = np.frombuffer(unfiltered(zlib.decompress(rows), w * n, n), np.uint8)[: w * h * n].reshape(-1, n).astype(int)
+        except (zlib.error, ValueError, IndexError):
+            return None
+        flat = (a[:, :-1] * a[:, -1:] + 255 * (255 - a[:, -1:]) + 127) // 255
+        return f"/Width {w} /Height {h} /ColorSpace {'/DeviceGray' if kind == 4 else '/DeviceRGB'} /BitsPerComponent 8 /Filter /FlateDecode", zlib.compress(flat.astype(np.uint8).tobytes())
     space = {0: "/DeviceGray", 2: "/DeviceRGB", 3: f"[/Indexed /DeviceRGB {len(palette) // 3 - 1} <{palette.hex()}>]" if palette else None}.get(kind)
     colors = 3 if kind == 2 else 1
     return (f"/Width {w} /Height {h} /ColorSpace {space} /BitsPerComponent {bits} /Filter /FlateDecode /DecodeParms << /Predictor 15 /Colors {colors} /BitsPerComponent {bits} /Columns {w} >>", rows) if space and w and h else None

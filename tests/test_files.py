@@ -1,4 +1,5 @@
 import io
+import struct
 import zipfile
 import zlib
 from datetime import datetime
@@ -132,6 +133,16 @@ def test_images_of_pdf():
         assert exports._image(bad) is None
 
 
+def test_transparent_png_is_laid_on_white():
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    pixels = b"\x00" + bytes([10, 20, 30, 255, 10, 20, 30, 0])
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(pixels)) + chunk(b"IEND", b"")
+    head, stream = exports._image(data)
+    assert "/DeviceRGB" in head and zlib.decompress(stream) == bytes([10, 20, 30, 255, 255, 255])
+
+
 def made_pdf() -> bytes:
     """A file whose fonts and pages lie in an object stream, with content arrays, arrays of strings, hex strings and a Unicode map."""
     inner = {5: b"<< /Type /Page /Parent 6 0 R /Contents [7 0 R 8 0 R] >>", 6: b"<< /Type /Pages /Kids [5 0 R] /Count 1 /MediaBox [0 0 300 400] /Resources << /Font << /F1 9 0 R /F2 10 0 R >> >> >>", 9: b"<< /Type /Font /Subtype /Type1 /FirstChar 65 /Widths [1000 500] >>", 10: b"<< /Type /Font /Subtype /Type0 /ToUnicode 11 0 R /DescendantFonts [<< /DW 1000 /W [1 [250 750]] >>] >>"}

@@ -90,3 +90,11 @@ def test_many_edits_leave_the_band(spark):
     e, a = "ab" * 60, "ba" * 30
     r = benchmark.metrics(spark.createDataFrame([(e, a), (e, "x" * 200)], "e string, a string"), "e", "a").collect()
     assert sorted(x["char_error_rate"] for x in r) == [pytest.approx(60 / 120), pytest.approx(200 / 120)]
+
+
+def test_messages(spark):
+    catalogs = {"en": {"pages": "{n} pages", "none": "Nothing yet"}, "de": {"pages": "{n} Seiten"}}
+    rows = [(1, "de-AT", "pages"), (2, "de", "none"), (3, "fr", "pages"), (4, None, "none"), (5, "EN", "other")]
+    message = txt.message(txt.localised(catalogs, F.col("l"), F.col("k")), {"n": F.lit(3)})
+    got = {r["i"]: r["m"] for r in spark.createDataFrame(rows, "i int, l string, k string").select("i", message.alias("m")).collect()}
+    assert got == {1: "3 Seiten", 2: "Nothing yet", 3: "3 pages", 4: "Nothing yet", 5: "other"}
