@@ -32,8 +32,8 @@ def ship(spark: SparkSession) -> None:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the cluster's shared one (``spark.checkpoint.dir``). Only in
-    local mode, as in tests, a folder of the warehouse stands in where that is
+    The folder is the cluster's shared one (``spark.checkpoint.dir``). Only on
+    one machine, as in tests, a folder of the warehouse stands in where that is
     unset; on a cluster its absence is an error, as a machine's own folder would
     be lost with the machine. Spark removes the files when the table is no
     longer used where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
@@ -42,7 +42,7 @@ def materialise(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared and not context.master.startswith("local[") and context.master != "local":
+        if not shared and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
     return df.checkpoint()

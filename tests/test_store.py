@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from pageframe.operators import pages, store
@@ -68,3 +70,26 @@ def test_selection_and_saved_form(spark):
     ddl = "id int, text string, regions array<struct<text:string,x:double,y:double,w:double,h:double,confidence:double>>, quality_flags array<string>"
     got = pages.normalised(spark.createDataFrame([(1, "t", [("r", 1.0, 2.0, 3.0, 4.0, 0.5)], ["f"]), (2, None, None, None)], ddl)).orderBy("id").collect()
     assert got[0]["regions"][0].asDict() == {"text": "r", "x": 1.0, "y": 2.0, "w": 3.0, "h": 4.0} and (got[1]["text"], got[1]["regions"], got[1]["quality_flags"]) == ("", [], [])
+
+
+def test_lineage_is_cut_in_the_shared_folder(spark, monkeypatch):
+    from pageframe import runtime
+
+    kept = runtime.materialise(spark.range(5))
+    assert kept.count() == 5 and "ExistingRDD" in kept._jdf.queryExecution().executedPlan().toString()
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:  # noqa: N801
+            @staticmethod
+            def sc():
+                return SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True))
+
+        @staticmethod
+        def getConf():  # noqa: N802
+            return {}
+
+    frame = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=Context))
+    with pytest.raises(ValueError, match="all machines share"):
+        runtime.materialise(frame)
