@@ -352,15 +352,34 @@ def write_by_engine(df: DataFrame, path: str, engine: str = "engine") -> None:
     df.write.mode("overwrite").partitionBy(engine).json(path)
 
 
-def quality_report(rows: list[dict], title: str, label: str = "engine", rates: tuple[str, str] = ("char_accuracy", "word_accuracy")) -> bytes:
-    """A PDF of a benchmark's summary, a table and two bars a row, as many pages as it takes.
+def filled_lines(text: str, width: float, size: float) -> list[str]:
+    """F25 by measured width: words filled into lines; blank paragraphs stay, a word that is wider has its own line."""
+    out = []
+    for paragraph in text.split("\n"):
+        line = ""
+        for word in paragraph.split():
+            if line and text_width(f"{line} {word}", size) > width:
+                out.append(line)
+                line = word
+            else:
+                line = f"{line} {word}" if line else word
+        out.append(line)
+    return out
+
+
+def quality_report(rows: list[dict], title: str, label: str = "engine", rates: tuple[str, str] = ("char_accuracy", "word_accuracy"), table: tuple[list[str], list[list[str]]] | None = None, samples: list[tuple[str, str]] | None = None) -> bytes:
+    """A PDF of a benchmark: bars, a table, and recognised texts, as many pages as it takes.
 
-    ``rows`` are those of a summary, an engine each; null accuracies count as 0.
-    No rows give one page that says so.
+    ``rows`` are those of a summary, an engine each, with two bars each; null
+    accuracies count as 0. ``table`` is a head and rows of cells, whose columns
+    are as wide as their widest cell, scaled to the page where that is more.
+    ``samples`` are names and texts, which stand in gray blocks. Without rows one
+    page says so.
     """
     width, height, margin, step, track = 595.0, 842.0, 48.0, 46.0, 260.0
+    content = width - 2 * margin
     per_page = int((height - 3 * margin) // step)
-    pages = []
+    pages: list[tuple[list, list]] = []
     for start in range(0, max(1, len(rows)), per_page):
         texts: list[tuple[str, float, float, float]] = [(title, margin, height - margin, 16)]
         boxes: list[tuple[float, float, float, float, float]] = []
@@ -374,6 +393,26 @@ def quality_report(rows: list[dict], title: str, label: str = "engine", rates: t
                 at = y - 13 - 12 * n
                 texts.append((f"{name.replace('_', ' ')} {share * 100:.2f}%", margin, at, 8))
                 boxes += [(margin + 150, at - 1, track, 8, 0.9), (margin + 150, at - 1, track * share, 8, 0.4)]
-        texts.append((f"Page {start // per_page + 1}", width - 2 * margin, margin / 2, 8))
-        pages.append((width, height, texts, boxes))
-    return pdf(pages, visible=True)
+        pages.append((texts, boxes))
+    # what follows is a sequence of lines: (cells with their places, size, gray behind)
+    lines: list[tuple[list[tuple[str, float]], float, float | None]] = []
+    if table:
+        head, body = table
+        every = [head, *body]
+        wide = [max((text_width(str(r[c]) if c < len(r) else "", 8) for r in every), default=0.0) + 10 for c in range(max(map(len, every), default=0))]
+        scale = min(1.0, content / sum(wide)) if wide else 1.0
+        places = [margin + sum(wide[:c]) * scale for c in range(len(wide))]
+        lines += [([(str(x), places[c]) for c, x in enumerate(r)], 8 * scale if scale < 1 else 8.0, 0.85 if n == 0 else None) for n, r in enumerate(every)]
+        lines.append(([], 8.0, None))
+    for name, text in samples or ():
+        lines.append(([(name, margin)], 11.0, None))
+        lines += [([(x, margin + 6)], 8.0, 0.95) for x in filled_lines(text, content - 12, 8.0)] + [([], 8.0, None)]
+    room = int((height - 2.5 * margin) // 13)
+    for start in range(0, len(lines), room):
+        texts, boxes = [], []
+        for k, (cells, size, gray) in enumerate(lines[start : start + room]):
+            y = height - 1.5 * margin - 13 * k
+            texts += [(x, at, y, size) for x, at in cells if x]
+            boxes += [(margin, y - 3, content, 13, gray)] if gray is not None else []
+        pages.append((texts, boxes))
+    return pdf([(width, height, [*texts, (f"Page {k}", width - 2 * margin, margin / 2, 8)], boxes) for k, (texts, boxes) in enumerate(pages, 1)], visible=True)

@@ -69,6 +69,19 @@ def test_quality_report():
     assert [t for t, *_ in files.pdf_items(exports.quality_report([], "Empty"))[0][3]][:2] == ["Empty", "No results."]
 
 
+def test_report_tables_and_samples():
+    head, body = ["Engine", "Fixture", "Rate"], [[f"engine-{k}", "a very long name of a fixture " * 4, f"{k}.00%"] for k in range(70)]
+    text = "First paragraph of the recognised text, " * 9 + "\n\nlast line"
+    pages = files.pdf_items(exports.quality_report([], "Report", table=(head, body), samples=[("sample one", text)]))
+    shown = [i for _, _, _, items in pages for i in items]
+    words = [i.text for i in shown]
+    assert len(pages) == 3 and "Engine" in words and "engine-69" in words and "sample one" in words and "last line" in words and words[-1] == "Page 3"
+    assert max(i.x + i.width for i in shown) <= 595 - 48 + 1e-6  # scaled to the page
+    lines = exports.filled_lines(text, 200, 8)
+    assert all(exports.text_width(x, 8) <= 200 for x in lines) and " ".join(" ".join(lines).split()) == " ".join(text.split()) and lines[-2:] == ["", "last line"]
+    assert exports.filled_lines("x" * 500, 50, 8) == ["x" * 500] and exports.filled_lines("", 50, 8) == [""]
+
+
 def test_docx_blocks():
     cell = lambda t, h=20.0: {"text": t, "h": h}
     blocks = [
