@@ -224,6 +224,8 @@ def is_item(line: str) -> bool:
 #: of such endings among cut texts, and among whole ones.
 ENDINGS = {"sentence": (0.03, 0.7), "number": (0.01, 0.1), "header": (0.01, 0.05), "sign-off": (0.01, 0.05), "item": (0.02, 0.05), "open, number": (0.01, 0.02), "open, header": (0.01, 0.01), "open, sign-off": (0.01, 0.01), "open, item": (0.02, 0.01), "abbreviation": (0.05, 0.001), "marks": (0.05, 0.001), "open": (0.8, 0.001)}
 _SHORT_OF = ("abbreviation", "marks", "open")
+#: What a complete text ends with, whatever its length: these endings count for the shares, and are no cases.
+COMPLETE = ("sentence", "number", "header", "sign-off", "item", "open, number")
 
 
 def ending(text: str | None) -> str | None:
@@ -401,10 +403,11 @@ def truncated_texts(df: DataFrame, id_column: str, source_column: str, text_colu
     """One row a truncated text: ``record_id``, ``origin``, ``stops_in``, ``at_limit``, ``chance``.
 
     Texts that are null, blank, of a failed run (starting ``ERROR``), lists,
-    tables or junk are no cases, nor is one that ends with a sentence, as it
-    isn't known to go on; with ``truth_column`` the text's own shape is not
-    asked, and the truth tells whether the end is there. ``chance`` is how likely
-    the text is cut by its length, source and ending. Repeated ids give one row.
+    tables or junk are no cases, nor is one that ends as a complete text does
+    (``COMPLETE``), as it isn't known to go on; with ``truth_column`` the text's
+    own shape is not asked, and the truth tells whether the end is there.
+    ``chance`` is how likely the text is cut by its length, source and ending.
+    Repeated ids give one row.
 
     The texts are read once: lengths and endings, a narrow row a text, are kept
     in the shared folder. The driver gets lengths that stand out, and numbers of
@@ -421,7 +424,7 @@ def truncated_texts(df: DataFrame, id_column: str, source_column: str, text_colu
     placed = seen.where("ends is not null").join(limits, "origin", "left").select("record_id", "origin", "ends", "inside", F.array_max(F.transform(here, lambda c: c["chance"])).alias("by_limit"))
     counts = {(r["origin"], r["by_limit"], r["ends"]): r["count"] for r in placed.groupBy("origin", "by_limit", "ends").count().toLocalIterator()}
     model = EndingModel().fit(counts)
-    judged = [(o, c, e, model.posterior(o, c, e)) for o, c, e in counts if e != "sentence"]
+    judged = [(o, c, e, model.posterior(o, c, e)) for o, c, e in counts if e not in COMPLETE]
     chance = F.broadcast(spark.createDataFrame(judged, "o string, c double, e string, chance double"))
     decided = placed.join(chance, (F.col("origin") == F.col("o")) & (F.col("ends") == F.col("e")) & F.col("by_limit").eqNullSafe(F.col("c"))).where("chance > 0.5")
     return decided.select("record_id", "origin", F.col("inside").alias("stops_in"), F.col("by_limit").isNotNull().alias("at_limit"), "chance")
