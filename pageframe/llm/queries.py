@@ -50,9 +50,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hidden storage limits of each engine, by encoding."""
-    pages = truncation.hidden_limits(_pages(spark, sf_dir, "engine", "text"), "engine", "text").withColumn("table_name", F.lit("ocr_results"))
-    short = _runs(spark, sf_dir).where("not extracted_text like 'ERROR%' and length(extracted_text) < length(ground_truth) - 3")
-    runs = truncation.hidden_limits(short, "engine", "extracted_text").withColumn("table_name", F.lit("bench_results"))
+    pages = truncation.text_limits(_pages(spark, sf_dir, "engine", "text"), "result_id", "engine", "text", _START).withColumn("table_name", F.lit("ocr_results"))
+    runs = truncation.text_limits(_runs(spark, sf_dir), "bench_id", "engine", "extracted_text", _START, "ground_truth").withColumn("table_name", F.lit("bench_results"))
     return pages.unionByName(runs).select("table_name", "origin", "encoding", "length", "n")
 
 

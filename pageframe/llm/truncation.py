@@ -20,7 +20,7 @@ from collections.abc import Callable
 from difflib import SequenceMatcher, get_close_matches
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pageframe.llm._common import map_columns, materialise
@@ -150,9 +150,12 @@ def hidden_limits(df: DataFrame, source_column: str, text_column: str) -> DataFr
     origin = F.coalesce(F.col(source_column), F.lit("")).alias("origin")
     text = F.col(text_column)
     sized = df.where(F.regexp_like(text, F.lit(r"\S"))).select(origin, F.xxhash64(text).alias("text"), _sizes(text).alias("sizes"))
-    found = _limits(materialise(sized.dropDuplicates(["origin", "text"])).select("origin", "sizes"))
+    return _as_table(df.sparkSession, _limits(materialise(sized.dropDuplicates(["origin", "text"])).select("origin", "sizes")))
+
+
+def _as_table(spark: SparkSession, found: dict[Limit, tuple[int, float]]) -> DataFrame:
     rows = [(o, ENCODINGS[e], length, n, expected) for (o, e, length), (n, expected) in sorted(found.items())]
-    return df.sparkSession.createDataFrame(rows, "origin string, encoding string, length int, n bigint, expected double")
+    return spark.createDataFrame(rows, "origin string, encoding string, length int, n bigint, expected double")
 
 
 # --- endings
@@ -399,6 +402,17 @@ def _inspected(df: DataFrame, id_column: str, source_column: str, text_column: s
     return map_columns(sized, make, f"record_id {kind}, origin string, hash bigint, fit boolean, sizes array<int>, ends string, inside string").dropDuplicates(["record_id"])
 
 
+def _limits_of(seen: DataFrame) -> dict[Limit, tuple[int, float]]:
+    """The limits that inspected texts show: lists, tables and junk are left out, as their make-up gives them lengths of their own."""
+    return _limits(seen.where("fit and ends is not null").dropDuplicates(["origin", "hash"]).select("origin", "sizes"))
+
+
+def text_limits(df: DataFrame, id_column: str, source_column: str, text_column: str, shapes: ShapeModel, truth_column: str | None = None) -> DataFrame:
+    """As :func:`hidden_limits`, of the texts that :func:`truncated_texts` asks, whose limits decide there."""
+    seen = materialise(_inspected(df, id_column, source_column, text_column, shapes, truth_column))
+    return _as_table(df.sparkSession, _limits_of(seen))
+
+
 def truncated_texts(df: DataFrame, id_column: str, source_column: str, text_column: str, shapes: ShapeModel, truth_column: str | None = None) -> DataFrame:
     """One row a truncated text: ``record_id``, ``origin``, ``stops_in``, ``at_limit``, ``chance``.
 
@@ -414,7 +428,7 @@ def truncated_texts(df: DataFrame, id_column: str, source_column: str, text_colu
     texts by source, limit and ending.
     """
     seen = materialise(_inspected(df, id_column, source_column, text_column, shapes, truth_column))
-    found = _limits(seen.where("fit").dropDuplicates(["origin", "hash"]).select("origin", "sizes"))
+    found = _limits_of(seen)
     chances: dict[str, list[tuple[int, int, float]]] = defaultdict(list)
     for (o, e, length), (n, expected) in found.items():
         chances[o].append((e, length, 1 - expected / n))

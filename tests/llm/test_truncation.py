@@ -1,7 +1,7 @@
 import pytest
 
 from pageframe.llm.shape import ShapeModel
-from pageframe.llm.truncation import ending, hidden_limits, lengths, lost_end, stops_short, truncated_texts, truncation_shares
+from pageframe.llm.truncation import ending, hidden_limits, lengths, lost_end, stops_short, text_limits, truncated_texts, truncation_shares
 
 BODY = "The court accepts that the claim was settled before the hearing.\nThe witness recalled that it was discussed twice"
 
@@ -72,6 +72,15 @@ def test_one_encoding_a_limit(texts):
     assert hidden_limits(texts(again, "id bigint, engine string, text string"), "engine", "text").count() == 0
 
 
+def test_lengths_of_junk_are_no_limit(texts):
+    """Junk of lines of one width piles up at its lengths, which are no limit; prose cut at one is."""
+    junk = [(k, "a", "\n".join("".join("§~#*¶<>=\\^"[(k * 7 + i * (k + n + 3)) % 10] for i in range(67)) for n in range(4))) for k in range(60)]
+    df = texts(junk + [(1000 + k, "a", prose(k)[:150]) for k in range(60)], "id bigint, engine string, text string")
+    assert {r["length"] for r in hidden_limits(df, "engine", "text").collect()} == {150, 271}
+    assert [(r["encoding"], r["length"]) for r in text_limits(df, "id", "engine", "text", ShapeModel()).collect()] == [("characters", 150)]
+    assert {r["record_id"] for r in truncated_texts(df, "id", "engine", "text", ShapeModel()).collect()} == {1000 + k for k in range(60)}
+
+
 def test_limit_decides(texts):
     cited = "The court accepts that the claim was settled before the hearing in the lower court. See\nHulolberg v Branmanetti [2016] NT"
     paged = "The court accepts that the claim was settled before the hearing in the lower court.\nHulolberg v Branmanetti [2016] NT"
