@@ -119,6 +119,8 @@ def _resolve(candidates: list[Row], patterns: dict[tuple[Limit, ...], int]) -> d
         best = max(ratio, key=lambda c: (ratio[c], -c[1], c), default=None)
         if best is None or ratio[best] < LIKELY:
             break
+        # of those at which all of its texts stand, the first encoding
+        best = min(set.intersection(*(set(at) for at in left if best in at)) & ratio.keys(), key=lambda c: c[1:])
         out[best] = n[best], expected[best]
         left = {at: k for at, k in left.items() if best not in at}
     return out
